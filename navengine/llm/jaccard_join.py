@@ -15,11 +15,14 @@ What makes this exact and safe with skew:
   parts. A set that is not strong draws another partitioning as well, until it is;
   a similar pair meets in the partitioning where the first of the two is strong.
 * Equal sets are one class; only classes emit signatures.
-* Every bucket links its members to its smallest member first. The components
-  of the verified links then settle most buckets: only pairs from different components are left.
-* Buckets of at most ``cold`` classes give all these pairs. In larger ones only classes
-  with more than ``slack`` such buckets take part, against all; any other class
+* Members of a bucket are compared with its smallest member first, if the two meet in several
+  buckets. The components of these links settle most buckets; pairs from different components are left.
+* Buckets of at most ``cold`` classes give all these pairs. In larger, hot ones only classes
+  with more than slack / 2 such buckets take part, against all; any other class
   has enough small buckets to meet its partners there.
+* A similar pair shares at least slack + 1 parts, of which at most slack / 2 are hot and not
+  looked at. So a pair is compared only if it meets in slack / 2 + 1 buckets of a band or more: a passage that
+  many documents share makes few parts equal, and no candidates.
 """
 
 from __future__ import annotations
@@ -98,7 +101,7 @@ def bands(percent: int, ratio: float = 1.6) -> list[tuple[int, int, int, int]]:
         hi = max(lo, int(lo * ratio))
         # A similar pair must lie in one band or in neighbours.
         k = 2 * hi * (100 - percent) // (100 + percent)
-        slack = max(1, round(0.06 * lo)) if lo > 8 else 0
+        slack = max(2, round(0.1 * lo)) if lo > 8 else 0
         m, need = k + 1, k + 1 + slack
         least = max(1, lo * percent // 100)  # the smallest set that emits here
         while k and m * (1 - (1 - 1 / m) ** least) < need + 0.4 * m**0.5 and m < 8 * need:
@@ -243,8 +246,8 @@ def _buckets(rows: DataFrame, cold: int) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig bigint, fp bigint, rep bigint, hot boolean")
 
 
-def _left_pairs(rows: DataFrame, cold: int, limit: int = 200_000) -> DataFrame:
-    """(x, y), x < y: of (sig, fp, comp, hot, weak), sorted by sig in their partition, the pairs of different components still to compare.
+def _left_pairs(rows: DataFrame, percent: int, limit: int = 500_000) -> DataFrame:
+    """(x, y), x < y: of (sig, fp, comp, hot, weak), the pairs of different components that meet often enough to be compared.
 
     In hot buckets only pairs with a weak member. A bucket's ids stream in; hot
     ones are compared in blocks, and nothing but pairs of two components leaves.
@@ -257,18 +260,24 @@ def _left_pairs(rows: DataFrame, cold: int, limit: int = 200_000) -> DataFrame:
 
         def flush():
             nonlocal done, held
-            p = np.unique(np.concatenate(done), axis=0) if done else np.empty((0, 2), np.int64)
+            p, k = np.unique(np.concatenate(done).view("i8,i8,i8").ravel(), return_counts=True)
             done, held = [], 0
-            return _batches([p[:, 0], p[:, 1]], ["x", "y"], [pa.int64()] * 2)
+            return _batches([p["f0"], p["f1"], p["f2"], k], ["x", "y", "band", "k"], [pa.int64()] * 4)
 
-        def pairs(f, c, hot, weak):
+        def pairs(s, f, c, hot, weak):
             nonlocal held
+            band = (s[0] & ((1 << TAG_BITS) - 1)) // SEEDS
             left = np.flatnonzero(weak) if hot[0] else np.arange(len(f))
-            for i in left:
-                other = f[c != c[i]]
-                if len(other):
-                    done.append(np.stack((np.minimum(other, f[i]), np.maximum(other, f[i])), 1))
-                    held += len(other)
+            for at in range(0, len(left), 64):
+                mine = left[at : at + 64]
+                i, j = np.nonzero(c[mine][:, None] != c[None, :])
+                i = mine[i]
+                # Both ends of a pair that both take part find it; the lower one reports it.
+                one = (i < j) | ~(weak[j] if hot[0] else np.ones(len(j), bool))
+                i, j = f[i[one]], f[j[one]]
+                if len(i):
+                    done.append(np.stack((np.minimum(i, j), np.maximum(i, j), np.full(len(i), band)), 1))
+                    held += len(i)
 
         for b in batches:
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -277,16 +286,19 @@ def _left_pairs(rows: DataFrame, cold: int, limit: int = 200_000) -> DataFrame:
             s = cols[0]
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, int)
             for i, j in zip(starts[:-1], starts[1:], strict=True):
-                pairs(*(x[i:j] for x in cols[1:]))
+                pairs(*(x[i:j] for x in cols))
                 if held >= limit:
                     yield flush()
             carry = [x[starts[-1] :] for x in cols] if len(s) else carry
         if carry is not None and len(carry[0]):
-            pairs(*carry[1:])
+            pairs(*carry)
         if done:
             yield flush()
 
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "x bigint, y bigint").distinct()
+    met = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "x bigint, y bigint, band bigint, k bigint")
+    need = F.array(*[F.lit(b[2] + 1 - b[2] // 2) for b in bands(percent)])
+    met = met.groupBy("x", "y", "band").agg(F.sum("k").alias("k")).where(F.col("k") >= F.get(need, F.col("band").cast("int")))
+    return met.select("x", "y").distinct()
 
 
 def _packed(h: np.ndarray) -> bytes:
@@ -343,10 +355,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("x", "y", "fx", "fy").mapInArrow(run, "a bigint, b bigint")
 
 
+def _compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """The links among the pairs; features are read again, only of the classes in question."""
+    wanted = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct()
+    reps = materialize(classes.join(wanted, "fp", "left_semi"), "reps")
+    return materialize(_verified(pairs, materialize(_sets(docs, reps, n, broadcast_rows), "sets"), percent), "links")
+
+
 def _weak(buckets: DataFrame, percent: int) -> DataFrame:
-    """(fp) of the classes with more hot buckets in a partitioning than its slack."""
+    """(fp) of the classes with more hot buckets in a partitioning than half its slack."""
     mask = (1 << TAG_BITS) - 1
-    slack = F.array(*[F.lit(b[2]) for b in bands(percent)])
+    slack = F.array(*[F.lit(b[2] // 2) for b in bands(percent)])
     tag = F.col("sig").bitwiseAND(F.lit(mask))
     hot = buckets.where("hot").groupBy("fp", tag.alias("tag")).agg(F.count(F.lit(1)).alias("k"))
     return hot.where(F.col("k") > F.get(slack, F.floor(F.col("tag") / SEEDS).cast("int"))).select("fp").distinct()
@@ -370,19 +389,18 @@ def ngram_jaccard_join(
     of_doc = materialize(_fingerprints(docs, n), "fingerprints")
     classes = of_doc.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     buckets = materialize(_buckets(_signature_rows(docs, n, percent), cold), "buckets")
-    stars = materialize(buckets.where("fp <> rep").select(F.col("rep").alias("x"), F.col("fp").alias("y")).distinct(), "stars")
-    # Features only of classes that are in some bucket.
-    reps = materialize(classes.join(buckets.select("fp").distinct(), "fp", "left_semi"), "reps")
-    sets = materialize(_sets(docs, reps, n, broadcast_rows), "sets")
-    links = materialize(_verified(stars, sets, percent), "links")
+    # A first choice of pairs; any choice is right, as what it leaves open is looked at again below.
+    stars = buckets.where("fp <> rep").groupBy(F.col("rep").alias("x"), F.col("fp").alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    stars = materialize(stars.where("k >= 3").select("x", "y"), "stars")
+    links = _compared(docs, stars, classes, n, percent, broadcast_rows)
     comp = connected_components(links)
-    known = buckets.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "rep", "hot", F.coalesce("label", "fp").alias("comp"))
+    known = buckets.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "hot", F.coalesce("label", "fp").alias("comp"))
     mixed = materialize(known, "members")
     open_ = mixed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     weak = materialize(_weak(buckets, percent), "weak").withColumn("weak", F.lit(True))
     left = mixed.join(open_, "sig", "left_semi").join(weak, "fp", "left").select("sig", "fp", "comp", "hot", F.coalesce("weak", F.lit(False)).alias("weak"))
-    more = _left_pairs(left, cold).join(stars, ["x", "y"], "left_anti")
-    links2 = materialize(_verified(more, sets, percent), "links2")
+    more = materialize(_left_pairs(left, percent).join(stars, ["x", "y"], "left_anti"), "more")
+    links2 = _compared(docs, more, classes, n, percent, broadcast_rows)
     if not links2.isEmpty():
         comp = connected_components(links.unionByName(links2))
     of_class = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
