@@ -17,12 +17,13 @@ What makes this exact and safe with skew:
 * Equal sets are one class; only classes emit signatures.
 * Members of a bucket are compared with its smallest member first, if the two meet in several
   buckets. The components of these links settle most buckets; pairs from different components are left.
-* Buckets of at most ``cold`` classes give all these pairs. In larger, hot ones only classes
-  with more than slack / 2 such buckets take part, against all; any other class
-  has enough small buckets to meet its partners there.
-* A similar pair shares at least slack + 1 parts, of which at most slack / 2 are hot and not
-  looked at. So a pair is compared only if it meets in slack / 2 + 1 buckets of a band or more: a passage that
-  many documents share makes few parts equal, and no candidates.
+* Buckets of at most ``cold`` classes give all these pairs. A similar pair shares at least
+  slack + 1 parts; unless a class is weak (more than slack / 2 of its buckets are larger, hot
+  ones), half of these are cold. So a pair is compared only if it meets in that many cold
+  buckets of a band: a passage that many documents share makes few parts equal, and few candidates.
+* Weak classes are held against all classes in hot buckets of their band, in blocks. A
+  similar pair differs in at most as many parts as the bound on its own sizes allows, so the vectors of
+  part signatures alone decide which pairs' features are compared at all.
 """
 
 from __future__ import annotations
@@ -246,61 +247,138 @@ def _buckets(rows: DataFrame, cold: int) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig bigint, fp bigint, rep bigint, hot boolean")
 
 
-def _left_pairs(rows: DataFrame, percent: int, limit: int = 500_000) -> DataFrame:
-    """(x, y), x < y: of (sig, fp, comp, hot, weak), the pairs of different components that meet often enough to be compared.
-
-    In hot buckets only pairs with a weak member. A bucket's ids stream in; hot
-    ones are compared in blocks, and nothing but pairs of two components leaves.
-    """
+def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(x, y), x < y: of (sig, fp, comp) of cold buckets, the pairs of different components that meet often enough to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
+        carry: list[np.ndarray] = []
         done: list[np.ndarray] = []
-        held = 0
+
+        def pairs(s, f, c):
+            i, j = np.nonzero(np.triu(c[:, None] != c[None, :], 1))
+            if len(i):
+                band = np.full(len(i), (s[0] & ((1 << TAG_BITS) - 1)) // SEEDS)
+                done.append(np.stack((np.minimum(f[i], f[j]), np.maximum(f[i], f[j]), band)))
 
         def flush():
-            nonlocal done, held
-            p, k = np.unique(np.concatenate(done).view("i8,i8,i8").ravel(), return_counts=True)
-            done, held = [], 0
-            return _batches([p["f0"], p["f1"], p["f2"], k], ["x", "y", "band", "k"], [pa.int64()] * 4)
-
-        def pairs(s, f, c, hot, weak):
-            nonlocal held
-            band = (s[0] & ((1 << TAG_BITS) - 1)) // SEEDS
-            left = np.flatnonzero(weak) if hot[0] else np.arange(len(f))
-            for at in range(0, len(left), 64):
-                mine = left[at : at + 64]
-                i, j = np.nonzero(c[mine][:, None] != c[None, :])
-                i = mine[i]
-                # Both ends of a pair that both take part find it; the lower one reports it.
-                one = (i < j) | ~(weak[j] if hot[0] else np.ones(len(j), bool))
-                i, j = f[i[one]], f[j[one]]
-                if len(i):
-                    done.append(np.stack((np.minimum(i, j), np.maximum(i, j), np.full(len(i), band)), 1))
-                    held += len(i)
+            p = np.concatenate(done, axis=1)
+            done.clear()
+            return _batches(list(p), ["x", "y", "band"], [pa.int64()] * 3)
 
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if carry is not None:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if carry:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
             s = cols[0]
             starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, int)
             for i, j in zip(starts[:-1], starts[1:], strict=True):
                 pairs(*(x[i:j] for x in cols))
-                if held >= limit:
-                    yield flush()
             carry = [x[starts[-1] :] for x in cols] if len(s) else carry
-        if carry is not None and len(carry[0]):
+            if done:
+                yield flush()
+        if carry and len(carry[0]):
             pairs(*carry)
         if done:
             yield flush()
 
-    met = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "x bigint, y bigint, band bigint, k bigint")
+    met = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "x bigint, y bigint, band bigint")
     need = F.array(*[F.lit(b[2] + 1 - b[2] // 2) for b in bands(percent)])
-    met = met.groupBy("x", "y", "band").agg(F.sum("k").alias("k")).where(F.col("k") >= F.get(need, F.col("band").cast("int")))
+    met = met.groupBy("x", "y", "band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.get(need, F.col("band").cast("int")))
     return met.select("x", "y").distinct()
 
 
+def part_vector(h: np.ndarray, band: int, m: int) -> np.ndarray:
+    """32-bit signatures of the m parts of a set, empty parts included, in the band's first partitioning."""
+    part = (((_mix(h + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> _S) * np.uint64(m)) >> _S).astype(np.int64)
+    total = np.zeros(m, np.uint64)
+    np.add.at(total, part, _mix(h ^ _M3))
+    return (_mix(total) >> _S).astype(np.uint32)
+
+
+def _hot_blocks(docs: DataFrame, hot: DataFrame, classes: DataFrame, n: int, percent: int, broadcast_rows: int, block_bytes: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
+    """Of (band, fp, weak): the classes with part vectors, dealt to blocks, and the pairs of blocks (band, i, j) that must meet.
+
+    A band's classes are cut into blocks by size; every two blocks with sizes close enough meet in a task of their own.
+    """
+    table_ = bands(percent)
+    reps = materialize(classes.join(hot, "fp"), "hot_classes")
+    needed = reps.select(F.col("doc_id").alias("__nav_id"), F.col("fp").alias("__nav_fp"), "band", "weak")
+    small = needed.count() <= broadcast_rows
+    picked = docs.join(F.broadcast(needed) if small else needed, F.col("doc_id").eqNullSafe(F.col("__nav_id"))).select("__nav_fp", "band", "weak", "text")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, sizes, vecs = [], [], []
+            for i, (want, band, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True)):
+                h = ngram_hashes(t.as_py(), n)
+                if fingerprint(h) == want:
+                    keep.append(i)
+                    sizes.append(len(h))
+                    vecs.append(part_vector(h, band, table_[band][3]).tobytes())
+            at = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary())], names=["fp", "band", "weak", "n", "vec"])
+
+    vec = materialize(picked.mapInArrow(vectors, "fp bigint, band bigint, weak boolean, n bigint, vec binary").dropDuplicates(["band", "fp"]), "vectors")
+    # Blocks of like size: every band is cut at its sizes, and sizes of very many classes by a hash as well.
+    rows_in = F.floor(F.greatest(F.lit(32), F.least(F.lit(2048), block_bytes / F.octet_length("vec"))))
+    per_size = vec.groupBy("band", "n").agg(F.count(F.lit(1)).alias("k"), F.min(rows_in).alias("most"))
+    from pyspark.sql import Window as W
+
+    upto = F.sum("k").over(W.partitionBy("band").orderBy("n"))
+    cut = per_size.withColumn("lo", F.floor((upto - F.col("k")) / F.col("most"))).withColumn("hi", F.floor((upto - 1) / F.col("most"))).select("band", "n", "lo", "hi")
+    dealt = vec.join(F.broadcast(cut) if cut.count() <= 100_000 else cut, ["band", "n"]).withColumn("block", F.col("lo") + F.pmod(F.xxhash64("fp"), F.col("hi") - F.col("lo") + 1)).drop("lo", "hi")
+    dealt = materialize(dealt, "dealt")
+    blocks = materialize(dealt.groupBy("band", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("weak").alias("any")), "blocks")
+    one, two = blocks.alias("a"), blocks.alias("b")
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.any") | F.col("b.any")) & (100 * F.col("a.most") >= percent * F.col("b.least")) & (100 * F.col("b.most") >= percent * F.col("a.least"))
+    meet = one.join(two, near).select("a.band", F.col("a.block").alias("i"), F.col("b.block").alias("j"))
+    return dealt, materialize(meet, "meet")
+
+
+def _hot_pairs(dealt: DataFrame, meet: DataFrame, comp: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(x, y), x < y: the pairs with a weak member and of different components whose part vectors agree enough.
+
+    nearest: of each class in a block only the pair that agrees most.
+    """
+    dealt = dealt.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp")).drop("label")
+    names = ["band", "i", "j", "fp", "comp", "weak", "n", "vec"]
+    left = meet.join(dealt.withColumnRenamed("block", "i"), ["band", "i"]).select(*[F.col(c).alias(c) for c in names])
+    right = meet.join(dealt.withColumnRenamed("block", "j"), ["band", "j"]).select(*[F.col(c).alias(c) for c in names])
+
+    def compare(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        def arrays(t):
+            v = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint32).reshape(t.num_rows, -1)
+            return *(t.column(c).to_numpy() for c in ("fp", "comp", "weak", "n")), np.ascontiguousarray(v.T)
+
+        fa, ca, wa, na, va = arrays(a)
+        fb, cb, wb, nb, vb = arrays(b)
+        m = len(va)
+        xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for mine, other in ((np.flatnonzero(wa), np.arange(len(fb))), (np.flatnonzero(~wa), np.flatnonzero(wb))):
+            vo = np.ascontiguousarray(vb[:, other])
+            for lo in range(0, len(mine) if len(other) else 0, 128):
+                s = mine[lo : lo + 128]
+                same = np.zeros((len(s), len(other)), np.uint32 if m > 65535 else np.uint16)
+                for x, y in zip(va[:, s], vo, strict=True):
+                    same += x[:, None] == y
+                apart = (na[s, None] + nb[other]) * (100 - percent) // (100 + percent)
+                good = (same + apart >= m) & (ca[s, None] != cb[other])
+                if nearest:
+                    same = np.where(good, same + 1, 0)
+                    only = np.zeros_like(good)
+                    only[np.arange(len(s)), same.argmax(axis=1)] = True
+                    only[same.argmax(axis=0), np.arange(len(other))] = True
+                    good &= only
+                i, j = np.nonzero(good)
+                xs.append(fa[s[i]])
+                ys.append(fb[other[j]])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    met = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInArrow(compare, "x bigint, y bigint")
+    return met.distinct()
+
+
 def _packed(h: np.ndarray) -> bytes:
     """The top 40 bits of each hash, sorted: five bytes a feature (a chance of 1e-8 or so that a pair of common size counts one too many)."""
     return np.unique(h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -372,7 +450,7 @@ def _weak(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, cold: int = 48, broadcast_rows: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, cold: int = 48, joins: int = 2, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
     """Link every two documents whose word n-gram sets have a Jaccard similarity of at least ``percent``/100.
 
@@ -394,15 +472,37 @@ def ngram_jaccard_join(
     stars = materialize(stars.where("k >= 3").select("x", "y"), "stars")
     links = _compared(docs, stars, classes, n, percent, broadcast_rows)
     comp = connected_components(links)
-    known = buckets.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "hot", F.coalesce("label", "fp").alias("comp"))
-    mixed = materialize(known, "members")
-    open_ = mixed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+
+    def members() -> DataFrame:
+        """(sig, fp, hot, comp) of the buckets with members of several components."""
+        known = materialize(buckets.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "hot", F.coalesce("label", "fp").alias("comp")), "members")
+        open_ = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+        return materialize(known.join(open_, "sig", "left_semi"), "left")
+
+    left = members()
     weak = materialize(_weak(buckets, percent), "weak").withColumn("weak", F.lit(True))
-    left = mixed.join(open_, "sig", "left_semi").join(weak, "fp", "left").select("sig", "fp", "comp", "hot", F.coalesce("weak", F.lit(False)).alias("weak"))
-    more = materialize(_left_pairs(left, percent).join(stars, ["x", "y"], "left_anti"), "more")
-    links2 = _compared(docs, more, classes, n, percent, broadcast_rows)
-    if not links2.isEmpty():
-        comp = connected_components(links.unionByName(links2))
+    any_weak = not weak.isEmpty()
+    if any_weak:
+        band = F.floor(F.col("sig").bitwiseAND(F.lit((1 << TAG_BITS) - 1)) / SEEDS)
+        hot = left.where("hot").select(band.alias("band"), "fp").distinct().join(weak, "fp", "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
+        dealt, meet = _hot_blocks(docs, hot, classes, n, percent, broadcast_rows)
+        # Large groups of near copies first grow together along their closest pairs; else they would give all of theirs.
+        for _ in range(joins):
+            near = materialize(_hot_pairs(dealt, meet, comp, percent, True).join(stars, ["x", "y"], "left_anti"), "near")
+            more = _compared(docs, near, classes, n, percent, broadcast_rows)
+            stars = stars.unionByName(near)
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            comp = connected_components(links)
+        left = members()
+    found = _cold_pairs(left.where("not hot").select("sig", "fp", "comp"), percent)
+    if any_weak:
+        found = found.unionByName(_hot_pairs(dealt, meet, comp, percent, False)).distinct()
+    rest = materialize(found.join(stars, ["x", "y"], "left_anti"), "rest")
+    more = _compared(docs, rest, classes, n, percent, broadcast_rows)
+    if not more.isEmpty():
+        comp = connected_components(links.unionByName(more))
     of_class = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
     lowest = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = of_class.join(lowest, "label").select("fp", "component_id")
