@@ -78,7 +78,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, n int, item string, k bigint").groupBy("lang", "n", "item").agg(F.sum("k").alias("k"))
     by = W.partitionBy("lang", "n")
     top = counts.withColumn("total", F.sum("k").over(by)).withColumn("at", F.row_number().over(by.orderBy(F.desc("k"), "item")))
-    top = top.where(F.col("at") <= F.when(F.col("n") == 0, most_words).otherwise(most_ngrams)).collect()
+    top = top.where(F.col("at") <= F.when(F.col("n") == 0, most_words).otherwise(most_ngrams)).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in top})
     place = {x: i for i, x in enumerate(langs)}
     totals = np.ones((5, len(langs)))

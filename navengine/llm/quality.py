@@ -126,7 +126,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["f", "k0", "k1"])
 
     df = sample.select("text", "y").mapInArrow(grams, "f string, k0 bigint, k1 bigint").groupBy("f").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
-    vocab = df.where(F.col("k0") + F.col("k1") >= least_rows).orderBy(F.desc(F.col("k0") + F.col("k1")), "f").limit(most_features).toPandas()
+    vocab = df.where(F.col("k0") + F.col("k1") >= least_rows).orderBy(F.desc(F.col("k0") + F.col("k1")), "f").limit(most_features).toArrow().to_pandas()
     key = [tuple(f.split("\t")) if "\t" in f else f for f in vocab["f"]]
     p, q = vocab["k1"].to_numpy() + alpha, vocab["k0"].to_numpy() + alpha
     r = np.log((p / p.sum()) / (q / q.sum())) if len(key) else np.zeros(0)
@@ -138,7 +138,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for batch in texts:
             yield pd.Series([sorted(shared.value[f] for f in features(t) if f in shared.value) for t in batch])
 
-    got = sample.select("id", "y", vector("text").alias("x")).toPandas().sort_values("id")
+    got = sample.select("id", "y", vector("text").alias("x")).toArrow().to_pandas().sort_values("id")
     sample.unpersist()
     x = [np.asarray(v, np.int64) for v in got["x"]]
     v = [r[i] / math.sqrt(SMOOTH + r[i] @ r[i]) for i in x]
