@@ -33,7 +33,8 @@ class Encoder(dict):
 
     A unit is a run without white space with one space before it, or white space
     as the vocabulary's own pattern parts it; ids never cross units. tiktoken
-    reads the same byte-level vocabulary as the JSON file, several times faster.
+    reads the same byte-level vocabulary as the JSON file, several times faster;
+    texts with a special token's string go through the JSON file whole.
     """
 
     # Where Python's and the vocabulary's white space are not the same.
@@ -41,13 +42,16 @@ class Encoder(dict):
     UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s")
     TAIL = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 500_000):
+    def __init__(self, ranks_path: str, pattern: str, json_path: str, most: int = 500_000):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.most = most
+        self.full = Tokenizer.from_file(json_path)
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain(text), "<u4").tobytes()
@@ -64,25 +68,27 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.ODD.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.UNIT.findall(text)))
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str | None, pattern: str | None) -> Encoder:
+def _encoder(path: str | None, pattern: str | None, json_path: str | None) -> Encoder:
     import public_tokenizers
 
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, json_path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def pieces(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, json_path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt) of each piece; all but a document's first are ``size`` long."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, salt = _encoder(ranks_path, pattern), 0
+        encoder, salt = _encoder(ranks_path, pattern, json_path), 0
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1)):
@@ -213,7 +219,7 @@ def _level(rows: DataFrame, size: int, level: int, per_shard: int, islands: int,
     return flat.withColumns({"offset": F.sum("length").over(w.orderBy("pos")) - F.col("length"), "fill": F.sum("length").over(w)})
 
 
-def pack(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", per_shard: int = 2048, islands: int = 2, rounds: int = 2, levels: int = 2, waste: float = 0.02, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", per_shard: int = 2048, islands: int = 2, rounds: int = 2, levels: int = 2, waste: float = 0.02, ranks_path: str | None = None, pattern: str | None = None, json_path: str | None = None) -> DataFrame:
     """Pack all documents into sequences of at most ``size`` ids.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -221,7 +227,7 @@ def pack(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: st
     as often as they occur; null ids stay null. Other columns are ignored, and an empty
     table gives no rows. Long texts are encoded whole. Ties between equal solutions go to the lower island.
     """
-    cut = materialize(pieces(docs, size, id_col, text_col, ranks_path, pattern), "pieces")
+    cut = materialize(pieces(docs, size, id_col, text_col, ranks_path, pattern, json_path), "pieces")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out = cut.where(F.col("length") == size).withColumns({"sequence_id": F.monotonically_increasing_id() + F.lit(1 << 62), "offset": F.lit(0).cast("long")}).select(*names)
     rows = cut.where(F.col("length") < size)

@@ -142,7 +142,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(2)
-    rows = [*ODD, *((10 + i, " ".join(rng.choice(["alpha", "beta,", "don't", "12", "é!\n\n x"]) for _ in range(rng.randrange(1, 400))), "", 0) for i in range(60))]
+    rows = [*ODD, *((10 + i, " ".join(rng.choice(["alpha", "beta,", "don't", "12", "é!\n\n x"]) for _ in range(rng.randrange(1, 400))), "", 0) for i in range(60)), (80, "a <|endoftext|> b<|endoftext|>", "", 0), (81, "x\x1c y", "", 0)]
     got = packing.pack(docs(spark, rows), size=128, per_shard=50).collect()
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     by = {}
