@@ -53,3 +53,16 @@ def fill_category(scheme: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def universe_as_of(scheme: DataFrame, snapshot: DataFrame, day: str) -> DataFrame:
     return scheme.join(snapshot.where(F.col("snap_date") == F.lit(day).cast("date")), "amfi_code", "left_semi")
+
+
+def manual_mapping(scheme: DataFrame, curated: DataFrame) -> DataFrame:
+    """(amfi_code, category) for curated rows (amfi_code, candidates: patterns in order) whose code has no category.
+
+    The first candidate that a categorised name matches decides; of its matches, the lowest code.
+    The curated list is written by hand and broadcast.
+    """
+    tries = curated.select("amfi_code", F.posexplode("candidates").alias("at", "pattern"))
+    open_ = tries.join(scheme.where("category is null").select("amfi_code"), "amfi_code", "left_semi")
+    donors = scheme.where("category is not null").select(F.col("amfi_code").alias("donor"), "scheme_name", F.col("category").alias("given"))
+    hits = donors.join(F.broadcast(open_), F.expr("scheme_name ilike pattern"))
+    return hits.groupBy("amfi_code").agg(F.min_by("given", F.struct("at", "donor")).alias("category"))

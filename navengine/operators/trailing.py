@@ -130,3 +130,51 @@ def spearman(pairs: DataFrame, least: int = 10) -> DataFrame:
     mean_rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("horizon_y", "fy", c)) - 1) / 2
     r = pairs.withColumns({"ra": mean_rank("formation"), "rb": mean_rank("holding")})
     return r.groupBy("horizon_y", "fy").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho")).where(F.col("n") >= least)
+
+
+def portfolio_summary(returns: DataFrame, weights: dict[str, float], least: int = 20) -> DataFrame:
+    """One row: weighted and portfolio volatility, their ratio, drawdown (negative), growth a year and Sharpe ratio; none with fewer than ``least`` common days."""
+    share = F.coalesce(*(F.when(F.col("fund_id") == f, F.lit(float(x))) for f, x in weights.items()), F.lit(0.0))
+    each = returns.groupBy("fund_id").agg(annual_vol(F.log1p("r")).alias("vol")).agg(F.sum(F.col("vol") * share).alias("weighted_vol"))
+    path = portfolio_path(returns, weights)
+    top = F.max("nav").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, 0))  # one row for each common day
+    whole = path.withColumn("fall", F.col("nav") / top - 1).agg(F.count(F.lit(1)).alias("n_obs"), annual_vol(F.log1p("r")).alias("portfolio_vol"), F.min("fall").alias("max_dd"), cagr(F.max_by("nav", "d"), F.datediff(F.max("d"), F.min("d"))).alias("cagr"))
+    out = whole.where(F.col("n_obs") >= least).crossJoin(F.broadcast(each))  # one row each
+    return out.withColumns({"diversification_ratio": F.when(F.col("portfolio_vol") > 1e-6, F.col("weighted_vol") / F.col("portfolio_vol")), "sharpe": sharpe(F.col("cagr"), F.col("portfolio_vol"))})
+
+
+def risk_contribution(returns: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(fund_id, contribution): each fund's share of the variance of simple returns; the shares add to 1."""
+    share = lambda c: F.coalesce(*(F.when(F.col(c) == f, F.lit(float(x))) for f, x in weights.items()), F.lit(0.0))
+    other = returns.select("d", F.col("fund_id").alias("fund_b"), F.col("r").alias("rb"))
+    cov = returns.join(other, "d").groupBy("fund_id", "fund_b").agg(F.covar_samp("r", "rb").alias("cov"))
+    own = cov.groupBy("fund_id").agg(F.sum(share("fund_id") * share("fund_b") * F.col("cov")).alias("part"))
+    total = own.agg(F.sum("part").alias("__total"))
+    return own.crossJoin(F.broadcast(total)).select("fund_id", F.when(F.col("__total") > 0, F.col("part") / F.col("__total")).alias("contribution"))
+
+
+def cramers_v(counts: DataFrame) -> DataFrame:
+    """(horizon_y, n, chi2, v) of the counts (fq, hq, n) of a horizon; v is null if either side has one value only."""
+    by = W.partitionBy("horizon_y")
+    t = counts.select("horizon_y", "fq", "hq", "n", F.sum("n").over(by.partitionBy("horizon_y", "fq")).alias("r"), F.sum("n").over(by.partitionBy("horizon_y", "hq")).alias("c"))
+    out = t.groupBy("horizon_y").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"), F.least(F.count_distinct("fq"), F.count_distinct("hq")).alias("k"))
+    chi2 = F.col("n") * (F.col("s") - 1)
+    return out.select("horizon_y", "n", chi2.alias("chi2"), F.when(F.col("k") > 1, F.sqrt(F.greatest(chi2, F.lit(0.0)) / (F.col("n") * (F.col("k") - 1)))).alias("v"))
+
+
+def snapshot(nav: DataFrame, funds: DataFrame, asof: str, horizons: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """A row for each fund (fund_id, category) and horizon: value (return at one year, else growth a year), mean and rank among its live peers.
+
+    Funds without a live value are labelled: Died, or Too new.
+    """
+    last = last_at_or_before(nav, asof).select("fund_id", (F.datediff(F.lit(asof).cast("date"), "last_d") > DEATH_DAYS).alias("__dead"))
+    base = funds.select("fund_id", "category").join(last, "fund_id", "left")
+    w = W.partitionBy("category")
+    out = None
+    for years in horizons:
+        metric = "window_return" if years == 1 else "cagr"
+        value = trailing(nav, asof, years).where("not is_dead").select("fund_id", F.col(metric).alias("value"))
+        rows = base.join(value, "fund_id", "left").withColumns({"horizon_y": F.lit(years), "cat_avg": F.avg("value").over(w), "n_peers": F.count("value").over(w), "rank": F.rank().over(w.orderBy(F.desc_nulls_last("value")))})
+        rows = rows.withColumns({"rank": F.when(F.col("value").isNotNull(), F.col("rank")), "label": F.when(F.col("value").isNull(), F.when(F.coalesce("__dead", F.lit(True)), "Died").otherwise("Too new"))})
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("fund_id", "category", "horizon_y", "value", "cat_avg", "rank", "n_peers", "label")

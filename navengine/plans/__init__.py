@@ -1,0 +1,3 @@
+from . import queries, store_queries
+
+__all__ = ["queries", "store_queries"]

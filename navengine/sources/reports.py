@@ -32,3 +32,25 @@ def current_list(lines: DataFrame) -> DataFrame:
     code = F.trim(F.get(F.split("value", ";"), F.lit(0)))
     rows = lines.withColumn("category", F.last(head, ignorenulls=True).over(w)).where(F.col("value").contains(";") & code.rlike("^[0-9]+$") & F.col("category").isNotNull())
     return rows.groupBy(code.cast("int").alias("amfi_code")).agg(F.max_by("category", F.struct("file", "pos")).alias("category"))
+
+
+PAYLOAD = "meta struct<fund_house:string,scheme_type:string,scheme_category:string,scheme_code:string,scheme_name:string,isin_growth:string,isin_div_reinvestment:string>, data array<struct<date:string,nav:string>>"
+
+
+def json_payloads(rows: DataFrame) -> DataFrame:
+    """One row for each good price of the JSON payloads in (value); a date's first price wins, and a payload without a code raises an error."""
+    p = rows.select(F.from_json("value", PAYLOAD).alias("p"))
+    code = F.coalesce(F.col("p.meta.scheme_code").cast("int"), F.raise_error(F.lit("payload without scheme_code")).cast("int"))
+    name = F.coalesce("p.meta.scheme_name", F.lit(""))
+    flat = p.select(code.alias("amfi_code"), name.alias("scheme_name"), F.col("p.meta.scheme_category").alias("category"), plan_of(name).alias("plan"), option_of(name).alias("option"), F.posexplode("p.data").alias("pos", "x"))
+    good = flat.withColumns({"nav": F.col("x.nav").try_cast("double"), "nav_date": any_date(F.col("x.date"))}).where("nav > 0 and nav_date is not null")
+    keys = ["amfi_code", "scheme_name", "category", "plan", "option", "nav_date"]
+    return good.groupBy(*keys).agg(F.min_by("nav", "pos").alias("nav"))
+
+
+def house_of_rows(lines: DataFrame) -> DataFrame:
+    """(file, pos, amfi_code, house): of (file, pos, value), the last line without fields before each row of prices."""
+    head = F.when(~F.col("value").contains(";") & (F.trim("value") != ""), F.trim("value"))
+    w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    code = F.trim(F.get(F.split("value", ";"), F.lit(0)))
+    return lines.withColumn("house", F.last(head, ignorenulls=True).over(w)).where(F.col("value").contains(";") & code.rlike("^[0-9]+$")).select("file", "pos", code.cast("int").alias("amfi_code"), "house")

@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pytest
+
 from navengine.functions.series import horizon_days
-from navengine.operators import asof, identity, jumps, store
+from navengine.operators import asof, identity, jumps, store, trailing
 from navengine.sources import reports
 
 DAY = dt.date(2020, 1, 1)
@@ -68,3 +70,24 @@ def test_category_spellings(spark):
     c = spark.createDataFrame([("Large Cap Fund",), ("Large Cap",), ("Other Schemes",), ("Other Scheme",)], "category string")
     got = {r["raw_category"]: r["canonical_category"] for r in identity.category_map(c).collect()}
     assert got == {"Large Cap Fund": "Large Cap", "Large Cap": "Large Cap", "Other Schemes": "Other Scheme", "Other Scheme": "Other Scheme"}
+
+
+def test_payload_without_code_raises(spark):
+    with pytest.raises(Exception, match="scheme_code"):
+        reports.json_payloads(spark.createDataFrame([('{"meta":{},"data":[{"date":"01-01-2020","nav":"1"}]}',)], "value string")).collect()
+
+
+def test_portfolio_needs_twenty_common_days(spark):
+    rows = [(f, i, 10 + i % 3 + k) for k, f in enumerate("ab") for i in range(20)]
+    weights = {"a": 0.5, "b": 0.5}
+    few = trailing.common_returns(nav(spark, rows), ["a", "b"])
+    assert trailing.portfolio_summary(few, weights).collect() == []
+    assert abs(sum(r["contribution"] for r in trailing.risk_contribution(few, weights).collect()) - 1) < 1e-9
+
+
+def test_snapshot_labels(spark):
+    live, dead, young = [("l", i, 10) for i in range(400)], [("d", i, 10) for i in range(100)], [("y", i, 10) for i in range(350, 400)]
+    funds = spark.createDataFrame([(f, "c") for f in ("l", "d", "y", "n")], "fund_id string, category string")
+    got = trailing.snapshot(nav(spark, live + dead + young), funds, str(DAY + dt.timedelta(399)), (1,)).collect()
+    assert {r["fund_id"]: r["label"] for r in got} == {"l": None, "d": "Died", "y": "Too new", "n": "Died"}
+    assert next(r for r in got if r["fund_id"] == "l")["n_peers"] == 1
