@@ -51,7 +51,7 @@ STAGES = [
     ("best_fit_packing", stage_packing),
 ]
 
-#: Trained classifiers, the similarity join and packing have no SQL; the tests hold run() against its stages by brute force.
+#: Trained classifiers, the similarity join and packing have no SQL; tests/llm/test_pipeline.py holds the join stage against brute force and the others against invariants.
 ORACLE_SQL = None
 
 
