@@ -42,8 +42,8 @@ from .components import connected_components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S = np.uint64(32)
-TAG_BITS = 10  # the low bits of a signature: band * 8 + partitioning
-SEEDS = 8
+TAG_BITS = 11  # the low bits of a signature: band * SEEDS + partitioning
+SEEDS = 32  # a set of few features fails to be strong in one of them now and then, in all of them never
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
