@@ -1,3 +1,3 @@
-from . import queries, store_queries
+from . import queries, report_queries, store_queries
 
-__all__ = ["queries", "store_queries"]
+__all__ = ["queries", "report_queries", "store_queries"]

@@ -91,3 +91,25 @@ def test_snapshot_labels(spark):
     got = trailing.snapshot(nav(spark, live + dead + young), funds, str(DAY + dt.timedelta(399)), (1,)).collect()
     assert {r["fund_id"]: r["label"] for r in got} == {"l": None, "d": "Died", "y": "Too new", "n": "Died"}
     assert next(r for r in got if r["fund_id"] == "l")["n_peers"] == 1
+
+
+def test_p_values_of_known_quantiles():
+    from navengine.functions.pvalues import chi_square_tail, student_tail
+
+    for x, dof in ((3.841459, 1), (5.991465, 2), (16.918978, 9), (18.307038, 10)):
+        assert abs(chi_square_tail(x, dof) - 0.05) < 1e-6
+    for t, dof in ((12.706205, 1), (4.302653, 2), (3.182446, 3), (2.228139, 10), (2.200985, 11), (1.959964, 10**6)):
+        assert abs(student_tail(t, dof) - 0.05) < 1e-6
+    assert chi_square_tail(0.0, 0) == 1.0 and student_tail(0.0, 7) == 1.0
+
+
+def test_weights_sum_to_one():
+    import pytest
+
+    from navengine.operators.reports import normalised_weights
+
+    assert normalised_weights(["a", "b"]) == {"a": 0.5, "b": 0.5}
+    assert normalised_weights(["a", "b"], [75, 25]) == {"a": 0.75, "b": 0.25}
+    for bad in ([1.0], [-1.0, 2.0], [0.0, 0.0]):
+        with pytest.raises(ValueError):
+            normalised_weights(["a", "b"], bad)
