@@ -25,7 +25,7 @@ from .common import materialize, shared_dir, table
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
-HEAD = 1 << 16  # the longest header that is looked for
+HEAD = 1 << 16  # bytes read at first for a header, which may be longer
 LEAST_PAYLOAD = 100
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d{1,18})(?=\r\n)")
 
@@ -69,42 +69,50 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 def _header(data: bytes, at: int) -> tuple[int, int] | None:
     """(header's length with its blank line, block's length) of a record at ``at``, if it looks like one."""
-    end = data.find(END, at, at + HEAD)
+    end = data.find(END, at)
     m = end >= 0 and _LENGTH.search(data, at, end + 2)
     return (end + 4 - at, int(m[1])) if m else None
 
 
-def _load(path: str, lo: int, hi: int) -> bytes:
+def candidates(path: str, size: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(offset, exit, records up to the exit) of all that looks like a record's start in [lo, hi)."""
     with reading(path) as f:
         f.seek(lo)
-        return f.read(hi - lo)
-
-
-def candidates(path: str, size: int, lo: int, hi: int) -> list[tuple[int, int]]:
-    """(offset, exit) of all that looks like a record's start in [lo, hi)."""
-    data = _load(path, lo, min(size, hi + HEAD))
+        data, more, seen = f.read(min(size, hi + HEAD) - lo), HEAD, 0
+        starts = [m.start() for m in re.finditer(re.escape(MAGIC), data) if m.start() < hi - lo]
+        # A header is as long as its address: read on until the last one has its blank line.
+        while starts and data.find(END, max(starts[-1], seen)) < 0 and lo + len(data) < size:
+            seen = max(0, len(data) - len(END))
+            data, more = data + f.read(min(more, size - lo - len(data))), 2 * more
     after: dict[int, int] = {}
-    at = data.find(MAGIC)
-    while 0 <= at < hi - lo:
-        if (h := _header(data, at)) and lo + at + h[0] + h[1] + 4 <= size:
-            after[lo + at] = lo + at + h[0] + h[1] + 4
-        at = data.find(MAGIC, at + 1)
-    out: dict[int, int] = {}
+    end, length = -1, None
+    for at in starts:  # both searches go ahead only, however many places share a blank line
+        end = data.find(END, at) if end < at else end
+        length = _LENGTH.search(data, at) if length is None or length.start() < at else length
+        if end < 0 or length is None:
+            break
+        if length.end() <= end and (to := lo + end + len(END) + int(length[1]) + len(END)) <= size:
+            after[lo + at] = to
+    out: dict[int, tuple[int, int]] = {}
     for x in sorted(after, reverse=True):  # successors lie ahead, so theirs is known already
-        out[x] = out.get(after[x], -1) if after[x] < hi else after[x]
-    return [(x, y) for x, y in out.items() if y >= 0]  # a chain that breaks off within the range leads nowhere
+        to, n = out.get(after[x], (-1, 0)) if after[x] < hi else (after[x], 0)
+        out[x] = to, n + 1
+    return [(x, to, n) for x, (to, n) in out.items() if to >= 0]  # a chain that breaks off within the range leads nowhere
 
 
-def _entries(ranges: DataFrame) -> DataFrame:
-    """(path, size, lo, hi, entry): the first true record of each range that has one."""
+def _entries(ranges: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, size, lo, hi, entry): the first true record of each range that has one.
+
+    Raises ValueError if the chain of an archive ends before the archive does or has not the manifest's count of records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, size, lo, hi in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 found = candidates(path, size, lo, hi)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["path", "at", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], names=["path", "at", "to", "n"])
 
-    jump = materialize(ranges.mapInArrow(run, "path string, at bigint, to bigint"), "jumps")
+    jump = once = materialize(ranges.mapInArrow(run, "path string, at bigint, to bigint, n bigint"), "jumps")
     # A first candidate need not be in range 0 only: the chain starts at offset 0 of every archive.
     reached = jump.where("at = 0").select("path", "at")
     most = ranges.groupBy("path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
@@ -115,7 +123,12 @@ def _entries(ranges: DataFrame) -> DataFrame:
             far = jump.select("path", F.col("at").alias("to"), F.col("to").alias("further"))
             jump = materialize(jump.join(far, ["path", "to"]).select("path", "at", F.col("further").alias("to")), "jumps")
     first = reached.withColumnRenamed("at", "entry")
-    return ranges.join(first, "path").where("entry >= lo and entry < hi")
+    entries = materialize(ranges.join(first, "path").where("entry >= lo and entry < hi"), "entries")
+    read = entries.join(once.withColumnRenamed("at", "entry"), ["path", "entry"]).groupBy("path").agg(F.sum("n").alias("n"), F.max("to").alias("end"))
+    short = manifest.join(read, "path", "left").where("records <> coalesce(n, 0) or bytes <> coalesce(end, 0)").select("path", "records", "bytes", "n", "end").take(3)
+    if short:
+        raise ValueError(f"archives whose records are not those of the manifest: {short}")
+    return entries
 
 
 def read_warc(manifest: DataFrame, range_bytes: int = 16 << 20, with_payload: bool = False) -> DataFrame:
@@ -123,14 +136,14 @@ def read_warc(manifest: DataFrame, range_bytes: int = 16 << 20, with_payload: bo
 
     Columns: path, offset, record_type, page_id, url, refers_to, payload_bytes,
     payload_digest (both computed from a response's bytes, and taken from the header of a
-    revisit) and, if asked for, payload as binary. No archives give no rows. A damaged archive
-    yields the records before the damage, as the chain from its start breaks there; a
-    response whose digest differs from its header's raises ValueError.
+    revisit) and, if asked for, payload as binary. No archives give no rows. Headers may have any length.
+    An archive whose chain of records breaks off or has not the manifest's count of records raises ValueError
+    at once; a response whose digest differs from its header's does so when it is read.
     """
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = manifest.where("bytes > 0").select("path", F.col("bytes").alias("size"), step.alias("lo"))
     ranges = ranges.withColumn("hi", F.least(F.col("lo") + range_bytes, "size")).repartition("path", "lo")
-    entries = _entries(ranges)
+    entries = _entries(ranges, manifest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,8 +172,13 @@ def _records(path: str, at: int, hi: int, with_payload: bool, rows: int = 2000)
                 f.seek(at)
                 data, base = f.read(max(HEAD, min(4 << 20, size - at))), at
             h = _header(data, at - base) if data.startswith(MAGIC, at - base) else None
+            more = len(data)
+            while h is None and data.startswith(MAGIC, at - base) and base + len(data) < size:  # a longer header
+                f.seek(at)
+                data, base, more = f.read(max(2 * HEAD, 2 * more)), at, max(2 * HEAD, 2 * more)
+                h = _header(data, 0)
             if h is None:
-                break
+                raise ValueError(f"{path}, offset {at}: no record starts here")
             head = dict(x.split(": ", 1) for x in data[at - base : at - base + h[0] - 4].decode("utf-8", "surrogatepass").split("\r\n")[1:])
             lo = at + h[0]
             if lo - base + h[1] <= len(data):

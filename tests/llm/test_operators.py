@@ -195,3 +195,20 @@ def test_line_dedup(spark):
     assert all("page" not in got[i]["text"] for i in range(21, 25)) and got[40]["text"] == got[41]["text"] != ""
     assert got[21]["n_dropped"] >= 1 and got[22]["n_dropped"] >= 1
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
+
+
+def test_warc_headers_of_any_length_and_lost_records(spark):
+    rows = [(1, "http://a", "x" * 300), (2, "http://b/" + "p" * 70_000 + "\n" * 50_000, "long"), (3, "http://c", "y" * 300), (4, "http://d/" + "q" * 200_000, None), (5, "http://e", "z")]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), shared_dir(spark))
+    for size in (16 << 20, 30_000):
+        got = {r["page_id"]: r["url"] for r in warc.read_warc(manifest, range_bytes=size).collect()}
+        assert got == {i: u.replace("\n", "%0A") for i, u, _ in rows}
+    with pytest.raises(ValueError, match="manifest"):
+        warc.read_warc(manifest.withColumn("records", F.col("records") + 1))
+    path = manifest.first()["path"].removeprefix("file://")
+    with open(path, "r+b") as f:  # damage to the third record's start
+        data = f.read()
+        f.seek(data.rindex(warc.MAGIC, 0, data.index(b"Target-URI: http://c")))
+        f.write(b"?")
+    with pytest.raises(ValueError, match="manifest"):
+        warc.read_warc(manifest)
