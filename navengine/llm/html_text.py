@@ -2,9 +2,9 @@
 
 Markup is stripped into one line for each block of text. Lines of menus, forms,
 adverts and the like become empty lines, so that they press down the sums of
-text lengths over sliding windows of lines. A text begins where these
-sums surge above a threshold and ends where they dive; the lines between are kept, and
-within an article element every line that has text counts as dense.
+text lengths over sliding windows of lines. A region of adjacent lines is kept, with its short
+lines, if these sums surge above a threshold in it; if none surges, the densest region is. Lines in an article
+element weigh more than those outside, and all lines of one such element are one region.
 """
 
 from __future__ import annotations
@@ -32,19 +32,19 @@ _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, whether in an article) of each line; text that is no part of articles gives an empty line."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
+    """(text, numbers of the article elements around it) of each line; text that is no part of articles gives an empty line."""
+    out: list[tuple[str, tuple[int, ...]]] = []
     words: list[str] = []
     open_: list[tuple[str, bool]] = []  # elements that hide their text or are an article
-    hidden = article = 0
-    at = 0
+    hidden = articles = at = 0
+    around: tuple[int, ...] = ()
 
     def cut():
         text = _SPACE.sub(" ", html_lib.unescape("".join(words))).strip()
         words.clear()
         if text:
-            out.append((text, article > 0))
+            out.append((text, around))
 
     while at < len(page):
         m = _MARK.search(page, at)
@@ -62,7 +62,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
             if any(n == name for n, _ in open_):
                 while open_:
                     n, hides = open_.pop()
-                    hidden, article = hidden - hides, article - (not hides)
+                    hidden, around = hidden - hides, around if hides else around[:-1]
                     if n == name:
                         break
             continue
@@ -81,12 +81,13 @@ def lines(page: str) -> list[tuple[str, bool]]:
             hidden, open_ = 0, [(n, h) for n, h in open_ if not h]
             if not _marked(m[3]):
                 open_.append((name, False))
-                article += 1
+                articles += 1
+                around += (articles,)
                 continue
         hides = name in SILENT or name in ASIDE or (name not in ("html", "body") and _marked(m[3]))
         if hides or (hidden and any(n == name for n, h in open_ if h)):
             if not hidden:
-                out.append(("", False))
+                out.append(("", ()))
             open_.append((name, True))
             hidden += 1
     cut()
@@ -97,23 +98,29 @@ def _marked(attributes: str) -> bool:
     return bool(attributes) and any(_OTHER.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
 
 
-def main_blocks(page: str | None, window: int = 3, threshold: int = 86) -> list[str]:
-    """The text blocks between surge and dive points of the line-block distribution."""
+def main_blocks(page: str | None, window: int = 3, threshold: int = 86, weight: int = 4) -> list[str]:
+    """The text blocks of the regions where the line-block distribution surges, or of the densest region."""
     found = lines(page or "")
-    anywhere = any(inside for _, inside in found)
-    # Where an article is marked, lines outside it weigh nothing and each line inside enough.
-    sizes = [(max(len(t), threshold + 1) if inside else 0) if anywhere else len(t) for t, inside in found]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    keep: list[str] = []
-    inside = False
-    for i, (t, _) in enumerate(found):
-        if not inside and sizes[i] and sums[i] > threshold:  # surge
-            inside = True
-        elif inside and not sizes[i] and (anywhere or sums[i] <= threshold):  # dive
-            inside = False
-        if inside and sizes[i]:
-            keep.append(t)
-    return keep
+    # Where an article is marked, lines inside weigh more and lines outside less.
+    outside = 1 / weight if any(around for _, around in found) else 1
+    sizes = [len(t) * (weight if around else outside) for t, around in found]
+    regions: list[tuple[int, ...]] = []
+    run, last = 0, ()
+    for t, around in found:
+        run += not t or around != last
+        last = around
+        regions.append(around or (-run,))
+    total: dict[tuple[int, ...], float] = {}
+    keep = set()
+    for i, (_, around) in enumerate(found):
+        if sizes[i]:
+            n = len(around)
+            near = range(i, min(i + window, len(found)))
+            if sum(sizes[j] for j in near if (found[j][1][:n] == around if n else not found[j][1])) > threshold:  # surge
+                keep.add(regions[i])
+            total[regions[i]] = total.get(regions[i], 0) + sizes[i]
+    keep = keep or {max(total, key=total.__getitem__, default=())}
+    return [t for (t, _), r in zip(found, regions, strict=True) if t and r in keep]
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

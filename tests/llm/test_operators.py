@@ -212,3 +212,14 @@ def test_warc_headers_of_any_length_and_lost_records(spark):
         f.write(b"?")
     with pytest.raises(ValueError, match="manifest"):
         warc.read_warc(manifest)
+
+
+def test_html_windows_decide():
+    long = "word " * 40
+    bare = '<div id="menu">a</div><h1>Title</h1><p>Short opening.</p><p>x</p><p>y</p><p>z</p>' + f'<p>{long}</p><p>End.</p><footer>f</footer>'
+    assert html_text.main_blocks(bare) == ["Title", "Short opening.", "x", "y", "z", long.strip(), "End."]
+    assert html_text.main_blocks("<nav>menu</nav><p>A short article.</p><p>Whole.</p><footer>f</footer><p>g</p>") == ["A short article.", "Whole."]
+    cards = f'<main><h1>Title</h1><article><p>{long}</p><div class="ad">buy</div><p>End.</p></article><article><p>Teaser</p></article></main>'
+    assert html_text.main_blocks(cards) == ["Title", long.strip(), "End."]
+    far = f"<article><p>Card</p></article><div>{long * 3}</div>"
+    assert html_text.main_blocks(far) == [(long * 3).strip()]
