@@ -1,17 +1,16 @@
 """Line deduplication with a fixed-depth tree of line templates, in DataFrame functions only.
 
 A line's tokens are its runs without white space, and a token with a digit is
-a variable field. The tree has two fixed levels, the count of tokens and the
+a variable field; lines of one or two tokens have none and match exactly. The tree has two fixed levels, the count of tokens and the
 leading tokens, which lead to a leaf. In a leaf, lines that agree with the leaf's commonest line
 in enough places share its template (the places that differ are variable fields);
-lines that do not are held against the commonest of the rest, and so on for some rounds, and then
-are templates of their own. A template of several documents is recurring: its
+lines that do not are held against the commonest of the rest, and so on until no line is open. A template of several documents is recurring: its
 lines are dropped from all documents but the first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -21,7 +20,13 @@ FIELD = "<*>"
 
 def _tokens(line: Column) -> Column:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(line)
-    return F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ")
+    tokens = F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ")
+    return F.when(F.size(tokens) < 3, F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")).otherwise(tokens)
+
+
+def _counts(tokens: Column, least_tokens: int) -> Column:
+    """Whether a line has so many tokens; a blank one has none."""
+    return (F.size(tokens) >= least_tokens) & (tokens[0] != "")
 
 
 def _place(tokens: Column, depth: int) -> Column:
@@ -35,36 +40,52 @@ def _lines(text: Column) -> Column:
 
 def _places(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
     """(doc, leaf, line), each line of a row once."""
-    tokens = F.filter(F.transform(_lines(F.col("text")), _tokens), lambda t: F.size(t) >= least_tokens)
+    tokens = F.filter(F.transform(_lines(F.col("text")), _tokens), lambda t: _counts(t, least_tokens))
     return docs.select("doc", F.explode(F.array_distinct(F.transform(tokens, lambda t: _place(t, depth)))).alias("p")).select("doc", "p.leaf", "p.line")
 
 
+def _fits(tokens: Column, pattern: Column, similarity: float) -> Column:
+    same = F.size(F.filter(F.zip_with(tokens, pattern, lambda a, b: a.eqNullSafe(b)), lambda x: x))
+    return same >= similarity * F.size(tokens)
+
+
 def _known(df: DataFrame, rows: int) -> DataFrame:
     """To be broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _templates(docs: DataFrame, lines: DataFrame, depth: int, least_tokens: int, least_docs: int, similarity: float, rounds: int, broadcast_rows: int) -> DataFrame:
-    """(leaf, line, template): of the lines in leaves of several lines, which template each belongs to, if not to its own."""
+def _templates(docs: DataFrame, lines: DataFrame, depth: int, least_tokens: int, least_docs: int, similarity: float, batch: int, broadcast_rows: int) -> DataFrame:
+    """(leaf, line, template): of the lines in leaves of several lines, which template each belongs to.
+
+    In each round a leaf's ``batch`` commonest open lines become templates, but for those that fit a commoner one;
+    a line belongs to the commonest template that it fits. So a round closes as many lines of a leaf at least.
+    """
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     busy = materialize(leaves.where((F.col("total") >= least_docs) & (F.col("kinds") > 1)).select("leaf"), "busy")
-    tokens = F.filter(F.transform(_lines(F.col("text")), _tokens), lambda t: F.size(t) >= least_tokens)
+    tokens = F.filter(F.transform(_lines(F.col("text")), _tokens), lambda t: _counts(t, least_tokens))
     placed = F.transform(tokens, lambda t: F.struct(_place(t, depth).alias("p"), t.alias("tokens")))
     found = docs.select(F.explode(placed).alias("x")).select("x.p.leaf", "x.p.line", "x.tokens").join(_known(busy, broadcast_rows), "leaf", "left_semi")
     found = found.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
     left = materialize(found.join(lines.select("line", "leaf", "n"), ["leaf", "line"]), "leaf_lines")
     out = None
-    for _ in range(rounds):
-        head = materialize(left.groupBy("leaf").agg(F.max(F.struct("n", "line", "tokens")).alias("m")).select("leaf", F.col("m.line").alias("template"), F.col("m.tokens").alias("pattern")), "heads")
-        same = F.size(F.filter(F.zip_with("tokens", "pattern", lambda a, b: a.eqNullSafe(b)), lambda x: x))
-        held = materialize(left.join(head, "leaf").withColumn("fits", same >= similarity * F.size("tokens")), "held")
-        fits = held.where("fits").select("leaf", "line", "template")
+    while True:
+        top = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("n"), F.desc("line")))
+        best = left.withColumn("at", top).where(F.col("at") <= batch).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("n", "line", "tokens")), asc=False).alias("best"))
+        none = F.filter("best", lambda m: F.lit(False))
+        heads = F.aggregate("best", none, lambda known, m: F.when(F.exists(known, lambda h: _fits(m["tokens"], h["tokens"], similarity)), known).otherwise(F.concat(known, F.array(m))))
+        head = materialize(best.select("leaf", heads.alias("heads")), "heads")
+        first = F.get(F.filter("heads", lambda h: _fits(F.col("tokens"), h["tokens"], similarity)), F.lit(0))
+        held = materialize(left.join(head, "leaf").select("leaf", "line", "tokens", "n", first["line"].alias("template")), "held")
+        fits = held.where("template is not null").select("leaf", "line", "template")
         out = fits if out is None else out.unionByName(fits)
-        left = held.where("not fits").select("leaf", "line", "tokens", "n")
+        left = held.where("template is null").drop("template")
+        if left.isEmpty():
+            break
+        batch = min(2 * batch, 1024)
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least_tokens: int = 3, least_docs: int = 3, similarity: float = 0.6, rounds: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least_tokens: int = 3, least_docs: int = 3, similarity: float = 0.6, batch: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from the texts of all documents but the first, plus n_lines and n_dropped.
 
     A template recurs if lines of it stand in at least ``least_docs`` documents; the first
@@ -77,7 +98,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(doc.alias("doc"), text.alias("text"))
     places = materialize(_places(base, depth, least_tokens), "places")  # read three times
     lines = materialize(places.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")), "lines")
-    merged = materialize(_templates(base, lines, depth, least_tokens, least_docs, similarity, rounds, broadcast_rows), "templates")
+    merged = materialize(_templates(base, lines, depth, least_tokens, least_docs, similarity, batch, broadcast_rows), "templates")
     # Documents of a template of several lines are counted themselves; of a single line they are known.
     several = merged.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf", "template")
     joined = materialize(merged.join(several, ["leaf", "template"], "left_semi"), "joined")
@@ -92,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = F.broadcast(drops) if size <= 4 * broadcast_rows else drops  # eight bytes each
     all_ = _lines(text)
     dropped = F.coalesce(F.col("__nav_drop"), F.array().cast("array<bigint>"))
-    stays = F.filter(all_, lambda x: (F.size(_tokens(x)) < least_tokens) | ~F.array_contains(dropped, F.xxhash64(_tokens(x))))
+    stays = F.filter(all_, lambda x: ~_counts(_tokens(x), least_tokens) | ~F.array_contains(dropped, F.xxhash64(_tokens(x))))
     out = docs.drop("n_lines", "n_dropped").join(known, doc.eqNullSafe(F.col("__nav_doc")), "left")
     out = out.withColumn("__nav_stays", F.when(F.col("__nav_drop").isNull(), all_).otherwise(stays)).withColumn("n_lines", F.size(all_))
     out = out.withColumns({"n_dropped": F.coalesce(F.col("n_lines") - F.size("__nav_stays"), F.lit(0)), text_col: F.array_join("__nav_stays", "\n")})
@@ -100,4 +121,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_tokens=1, least_docs=2)

@@ -223,3 +223,17 @@ def test_html_windows_decide():
     assert html_text.main_blocks(cards) == ["Title", long.strip(), "End."]
     far = f"<article><p>Card</p></article><div>{long * 3}</div>"
     assert html_text.main_blocks(far) == [(long * 3).strip()]
+
+
+def test_line_dedup_two_documents_short_lines_and_many_templates(spark):
+    def dropped(rows, **k):
+        got = line_dedup.dedup_lines(docs(spark, [(i, t, "", 0) for i, t in rows]), least_tokens=1, least_docs=2, **k).collect()
+        return {r["doc_id"]: r["text"] for r in got}
+
+    rows = [(1, "a passage that repeats in two\n\nLes.\n7\n全部一行没有空格"), (2, "a passage that repeats in two\n\nAnd ornd.\n8\nfirst only"), (3, "Les.\n\nAnd ornd.\n7\n全部一行没有空格")]
+    assert dropped(rows) == {1: rows[0][1], 2: "\nAnd ornd.\n8\nfirst only", 3: ""}
+    # Five templates in one leaf; every line stands in one document, so only fields make them recur.
+    tails = ["red big old dog ran far", "blue tiny new cat sat near", "green wet odd fox hid low", "grey dry raw owl flew high", "pink hot shy eel swam deep"]
+    rows = [(10 * k + j, f"we saw the very {t} {j}") for k, t in enumerate(tails) for j in range(2)]
+    for batch in (1, 2, 64):
+        assert dropped(rows, batch=batch) == {i: t if i % 10 == 0 else "" for i, t in rows}
