@@ -2,9 +2,10 @@
 
 The merges of a public model are applied by an agenda: the adjacent pair
 whose joined piece has the best score is merged first, the leftmost on ties. With
-dropout, each candidate that comes off the agenda is skipped if a keyed hash of
-(seed, variant, text of the unit, candidates so far, piece) falls below the rate; it comes up again only
-if a neighbour changes. Texts are not normalised: a space becomes U+2581, what the
+dropout, each candidate that comes off the agenda is skipped at the rate, by a hash of (seed, text
+of the document, place of the unit, part of the unit, candidates so far); it comes up again only
+if a neighbour changes. So each occurrence of a word draws its own segmentation; what is remembered is
+the outcome of each series of draws. Texts are not normalised: a space becomes U+2581, what the
 vocabulary lacks becomes bytes, so that decoding gives back the text exactly.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -29,13 +31,14 @@ from .common import table
 SPACE = "▁"
 _UNIT = re.compile(r" *[^ ]+| +")
 _BITS = (1 << 64) - 1
+LONG = 48  # longer parts of a unit are merged with a heap and not remembered
 NONE = (float("inf"), -1)
 
 
 class Pieces:
     """A model's pieces, and a bounded memory of encoded units."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,29 +56,30 @@ class Pieces:
                     self.rank[piece] = (-sp.get_score(i), i)
         # Neighbours in no piece are never merged: a unit falls apart between them.
         self.inside = {x for p in self.rank for i in range(len(p) - 1) if SPACE not in (x := p[i : i + 2])} | {x.replace(SPACE, " ") for p in self.rank for i in range(len(p) - 1) if SPACE in (x := p[i : i + 2])}
-        self.memory: list[dict[str, bytes]] = []  # of each variant
-        self.most = most
+        self.memory: dict[str, list] = {}  # of each unit, its parts' outcomes
+        self.size, self.most = 0, most
+        self.rate, self.odds = 0, []
 
-    def merge(self, unit: str, rate: int, key: int) -> list[int]:
-        """Ids of a unit (spaces already U+2581); ``rate`` of 65536 candidates are skipped."""
-        if len(unit) > 48:
-            return self._merge_long(unit, rate, key)
+    def merge(self, unit: str, gaps: tuple[int, ...] = ()) -> tuple[int, list[int]]:
+        """(candidates after the last skip, ids) of a unit (spaces already U+2581); ``gaps`` are the candidates merged before each that is skipped."""
         get, parts = self.rank.get, list(unit)
         agenda = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]  # of each place
+        skips, n = iter(gaps), 0
+        gap = next(skips, -1)
         while agenda and (best := min(agenda)) is not NONE:
             i = agenda.index(best)
-            if rate:
-                key = (key * 0x5851F42D4C957F2D + best[1]) & _BITS
-                if (key >> 40) & 0xFFFF < rate:
-                    agenda[i] = NONE
-                    continue
+            if n == gap:
+                agenda[i] = NONE
+                gap, n = next(skips, -1), 0
+                continue
+            n += 1
             parts[i] += parts.pop(i + 1)
             agenda.pop(i)
             if i < len(agenda):
                 agenda[i] = get(parts[i] + parts[i + 1], NONE)
             if i:
                 agenda[i - 1] = get(parts[i - 1] + parts[i], NONE)
-        return self._ids(parts)
+        return n, self._ids(parts)
 
     def _ids(self, parts: list[str]) -> list[int]:
         ids: list[int] = []
@@ -112,37 +116,78 @@ class Pieces:
                 heappush(heap, (r, h, p))
         return self._ids([p for p in parts if p is not None])
 
-    def unit(self, text: str, rate: int, seed: int, variant: int) -> bytes:
-        """Ids (little-endian, 32 bits) of a unit: spaces, then text without spaces."""
-        memory = self.memory[variant]
-        if (out := memory.get(text)) is None:
-            cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inside]
-            if cuts:
-                out = b"".join([self.unit(text[i:j], rate, seed, variant) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
-            elif SPACE in text:  # of the text itself, must not turn into a space
-                out = array("I", [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]).tobytes()
+    def _outcomes(self, text: str) -> list:
+        """[candidates, ids, text, outcomes after a skip by its gap] of each part of a unit; candidates are None if the part is long."""
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inside]
+        out = []
+        for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True):
+            part = text[i:j].replace(" ", SPACE)
+            if SPACE in text[i:j]:  # of the text itself, must not turn into a space
+                out.append([0, array("I", [self.byte[b] for b in text[i:j].encode("utf-8", "surrogatepass")]).tobytes(), part, {}])
+            elif len(part) > LONG:
+                out.append([None, b"", part, {}])
             else:
-                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), (seed * 1_000_003 + variant) & _BITS) if rate else 0
-                out = array("I", self.merge(text.replace(" ", SPACE), rate, key)).tobytes()
-            if len(text) <= 64:
-                if len(memory) * len(self.memory) >= self.most:
-                    memory.clear()
-                memory[text] = out
+                n, ids = self.merge(part)
+                out.append([n, array("I", ids).tobytes(), part, {}])
+        if len(text) <= 64:
+            if self.size >= self.most:
+                self.memory.clear()
+                self.size = 0
+            self.memory[text] = out
+            self.size += len(out)
         return out
 
-    def encode(self, text: str | None, rate: int = 0, seed: int = 0, variants: int = 2, key: int = 0) -> bytes:
-        """Ids of a whole text. Each place draws one of ``variants`` hash keys, by (seed, key, place)."""
+    def _drawn(self, out: list, key: int) -> bytes:
+        """Ids of a part of a unit; each candidate is skipped at the rate, as ``key`` draws."""
+        n, ids, part, after = out
+        if n is None:
+            return array("I", self._merge_long(part, self.rate, key)).tobytes()
+        gaps: tuple[int, ...] = ()
+        while (gap := LONG - bisect_right(self.odds, key)) < n:
+            gaps += (gap,)
+            if (got := after.get(gap)) is None:
+                n, ids = self.merge(part, gaps)
+                got = after[gap] = (n, array("I", ids).tobytes(), {})
+                self.size += 1
+            n, ids, after = got
+            key = (key * 0x5851F42D4C957F2D + 0x14057B7EF767814F) & _BITS
+        return ids
+
+    def encode(self, text: str | None, rate: int = 0, seed: int = 0, key: int = 0) -> bytes:
+        """Ids of a whole text; ``rate`` of 65536 candidates are skipped, drawn by (seed, key, place)."""
         if not text:
             return b""
+        if self.size >= self.most:
+            self.memory.clear()
+            self.size = 0
         units = _UNIT.findall(" " + text)
-        if len(self.memory) < variants:
-            self.memory += ({} for _ in range(variants - len(self.memory)))
+        get, find = self.memory.get, self._outcomes
         if not rate:
-            return b"".join([self.unit(u, 0, seed, 0) for u in units])
-        draw = (np.arange(len(units), dtype=np.uint64) + np.uint64((seed * 31 + key) & _BITS)) * np.uint64(0x9E3779B97F4A7C15)
-        draw = (((draw ^ (draw >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)) % np.uint64(variants)
-        memory = self.memory
-        return b"".join([memory[v].get(u) or self.unit(u, rate, seed, v) for u, v in zip(units, draw.tolist(), strict=True)])
+            return b"".join([o[1] if o[0] is not None else self._drawn_plain(o) for u in units for o in get(u) or find(u)])
+        if rate != self.rate:
+            # A gap is the count of odds above the draw: more than k candidates are merged first with (1 - rate) ** (k + 1).
+            self.rate, self.odds = rate, sorted(((65536 - rate) ** k << 64) >> 16 * k for k in range(1, LONG + 1))
+            self.least = np.array(self.odds, dtype=np.uint64)
+        draw = (np.arange(len(units), dtype=np.uint64) + np.uint64((seed * 0x9E3779B9 + key) & _BITS)) * np.uint64(0x9E3779B97F4A7C15)
+        draw = (draw ^ (draw >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        draw = (draw ^ (draw >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        draw ^= draw >> np.uint64(31)
+        gaps = LONG - np.searchsorted(self.least, draw, side="right")
+        ids: list[bytes] = []
+        for u, gap, x in zip(units, gaps.tolist(), draw.tolist(), strict=True):
+            out = get(u) or find(u)
+            if len(out) == 1:
+                o = out[0]
+                ids.append(o[1] if o[0] is not None and gap >= o[0] else self._drawn(o, x))
+            else:
+                for o in out:
+                    ids.append(self._drawn(o, x))
+                    x = ((x ^ (x >> 29)) * 0xC2B2AE3D27D4EB4F + 0x9E3779B97F4A7C15) & _BITS
+                    x ^= x >> 32
+        return b"".join(ids)
+
+    def _drawn_plain(self, out: list) -> bytes:
+        return array("I", self._merge_long(out[2], 0, 0)).tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids that ``encode`` gave."""
@@ -156,13 +201,13 @@ def _pieces(path: str | None) -> Pieces:
     return Pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, variants: int = 2, model_path: str | None = None) -> DataFrame:
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, model_path: str | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of each row's whole text.
 
     A text's segmentation depends on the seed, the dropout and the text alone, so equal texts agree and
     a run can be repeated. A null or empty text has no ids; repeated rows and null ids stay; other columns are ignored.
     """
-    return _encoded(docs, id_col, text_col, dropout, seed, variants, model_path, False)
+    return _encoded(docs, id_col, text_col, dropout, seed, model_path, False)
 
 
 def decode_pieces(rows: DataFrame, ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
@@ -176,7 +221,7 @@ def decode_pieces(rows: DataFrame, ids_col: str = "ids", model_path: str | None
     return rows.withColumn("text", text(ids_col))
 
 
-def _encoded(docs, id_col, text_col, dropout, seed, variants, model_path, digest) -> DataFrame:
+def _encoded(docs, id_col, text_col, dropout, seed, model_path, digest) -> DataFrame:
     if not 0 <= dropout < 1:
         raise ValueError("dropout must be from 0 to less than 1")
     rate = round(dropout * 65536)
@@ -185,14 +230,11 @@ def _encoded(docs, id_col, text_col, dropout, seed, variants, model_path, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model_path)
-        if pieces.__dict__.setdefault("held", (rate, seed)) != (rate, seed):
-            pieces.memory = []
-            pieces.held = (rate, seed)
         for b in batches:
             out = []
             for t in b.column(1):
                 t = t.as_py() or ""
-                ids = pieces.encode(t, rate, seed, variants, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")))
+                ids = pieces.encode(t, rate, seed, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")))
                 out.append((len(ids) // 4, zlib.crc32(ids), pieces.decode(ids) == t if t else True) if digest else np.frombuffer(ids, "<i4"))
             if digest:
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
@@ -205,4 +247,4 @@ def _encoded(docs, id_col, text_col, dropout, seed, variants, model_path, digest
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_ids, ids_crc32 (little-endian 32-bit ids) and whether the decoded ids equal the text."""
-    return _encoded(table(spark, sf_dir, "documents"), "doc_id", "text", 0.1, 0, 2, None, True)
+    return _encoded(table(spark, sf_dir, "documents"), "doc_id", "text", 0.1, 0, None, True)

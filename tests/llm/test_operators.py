@@ -237,3 +237,26 @@ def test_line_dedup_two_documents_short_lines_and_many_templates(spark):
     rows = [(10 * k + j, f"we saw the very {t} {j}") for k, t in enumerate(tails) for j in range(2)]
     for batch in (1, 2, 64):
         assert dropped(rows, batch=batch) == {i: t if i % 10 == 0 else "" for i, t in rows}
+
+
+def test_sentence_pieces_each_occurrence_draws():
+    import public_tokenizers
+
+    p = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    plain = tuple(p.merge("▁international")[1])
+    text = " ".join(["international"] * 20_000)
+    ids = np.frombuffer(p.encode(text, 6554, 5, 77), "<u4")
+    assert p.decode(ids.tobytes()) == text and ids.tobytes() == p.encode(text, 6554, 5, 77)
+    words, at = [], []
+    for i in ids.tolist():
+        if p.text[i].startswith(b" ") and at:
+            words.append(tuple(at))
+            at = []
+        at.append(i)
+    words.append(tuple(at))
+    assert len(words) == 20_000 and len(set(words)) > 10
+    keys = random.Random(1)  # the plain way: a draw for each candidate
+    each = np.mean([tuple(p._merge_long("▁international", 6554, keys.getrandbits(64))) == plain for _ in range(20_000)])
+    assert abs(np.mean([w == plain for w in words]) - each) < 0.02 and 0.1 < each < 0.9
+    long = "ab" * 500
+    assert p.decode(p.encode(long, 6554)) == long and p.decode(p.encode("我们 в x▁y " + long, 30000, 1, 2)) == "我们 в x▁y " + long
