@@ -13,17 +13,26 @@ What makes this exact and safe with skew:
 
 * A set is *strong* in a partitioning if it has more than K + slack non-empty
   parts. A set that is not strong draws another partitioning as well, until it is;
-  a similar pair meets in the partitioning where the first of the two is strong.
+  a similar pair meets in the partitioning where the first of the two is strong,
+  in slack + 1 parts at least. Sets that never become strong emit their single
+  features as well, and so meet each other.
 * Equal sets are one class; only classes emit signatures.
+* A class stays only if it shares slack + 1 signatures of one partitioning with any
+  others, and if other classes that stay hold at least the share of its features
+  that similarity asks for. Both hold for every similar pair; documents that merely
+  share passages go here.
 * Members of a bucket are compared with its smallest member first, if the two meet in several
-  buckets. The components of these links settle most buckets; pairs from different components are left.
-* Buckets of at most ``cold`` classes give all these pairs. A similar pair shares at least
-  slack + 1 parts; unless a class is weak (more than slack / 2 of its buckets are larger, hot
-  ones), half of these are cold. So a pair is compared only if it meets in that many cold
-  buckets of a band: a passage that many documents share makes few parts equal, and few candidates.
-* Weak classes are held against all classes in hot buckets of their band, in blocks. A
-  similar pair differs in at most as many parts as the bound on its own sizes allows, so the vectors of
-  part signatures alone decide which pairs' features are compared at all.
+  buckets. The components of these links settle most buckets; only pairs from different
+  components are left.
+* Buckets of at most ``cold`` classes give these pairs. A pair of classes that are not weak
+  (a weak class has more than slack / 2 of its buckets among the larger, hot ones) is
+  compared only if it meets in half of the slack + 1 buckets.
+* Weak classes are held against the classes that hot buckets tie them to, directly or through
+  others, in blocks of like size, and only across components. No row is made for a pair there
+  unless its sketches say that it may be similar.
+* A sketch has a bit for each part of a finer partition of the feature domain: the parity of the
+  set's features in it. Two sets differ in at least as many features as their sketches differ in bits, so a
+  pair whose sketches are too far apart is not similar; the others' features are compared.
 """
 
 from __future__ import annotations
@@ -33,8 +42,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -135,11 +145,28 @@ def signatures(h: np.ndarray, percent: int) -> Iterator[np.ndarray]:
             if len(starts) >= k + 1 + slack:
                 break
         else:
-            yield whole_set(h, band)
+            yield single_features(h, band)
 
 
-def whole_set(h: np.ndarray, band: int) -> np.ndarray:
-    raise RuntimeError(f"{len(h)} features: not strong in {SEEDS} partitionings of band {band}")
+def single_features(h: np.ndarray, band: int) -> np.ndarray:
+    """A signature for each feature, of sets that are strong in no partitioning: two similar ones share most of them."""
+    tag = np.uint64(band * SEEDS + SEEDS - 1)
+    return ((_mix(h + _M2 * (tag + np.uint64(1))) >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS)) | tag).view(np.int64)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the number of features in each of 4 to 8 parts a feature (a power of two, 256 at least)."""
+    parts = max(256, 1 << (4 * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (the last axis) over fewer parts."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
 
 def _batches(columns: list[np.ndarray | list], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -147,7 +174,7 @@ def _batches(columns: list[np.ndarray | list], names: list[str], types: list[pa.
 
 
 def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, fp, n_shingles) of every row."""
+    """(doc_id, fp, n_shingles, key) of every row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +184,9 @@ def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
                 h = ngram_hashes(t.as_py(), n)
                 fps.append(fingerprint(h))
                 sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), b.column("key")], names=["doc_id", "fp", "n_shingles", "key"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, fp bigint, n_shingles bigint")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, f"doc_id {id_type}, fp bigint, n_shingles bigint, key bigint")
 
 
 def _signature_rows(docs: DataFrame, n: int, percent: int, most: int = 400_000) -> DataFrame:
@@ -188,63 +215,32 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, most: int = 400_000)
     return docs.select("text").mapInArrow(run, "sig bigint, fp bigint")
 
 
-def _buckets(rows: DataFrame, cold: int) -> DataFrame:
-    """(sig, fp, rep, hot) of the signatures that two classes or more share; rep: the smallest fp.
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(sig, fp) of the signatures that two classes or more share.
 
-    Rows come sorted by (sig, fp) within their partition and stream through;
-    at most ``cold`` members of a bucket wait until its size is known.
+    Rows come sorted by (sig, fp) within their partition and stream through; only
+    the last row waits until it is known whether another class has its signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait_s, wait_f = np.empty(0, np.int64), np.empty(0, np.int64)
-        hot_sig = hot_rep = hot_last = None
-
-        def rows_of(s, f, rep, hot):
-            return _batches([s, f, rep, hot], ["sig", "fp", "rep", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
-
-        def whole(s, f):
-            """Of complete buckets."""
-            if not len(s):
-                return None
-            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            sizes = np.diff(np.append(starts, len(s)))
-            keep = np.repeat(sizes > 1, sizes)
-            return rows_of(s[keep], f[keep], np.repeat(f[starts], sizes)[keep], np.repeat(sizes > cold, sizes)[keep]) if keep.any() else None
-
+        sig, fp, shared = np.empty(0, np.int64), np.empty(0, np.int64), False  # of the last row, and whether rows before have its signature
         for b in batches:
-            s, f = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            if hot_sig is not None:
-                more = int(np.searchsorted(s != hot_sig, True))
-                mine = f[:more]
-                if more:
-                    mine = mine[np.concatenate(([mine[0] != hot_last], mine[1:] != mine[:-1]))]
-                    if len(mine):
-                        hot_last = mine[-1]
-                        yield rows_of(np.full(len(mine), hot_sig), mine, np.full(len(mine), hot_rep), np.ones(len(mine), bool))
-                s, f = s[more:], f[more:]
-                if len(s):
-                    hot_sig = None
-            s, f = np.concatenate((wait_s, s)), np.concatenate((wait_f, f))
-            wait_s, wait_f = s[:0], f[:0]
+            s, f = np.concatenate((sig, b.column(0).to_numpy())), np.concatenate((fp, b.column(1).to_numpy()))
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (f[1:] != f[:-1])
+            s, f = s[new], f[new]
             if not len(s):
                 continue
-            new = np.concatenate(([True], (s[1:] != s[:-1]) | (f[1:] != f[:-1])))
-            s, f = s[new], f[new]
-            last = int(np.searchsorted(s != s[-1], True)) if s[0] == s[-1] else int(np.flatnonzero(s != s[-1])[-1]) + 1
-            if s[0] == s[-1]:
-                last = 0
-            if (out := whole(s[:last], f[:last])) is not None:
-                yield out
-            s, f = s[last:], f[last:]
-            if len(s) > cold:
-                hot_sig, hot_rep, hot_last = s[0], f[0], f[-1]
-                yield rows_of(s, f, np.full(len(s), hot_rep), np.ones(len(s), bool))
-            else:
-                wait_s, wait_f = s, f
-        if (out := whole(wait_s, wait_f)) is not None:
-            yield out
-
-    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig bigint, fp bigint, rep bigint, hot boolean")
+            same = s[1:] == s[:-1]
+            before, after = np.concatenate(([shared], same)), np.concatenate((same, [False]))
+            keep = (before | after)[:-1]
+            if keep.any():
+                yield _batches([s[:-1][keep], f[:-1][keep]], ["sig", "fp"], [pa.int64()] * 2)
+            sig, fp, shared = s[-1:], f[-1:], bool(before[-1])
+        if shared:
+            yield _batches([sig, fp], ["sig", "fp"], [pa.int64()] * 2)
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig bigint, fp bigint")
 
 
 def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -287,87 +283,148 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select("x", "y").distinct()
 
 
-def part_vector(h: np.ndarray, band: int, m: int) -> np.ndarray:
-    """32-bit signatures of the m parts of a set, empty parts included, in the band's first partitioning."""
-    part = (((_mix(h + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> _S) * np.uint64(m)) >> _S).astype(np.int64)
-    total = np.zeros(m, np.uint64)
-    np.add.at(total, part, _mix(h ^ _M3))
-    return (_mix(total) >> _S).astype(np.uint32)
-
-
-def _hot_blocks(docs: DataFrame, hot: DataFrame, classes: DataFrame, n: int, percent: int, broadcast_rows: int, block_bytes: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
-    """Of (band, fp, weak): the classes with part vectors, dealt to blocks, and the pairs of blocks (band, i, j) that must meet.
-
-    A band's classes are cut into blocks by size; every two blocks with sizes close enough meet in a task of their own.
-    """
-    table_ = bands(percent)
-    reps = materialize(classes.join(hot, "fp"), "hot_classes")
-    needed = reps.select(F.col("doc_id").alias("__nav_id"), F.col("fp").alias("__nav_fp"), "band", "weak")
-    small = needed.count() <= broadcast_rows
-    picked = docs.join(F.broadcast(needed) if small else needed, F.col("doc_id").eqNullSafe(F.col("__nav_id"))).select("__nav_fp", "band", "weak", "text")
+def _sets(docs: DataFrame, reps: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
+    """(fp, n, feats, sketch) of the classes in ``reps`` (fp, doc_id, key), read again from one document of each."""
+    needed = reps.select(F.col("doc_id").alias("__nav_id"), F.col("key").alias("__nav_key"), F.col("fp").alias("__nav_fp"))
+    small = needed.count() <= broadcast_rows  # thirty bytes a row; larger sides are shuffled
+    same = F.col("doc_id").eqNullSafe(F.col("__nav_id")) & (F.col("key") == F.col("__nav_key"))
+    picked = docs.join(F.broadcast(needed) if small else needed, same).select("__nav_fp", "text")
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, sizes, vecs = [], [], []
-            for i, (want, band, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True)):
+            fps, sizes, feats, sketches = [], [], [], []
+            for want, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = ngram_hashes(t.as_py(), n)
                 if fingerprint(h) == want:
-                    keep.append(i)
+                    fps.append(want)
                     sizes.append(len(h))
-                    vecs.append(part_vector(h, band, table_[band][3]).tobytes())
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary())], names=["fp", "band", "weak", "n", "vec"])
-
-    vec = materialize(picked.mapInArrow(vectors, "fp bigint, band bigint, weak boolean, n bigint, vec binary").dropDuplicates(["band", "fp"]), "vectors")
-    # Blocks of like size: every band is cut at its sizes, and sizes of very many classes by a hash as well.
-    rows_in = F.floor(F.greatest(F.lit(32), F.least(F.lit(2048), block_bytes / F.octet_length("vec"))))
-    per_size = vec.groupBy("band", "n").agg(F.count(F.lit(1)).alias("k"), F.min(rows_in).alias("most"))
-    from pyspark.sql import Window as W
-
-    upto = F.sum("k").over(W.partitionBy("band").orderBy("n"))
-    cut = per_size.withColumn("lo", F.floor((upto - F.col("k")) / F.col("most"))).withColumn("hi", F.floor((upto - 1) / F.col("most"))).select("band", "n", "lo", "hi")
-    dealt = vec.join(F.broadcast(cut) if cut.count() <= 100_000 else cut, ["band", "n"]).withColumn("block", F.col("lo") + F.pmod(F.xxhash64("fp"), F.col("hi") - F.col("lo") + 1)).drop("lo", "hi")
-    dealt = materialize(dealt, "dealt")
-    blocks = materialize(dealt.groupBy("band", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("weak").alias("any")), "blocks")
+                    feats.append(h.tobytes())
+                    sketches.append(sketch(h))
+            yield _batches([fps, sizes, feats, sketches], ["fp", "n", "feats", "sketch"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    return picked.mapInArrow(run, "fp bigint, n bigint, feats binary, sketch binary").dropDuplicates(["fp"])
+
+
+def _shared_enough(sets: DataFrame, percent: int) -> DataFrame:
+    """(fp) of the sets of which at least ``percent`` in a hundred features are in another set too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            if h:
+                yield _batches([np.concatenate(h), np.repeat(b.column(0).to_numpy(), [len(x) for x in h])], ["feat", "fp"], [pa.int64()] * 2)
+
+    features = sets.select("fp", "feats").mapInArrow(run, "feat bigint, fp bigint")
+    alone = features.groupBy("feat").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("fp")).where("k = 1").groupBy("fp").agg(F.count(F.lit(1)).alias("alone"))
+    return sets.select("fp", "n").join(alone, "fp", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("fp")
+
+
+def most_apart(size: Column | np.ndarray, percent: int) -> Column | np.ndarray:
+    """Times 100 + percent: the most features in which two similar sets with ``size`` features together differ."""
+    return size * (100 - percent)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sizes and sketches allow that they are similar."""
+    right = sets.select(F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    left = sets.select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = most_apart(b.column(2).to_numpy() + b.column(3).to_numpy(), percent)
+            keep = np.zeros(b.num_rows, bool)
+            for i, (sx, sy) in enumerate(zip(b.column(4), b.column(5), strict=True)):
+                u, v = np.frombuffer(sx.as_buffer(), np.uint64), np.frombuffer(sy.as_buffer(), np.uint64)
+                size = min(len(u), len(v))
+                keep[i] = int(np.bitwise_count(folded(u, size) ^ folded(v, size)).sum()) * (100 + percent) <= most[i]
+            yield b.select(["x", "y"]).filter(pa.array(keep))
+
+    joined = pairs.join(right, "y").join(left, "x").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    return joined.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (x, y) whose sets are similar enough."""
+    left = sets.select(F.col("fp").alias("x"), F.col("feats").alias("fx"))
+    right = sets.select(F.col("fp").alias("y"), F.col("feats").alias("fy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (fx, fy) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                u, v = np.frombuffer(fx.as_buffer(), np.uint64), np.frombuffer(fy.as_buffer(), np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep[i] = 100 * both >= percent * (len(u) + len(v) - both)
+            yield b.select(["x", "y"]).filter(pa.array(keep)).rename_columns(["a", "b"])
+
+    return pairs.join(right, "y").join(left, "x").select("x", "y", "fx", "fy").mapInArrow(run, "a bigint, b bigint")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The links among the pairs."""
+    near = materialize(_near(pairs, sets, percent), f"{name}_near")
+    return materialize(_verified(near, sets, percent), f"{name}_links")
+
+
+def _blocks(hot: DataFrame, block_bytes: int = 1 << 22) -> DataFrame:
+    """``hot`` (band, fp, n, cluster, sketch, ...) with the number of a block of like sizes within (band, cluster).
+
+    Sizes with very many classes are cut by a hash as well, so that no block grows with the input.
+    """
+    rows_in = F.floor(F.greatest(F.lit(64), F.least(F.lit(4096), block_bytes / F.octet_length("sketch"))))
+    per_size = hot.groupBy("band", "cluster", "n").agg(F.count(F.lit(1)).alias("k"), F.min(rows_in).alias("most"))
+    upto = F.sum("k").over(Window.partitionBy("band", "cluster").orderBy("n"))
+    cut = per_size.withColumn("lo", F.floor((upto - F.col("k")) / F.col("most"))).withColumn("hi", F.floor((upto - 1) / F.col("most"))).select("band", "cluster", "n", "lo", "hi")
+    return hot.join(cut, ["band", "cluster", "n"]).withColumn("block", F.col("lo") + F.pmod(F.xxhash64("fp"), F.col("hi") - F.col("lo") + 1)).drop("lo", "hi")
+
+
+def _hot_blocks(left: DataFrame, weak: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of hot buckets, dealt to blocks, and the pairs of blocks (band, cluster, i, j) that must meet.
+
+    left: (sig, fp, rep, hot). Only classes of the same band and cluster meet; a cluster is what hot buckets connect.
+    """
+    hot = left.where("hot")
+    cluster = connected_components(hot.select("fp", "rep").distinct(), "fp", "rep").select(F.col("node").alias("fp"), F.col("label").alias("cluster"))
+    rows = hot.select(_band().alias("band"), "fp").distinct().join(cluster, "fp").join(weak, "fp", "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
+    dealt = materialize(_blocks(rows.join(sets.select("fp", "n", "sketch"), "fp")), "dealt")
+    blocks = materialize(dealt.groupBy("band", "cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("weak").alias("any")), "blocks")
     one, two = blocks.alias("a"), blocks.alias("b")
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.any") | F.col("b.any")) & (100 * F.col("a.most") >= percent * F.col("b.least")) & (100 * F.col("b.most") >= percent * F.col("a.least"))
-    meet = one.join(two, near).select("a.band", F.col("a.block").alias("i"), F.col("b.block").alias("j"))
-    return dealt, materialize(meet, "meet")
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.any") | F.col("b.any"))
+    near &= (100 * F.col("a.most") >= percent * F.col("b.least")) & (100 * F.col("b.most") >= percent * F.col("a.least"))
+    return dealt, materialize(one.join(two, near).select("a.band", "a.cluster", F.col("a.block").alias("i"), F.col("b.block").alias("j")), "meet")
 
 
 def _hot_pairs(dealt: DataFrame, meet: DataFrame, comp: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """(x, y), x < y: the pairs with a weak member and of different components whose part vectors agree enough.
+    """(x, y), x < y: the pairs with a weak member and of different components whose sketches are close.
 
-    nearest: of each class in a block only the pair that agrees most.
+    nearest: of each class in a block only the closest pair.
     """
     dealt = dealt.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("label", "fp")).drop("label")
-    names = ["band", "i", "j", "fp", "comp", "weak", "n", "vec"]
-    left = meet.join(dealt.withColumnRenamed("block", "i"), ["band", "i"]).select(*[F.col(c).alias(c) for c in names])
-    right = meet.join(dealt.withColumnRenamed("block", "j"), ["band", "j"]).select(*[F.col(c).alias(c) for c in names])
-
-    def compare(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        def arrays(t):
-            v = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint32).reshape(t.num_rows, -1)
-            return *(t.column(c).to_numpy() for c in ("fp", "comp", "weak", "n")), np.ascontiguousarray(v.T)
-
-        fa, ca, wa, na, va = arrays(a)
-        fb, cb, wb, nb, vb = arrays(b)
-        m = len(va)
+    key = ["band", "cluster"]
+    names = [*key, "i", "j", "fp", "comp", "weak", "n", "sketch"]
+    sides = [meet.join(dealt.withColumnRenamed("block", c), [*key, c]).select(*[F.col(x).alias(x) for x in names]) for c in ("i", "j")]
+
+    def compare(_, a: pa.Table, b: pa.Table) -> pa.Table:
+        def arrays(t: pa.Table, size: int):
+            words = [folded(np.frombuffer(x.as_buffer(), np.uint64), size) for x in t.column("sketch")]
+            return *(t.column(c).to_numpy() for c in ("fp", "comp", "weak", "n")), np.ascontiguousarray(np.array(words, np.uint64).reshape(-1, size).T)
+
+        size = min(pc.min(pc.binary_length(t.column("sketch"))).as_py() for t in (a, b) if t.num_rows) // 8 if a.num_rows and b.num_rows else 1
+        (fa, ca, wa, na, va), (fb, cb, wb, nb, vb) = arrays(a, size), arrays(b, size)
         xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for mine, other in ((np.flatnonzero(wa), np.arange(len(fb))), (np.flatnonzero(~wa), np.flatnonzero(wb))):
             vo = np.ascontiguousarray(vb[:, other])
-            for lo in range(0, len(mine) if len(other) else 0, 128):
-                s = mine[lo : lo + 128]
-                same = np.zeros((len(s), len(other)), np.uint32 if m > 65535 else np.uint16)
+            for lo in range(0, len(mine) if len(other) else 0, 64):
+                s = mine[lo : lo + 64]
+                apart = np.zeros((len(s), len(other)), np.uint32)
                 for x, y in zip(va[:, s], vo, strict=True):
-                    same += x[:, None] == y
-                apart = (na[s, None] + nb[other]) * (100 - percent) // (100 + percent)
-                good = (same + apart >= m) & (ca[s, None] != cb[other])
+                    apart += np.bitwise_count(x[:, None] ^ y)
+                good = (apart * np.int64(100 + percent) <= most_apart(na[s, None] + nb[other], percent)) & (ca[s, None] != cb[other])
                 if nearest:
-                    same = np.where(good, same + 1, 0)
+                    apart[~good] = np.iinfo(np.uint32).max
                     only = np.zeros_like(good)
-                    only[np.arange(len(s)), same.argmax(axis=1)] = True
-                    only[same.argmax(axis=0), np.arange(len(other))] = True
+                    only[np.arange(len(s)), apart.argmin(axis=1)] = True
+                    only[apart.argmin(axis=0), np.arange(len(other))] = True
                     good &= only
                 i, j = np.nonzero(good)
                 xs.append(fa[s[i]])
@@ -375,69 +432,34 @@ def _hot_pairs(dealt: DataFrame, meet: DataFrame, comp: DataFrame, percent: int,
         x, y = np.concatenate(xs), np.concatenate(ys)
         return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
 
-    met = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInArrow(compare, "x bigint, y bigint")
-    return met.distinct()
-
-
-def _packed(h: np.ndarray) -> bytes:
-    """The top 40 bits of each hash, sorted: five bytes a feature (a chance of 1e-8 or so that a pair of common size counts one too many)."""
-    return np.unique(h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return sides[0].groupBy(*key, "i", "j").cogroup(sides[1].groupBy(*key, "i", "j")).applyInArrow(compare, "x bigint, y bigint").distinct()
 
 
-def _unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def _band() -> Column:
+    return F.floor(F.col("sig").bitwiseAND(F.lit((1 << TAG_BITS) - 1)) / SEEDS).cast("int")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
-    """(fp, feats) of the classes in ``reps`` (fp, doc_id), read again from one document of each."""
-    needed = reps.select(F.col("doc_id").alias("__nav_id"), F.col("fp").alias("__nav_fp"))
-    small = needed.count() <= broadcast_rows  # twenty bytes a row; larger sides are shuffled
-    picked = docs.join(F.broadcast(needed) if small else needed, F.col("doc_id").eqNullSafe(F.col("__nav_id"))).select("__nav_fp", "text")
+def _met(buckets: DataFrame, percent: int) -> DataFrame:
+    """(fp) of the classes that share slack + 1 signatures of a partitioning with others."""
+    need = F.array(*[F.lit(b[2] + 1) for b in bands(percent)])
+    tag = F.col("sig").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).cast("int")
+    met = buckets.groupBy("fp", tag.alias("tag")).agg(F.count(F.lit(1)).alias("k"))
+    return met.where(F.col("k") >= F.get(need, F.floor(F.col("tag") / SEEDS).cast("int"))).select("fp").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, feats = [], []
-            for want, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = ngram_hashes(t.as_py(), n)
-                if fingerprint(h) == want:
-                    fps.append(want)
-                    feats.append(_packed(h))
-            yield _batches([fps, feats], ["fp", "feats"], [pa.int64(), pa.binary()])
 
-    return picked.mapInArrow(run, "fp bigint, feats binary").dropDuplicates(["fp"])
+def _kept(buckets: DataFrame, alive: DataFrame, cold: int, broadcast_rows: int) -> DataFrame:
+    """(sig, fp, rep, hot) of the classes in ``alive``, of the buckets in which two of them are left."""
+    small = alive.count() <= broadcast_rows  # eight bytes a row
+    mine = materialize(buckets.select("sig", "fp").join(F.broadcast(alive) if small else alive, "fp", "left_semi"), "mine")
+    size = mine.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("rep")).where("k > 1").select("sig", "rep", (F.col("k") > cold).alias("hot"))
+    return mine.join(size, "sig").select("sig", "fp", "rep", "hot")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs (x, y) whose sets are similar enough."""
-    left = sets.select(F.col("fp").alias("x"), F.col("feats").alias("fx"))
-    right = sets.select(F.col("fp").alias("y"), F.col("feats").alias("fy"))
-    sizes = F.octet_length("fx"), F.octet_length("fy")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: tuple[int, np.ndarray] = (0, np.empty(0, np.uint64))
-        for b in batches:
-            xs, ys, fx, fy = (b.column(i) for i in range(4))
-            keep = []
-            for i, x in enumerate(xs.to_pylist()):
-                if memo[0] != x or not len(memo[1]):
-                    memo = (x, _unpacked(fx[i].as_py()))
-                other = _unpacked(fy[i].as_py())
-                both = len(np.intersect1d(memo[1], other, assume_unique=True))
-                if 100 * both >= percent * (len(memo[1]) + len(other) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([xs.take(pa.array(keep, pa.int32())), ys.take(pa.array(keep, pa.int32()))], names=["a", "b"])
-
-    joined = pairs.join(right, "y").join(left, "x").where((100 * F.least(*sizes) >= percent * F.greatest(*sizes)))
-    return joined.select("x", "y", "fx", "fy").mapInArrow(run, "a bigint, b bigint")
-
-
-def _compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """The links among the pairs; features are read again, only of the classes in question."""
-    wanted = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct()
-    reps = materialize(classes.join(wanted, "fp", "left_semi"), "reps")
-    return materialize(_verified(pairs, materialize(_sets(docs, reps, n, broadcast_rows), "sets"), percent), "links")
+def _open(buckets: DataFrame, comp: DataFrame, cold: int) -> DataFrame:
+    """(sig, fp, rep, hot, comp) of the buckets with members of several components."""
+    known = materialize(buckets.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "rep", "hot", F.coalesce("label", "fp").alias("comp")), "members")
+    open_ = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    return materialize(known.join(open_, "sig", "left_semi"), "open")
 
 
 def _weak(buckets: DataFrame, percent: int) -> DataFrame:
@@ -450,7 +472,7 @@ def _weak(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, cold: int = 48, joins: int = 2, broadcast_rows: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, cold: int = 32, joins: int = 2, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
     """Link every two documents whose word n-gram sets have a Jaccard similarity of at least ``percent``/100.
 
@@ -463,44 +485,34 @@ def ngram_jaccard_join(
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent must be from 50 to 99")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     of_doc = materialize(_fingerprints(docs, n), "fingerprints")
-    classes = of_doc.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    buckets = materialize(_buckets(_signature_rows(docs, n, percent), cold), "buckets")
+    first = F.coalesce(F.min_by("key", "doc_id"), F.min("key"))
+    classes = of_doc.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), first.alias("key"))
+    buckets = materialize(_buckets(_signature_rows(docs, n, percent)), "buckets")
+    sets = materialize(_sets(docs, materialize(classes.join(_met(buckets, percent), "fp", "left_semi"), "met"), n, broadcast_rows), "sets")
+    alive = materialize(_shared_enough(sets, percent), "alive")
+    buckets = materialize(_kept(buckets, alive, cold, broadcast_rows), "kept")
     # A first choice of pairs; any choice is right, as what it leaves open is looked at again below.
     stars = buckets.where("fp <> rep").groupBy(F.col("rep").alias("x"), F.col("fp").alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    stars = materialize(stars.where("k >= 3").select("x", "y"), "stars")
-    links = _compared(docs, stars, classes, n, percent, broadcast_rows)
+    links = _compared(stars.where("k >= 3").select("x", "y"), sets, percent, "stars")
     comp = connected_components(links)
-
-    def members() -> DataFrame:
-        """(sig, fp, hot, comp) of the buckets with members of several components."""
-        known = materialize(buckets.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "hot", F.coalesce("label", "fp").alias("comp")), "members")
-        open_ = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        return materialize(known.join(open_, "sig", "left_semi"), "left")
-
-    left = members()
-    weak = materialize(_weak(buckets, percent), "weak").withColumn("weak", F.lit(True))
+    left = _open(buckets, comp, cold)
+    weak = materialize(_weak(left, percent), "weak").withColumn("weak", F.lit(True))
     any_weak = not weak.isEmpty()
     if any_weak:
-        band = F.floor(F.col("sig").bitwiseAND(F.lit((1 << TAG_BITS) - 1)) / SEEDS)
-        hot = left.where("hot").select(band.alias("band"), "fp").distinct().join(weak, "fp", "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
-        dealt, meet = _hot_blocks(docs, hot, classes, n, percent, broadcast_rows)
+        dealt, meet = _hot_blocks(left, weak, sets, percent)
         # Large groups of near copies first grow together along their closest pairs; else they would give all of theirs.
         for _ in range(joins):
-            near = materialize(_hot_pairs(dealt, meet, comp, percent, True).join(stars, ["x", "y"], "left_anti"), "near")
-            more = _compared(docs, near, classes, n, percent, broadcast_rows)
-            stars = stars.unionByName(near)
+            more = _compared(_hot_pairs(dealt, meet, comp, percent, True), sets, percent, "joins")
             if more.isEmpty():
                 break
             links = links.unionByName(more)
             comp = connected_components(links)
-        left = members()
-    found = _cold_pairs(left.where("not hot").select("sig", "fp", "comp"), percent)
+    rest = _cold_pairs(left.where("not hot").drop("comp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("label", "fp").alias("comp")), percent)
     if any_weak:
-        found = found.unionByName(_hot_pairs(dealt, meet, comp, percent, False)).distinct()
-    rest = materialize(found.join(stars, ["x", "y"], "left_anti"), "rest")
-    more = _compared(docs, rest, classes, n, percent, broadcast_rows)
+        rest = rest.unionByName(_hot_pairs(dealt, meet, comp, percent, False)).distinct()
+    more = _compared(rest, sets, percent, "rest")
     if not more.isEmpty():
         comp = connected_components(links.unionByName(more))
     of_class = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
