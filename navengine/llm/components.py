@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by contraction of the graph."""
 
 from __future__ import annotations
 
@@ -8,26 +8,35 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _mapped(edges: DataFrame, up: DataFrame) -> DataFrame:
+    """The edges between what ``up`` (node, to) makes of their ends, each once and without loops."""
+    for end in ("u", "v"):
+        edges = edges.join(up.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
     """``(node, label)``: the smallest node reachable from each linked node.
 
     links: pairs of comparable ids. Null ends are ignored, repeated pairs and
-    loops do no harm, and no links give an empty result. Every round is joins and
-    map-side combined minima; a hub's edges are spread by its other end.
-    It ends when no label moves; pointer jumping halves the remaining distance each round.
+    loops do no harm, and no links give an empty result. known: an earlier result, to which
+    the links are added. In every round each node goes to its smallest neighbour's smallest
+    neighbour, and only edges between different nodes are left for the next one. A round is joins and
+    map-side combined minima over the edges that are left; rounds end when none is.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
-    while True:
-        seen = edges.join(labels, edges.v == labels.node).select(F.col("u").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
-        own = labels.select("node", "label", F.col("label").alias("was"))
-        low = seen.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        up = labels.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        new = materialize(
-            low.join(up, low.label == up.p, "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "was"),
-            "labels",
-        )
-        labels = new.select("node", "label")
-        if new.where("label <> was").isEmpty():
-            return labels
+    e = e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    if known is not None:
+        e = _mapped(e, known.withColumnRenamed("label", "to"))
+    e = materialize(e, "edges")
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    labels = nodes.select("node", F.col("node").alias("label"))
+    if known is not None:
+        labels = known.unionByName(labels.join(known, "node", "left_anti"))
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("to")), "low")
+        up = materialize(low.join(low.select(F.col("node").alias("to"), F.col("to").alias("up")), "to").select("node", F.col("up").alias("to")), "up")
+        labels = materialize(labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        e = materialize(_mapped(e, up), "edges")
+    return materialize(labels, "labels")

@@ -507,14 +507,13 @@ def ngram_jaccard_join(
             more = _compared(_hot_pairs(dealt, meet, comp, percent, True), sets, percent, "joins")
             if more.isEmpty():
                 break
-            links = links.unionByName(more)
-            comp = connected_components(links)
+            comp = connected_components(more, known=comp)
     rest = _cold_pairs(left.where("not hot").drop("comp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("label", "fp").alias("comp")), percent)
     if any_weak:
         rest = rest.unionByName(_hot_pairs(dealt, meet, comp, percent, False)).distinct()
     more = _compared(rest, sets, percent, "rest")
     if not more.isEmpty():
-        comp = connected_components(links.unionByName(more))
+        comp = connected_components(more, known=comp)
     of_class = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
     lowest = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = of_class.join(lowest, "label").select("fp", "component_id")
