@@ -18,10 +18,15 @@ from .common import materialize, table
 FIELD = "<*>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(line)
-    tokens = F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ")
-    return F.when(F.size(tokens) < 3, F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")).otherwise(tokens)
+    masked = lambda t: F.transform(t, lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x))
+    whole = F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), r"\s+")
+    return _bound(whole, lambda t: F.when((F.size(t) < 3) | ~line.rlike("[0-9]"), t).otherwise(masked(t)))
 
 
 def _counts(tokens: Column, least_tokens: int) -> Column:
@@ -113,7 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = F.broadcast(drops) if size <= 4 * broadcast_rows else drops  # eight bytes each
     all_ = _lines(text)
     dropped = F.coalesce(F.col("__nav_drop"), F.array().cast("array<bigint>"))
-    stays = F.filter(all_, lambda x: ~_counts(_tokens(x), least_tokens) | ~F.array_contains(dropped, F.xxhash64(_tokens(x))))
+    stays = F.filter(all_, lambda x: ~F.array_contains(dropped, F.xxhash64(_tokens(x))))  # lines that do not count are never in dropped
     out = docs.drop("n_lines", "n_dropped").join(known, doc.eqNullSafe(F.col("__nav_doc")), "left")
     out = out.withColumn("__nav_stays", F.when(F.col("__nav_drop").isNull(), all_).otherwise(stays)).withColumn("n_lines", F.size(all_))
     out = out.withColumns({"n_dropped": F.coalesce(F.col("n_lines") - F.size("__nav_stays"), F.lit(0)), text_col: F.array_join("__nav_stays", "\n")})
