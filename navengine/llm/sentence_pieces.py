@@ -14,10 +14,10 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,14 @@ LONG = 48  # longer parts of a unit are merged with a heap and not remembered
 NONE = (float("inf"), -1)
 
 
+def _drawn(x: np.ndarray) -> np.ndarray:
+    """A 64-bit draw for each key; a draw is the key of the next one."""
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Pieces:
     """A model's pieces, and a bounded memory of encoded units."""
 
@@ -56,9 +64,27 @@ class Pieces:
                     self.rank[piece] = (-sp.get_score(i), i)
         # Neighbours in no piece are never merged: a unit falls apart between them.
         self.inside = {x for p in self.rank for i in range(len(p) - 1) if SPACE not in (x := p[i : i + 2])} | {x.replace(SPACE, " ") for p in self.rank for i in range(len(p) - 1) if SPACE in (x := p[i : i + 2])}
-        self.memory: dict[str, list] = {}  # of each unit, its parts' outcomes
-        self.size, self.most = 0, most
-        self.rate, self.odds = 0, []
+        self.most = most
+        self.rate, self.least = 0, np.empty(0, np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the memory: outcomes are numbered; a part's plain outcome leads to others by the gaps before its skips."""
+        self.units: dict[str, tuple[int, ...]] = {}  # of each unit, its parts' plain outcomes
+        self.plain: dict[str, int] = {}  # of each part
+        self.next: dict[int, int] = {}  # (outcome << 6 | gap) -> outcome
+        self.left = np.zeros(1 << 12, np.int64)  # candidates after the last skip; -1: a long part
+        self.ids: list[bytes] = []
+        self.path: list[tuple[str, tuple[int, ...]]] = []  # part and gaps
+
+    def _outcome(self, part: str, gaps: tuple[int, ...], n: int, ids: list[int]) -> int:
+        k = len(self.ids)
+        if k == len(self.left):
+            self.left = np.concatenate((self.left, np.zeros_like(self.left)))
+        self.left[k] = n
+        self.ids.append(array("I", ids).tobytes())
+        self.path.append((part, gaps))
+        return k
 
     def merge(self, unit: str, gaps: tuple[int, ...] = ()) -> tuple[int, list[int]]:
         """(candidates after the last skip, ids) of a unit (spaces already U+2581); ``gaps`` are the candidates merged before each that is skipped."""
@@ -116,79 +142,68 @@ class Pieces:
                 heappush(heap, (r, h, p))
         return self._ids([p for p in parts if p is not None])
 
-    def _outcomes(self, text: str) -> list:
-        """[candidates, ids, text, outcomes after a skip by its gap] of each part of a unit; candidates are None if the part is long."""
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inside]
+    def _parts(self, unit: str) -> tuple[int, ...]:
+        """The plain outcomes of a unit's parts."""
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.inside]
         out = []
-        for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True):
-            part = text[i:j].replace(" ", SPACE)
-            if SPACE in text[i:j]:  # of the text itself, must not turn into a space
-                out.append([0, array("I", [self.byte[b] for b in text[i:j].encode("utf-8", "surrogatepass")]).tobytes(), part, {}])
-            elif len(part) > LONG:
-                out.append([None, b"", part, {}])
-            else:
-                n, ids = self.merge(part)
-                out.append([n, array("I", ids).tobytes(), part, {}])
-        if len(text) <= 64:
-            if self.size >= self.most:
-                self.memory.clear()
-                self.size = 0
-            self.memory[text] = out
-            self.size += len(out)
-        return out
-
-    def _drawn(self, out: list, key: int) -> bytes:
-        """Ids of a part of a unit; each candidate is skipped at the rate, as ``key`` draws."""
-        n, ids, part, after = out
-        if n is None:
-            return array("I", self._merge_long(part, self.rate, key)).tobytes()
-        gaps: tuple[int, ...] = ()
-        while (gap := LONG - bisect_right(self.odds, key)) < n:
-            gaps += (gap,)
-            if (got := after.get(gap)) is None:
-                n, ids = self.merge(part, gaps)
-                got = after[gap] = (n, array("I", ids).tobytes(), {})
-                self.size += 1
-            n, ids, after = got
-            key = (key * 0x5851F42D4C957F2D + 0x14057B7EF767814F) & _BITS
-        return ids
+        for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True):
+            if (k := self.plain.get(unit[i:j])) is None:
+                part = unit[i:j].replace(" ", SPACE)
+                if SPACE in unit[i:j]:  # of the text itself, must not turn into a space
+                    k = self._outcome(part, (), 0, [self.byte[b] for b in unit[i:j].encode("utf-8", "surrogatepass")])
+                elif len(part) > LONG:
+                    k = self._outcome(part, (), -1, self._merge_long(part, 0, 0))
+                else:
+                    k = self._outcome(part, (), *self.merge(part))
+                self.plain[unit[i:j]] = k
+            out.append(k)
+        if len(unit) <= 64:
+            self.units[unit] = tuple(out)
+        return tuple(out)
+
+    def _skipped(self, step: int) -> int:
+        """The outcome after another skip; step: outcome << 6 | gap."""
+        part, gaps = self.path[step >> 6]
+        gaps += (step & 63,)
+        self.next[step] = k = self._outcome(part, gaps, *self.merge(part, gaps))
+        return k
 
     def encode(self, text: str | None, rate: int = 0, seed: int = 0, key: int = 0) -> bytes:
-        """Ids of a whole text; ``rate`` of 65536 candidates are skipped, drawn by (seed, key, place)."""
+        """Ids of a whole text; ``rate`` of 65536 candidates are skipped, drawn by (seed, key, place).
+
+        The draws of all parts of a text are taken at once: first the gaps before each part's first
+        skip, then, of parts in which it is met, before the second one, and so on.
+        """
         if not text:
             return b""
-        if self.size >= self.most:
-            self.memory.clear()
-            self.size = 0
+        if len(self.ids) >= self.most:
+            self._forget()
         units = _UNIT.findall(" " + text)
-        get, find = self.memory.get, self._outcomes
+        found = list(map(self.units.get, units))
+        if None in found:
+            found = [self.units.get(u) or self._parts(u) if f is None else f for f, u in zip(found, units, strict=True)]
+        at = np.fromiter(chain.from_iterable(found), np.int64)
         if not rate:
-            return b"".join([o[1] if o[0] is not None else self._drawn_plain(o) for u in units for o in get(u) or find(u)])
+            return b"".join(map(self.ids.__getitem__, at.tolist()))
         if rate != self.rate:
             # A gap is the count of odds above the draw: more than k candidates are merged first with (1 - rate) ** (k + 1).
-            self.rate, self.odds = rate, sorted(((65536 - rate) ** k << 64) >> 16 * k for k in range(1, LONG + 1))
-            self.least = np.array(self.odds, dtype=np.uint64)
-        draw = (np.arange(len(units), dtype=np.uint64) + np.uint64((seed * 0x9E3779B9 + key) & _BITS)) * np.uint64(0x9E3779B97F4A7C15)
-        draw = (draw ^ (draw >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        draw = (draw ^ (draw >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        draw ^= draw >> np.uint64(31)
-        gaps = LONG - np.searchsorted(self.least, draw, side="right")
-        ids: list[bytes] = []
-        for u, gap, x in zip(units, gaps.tolist(), draw.tolist(), strict=True):
-            out = get(u) or find(u)
-            if len(out) == 1:
-                o = out[0]
-                ids.append(o[1] if o[0] is not None and gap >= o[0] else self._drawn(o, x))
-            else:
-                for o in out:
-                    ids.append(self._drawn(o, x))
-                    x = ((x ^ (x >> 29)) * 0xC2B2AE3D27D4EB4F + 0x9E3779B97F4A7C15) & _BITS
-                    x ^= x >> 32
+            self.rate, self.least = rate, np.array(sorted(((65536 - rate) ** k << 64) >> 16 * k for k in range(1, LONG + 1)), dtype=np.uint64)
+        draw = _drawn(np.arange(len(at), dtype=np.uint64) + np.uint64((seed * 0x9E3779B9 + key) & _BITS))
+        long, first = np.flatnonzero(self.left[at] < 0), draw
+        open_, gap = np.arange(len(at)), LONG - np.searchsorted(self.least, draw, side="right")
+        while len(open_ := open_[more := gap < self.left[at[open_]]]):
+            steps = (at[open_] << 6 | gap[more]).tolist()
+            to = list(map(self.next.get, steps))
+            if None in to:
+                to = [self.next.get(x) or self._skipped(x) if k is None else k for k, x in zip(to, steps, strict=True)]
+            at[open_] = to
+            draw = _drawn(draw[more])
+            gap = LONG - np.searchsorted(self.least, draw, side="right")
+        ids = list(map(self.ids.__getitem__, at.tolist()))
+        for i in long.tolist():
+            ids[i] = array("I", self._merge_long(self.path[at[i]][0], rate, int(first[i]))).tobytes()
         return b"".join(ids)
 
-    def _drawn_plain(self, out: list) -> bytes:
-        return array("I", self._merge_long(out[2], 0, 0)).tobytes()
-
     def decode(self, ids: bytes) -> str:
         """The text of ids that ``encode`` gave."""
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")[1:]
