@@ -17,7 +17,8 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ SPACE = "▁"
 _UNIT = re.compile(r" *[^ ]+| +")
 _BITS = (1 << 64) - 1
 LONG = 48  # longer parts of a unit are merged with a heap and not remembered
-NONE = (float("inf"), -1)
+NONE = 1 << 31
 
 
 def _drawn(x: np.ndarray) -> np.ndarray:
@@ -46,13 +47,13 @@ def _drawn(x: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces, and a bounded memory of encoded units."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.rank: dict[str, tuple[float, int]] = {}
         self.byte = [0] * 256
         self.text: list[str | bytes] = []
+        scored: list[tuple[float, int, str]] = []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -61,9 +62,16 @@ class Pieces:
             else:
                 self.text.append(piece.replace(SPACE, " ").encode() if not (sp.is_control(i) or sp.is_unknown(i)) else b"")
                 if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                    self.rank[piece] = (-sp.get_score(i), i)
+                    scored.append((-sp.get_score(i), i, piece))
+        scored.sort()
+        self.piece = [p for _, _, p in scored]  # the best score first
+        self.rank = {p: k for k, p in enumerate(self.piece)}
+        self.id = {p: i for _, i, p in scored}
         # Neighbours in no piece are never merged: a unit falls apart between them.
         self.inside = {x for p in self.rank for i in range(len(p) - 1) if SPACE not in (x := p[i : i + 2])} | {x.replace(SPACE, " ") for p in self.rank for i in range(len(p) - 1) if SPACE in (x := p[i : i + 2])}
+        # Words of characters of the vocabulary, in one part: the library merges them at once if nothing is skipped.
+        self.word = re.compile(f" [{re.escape(''.join(sorted(p for p in self.piece if len(p) == 1 and p != SPACE)))}]{{1,{LONG - 1}}}")
+        self.library = sp.encode
         self.most = most
         self.rate, self.least = 0, np.empty(0, np.uint64)
         self._forget()
@@ -76,6 +84,24 @@ class Pieces:
         self.left = np.zeros(1 << 12, np.int64)  # candidates after the last skip; -1: a long part
         self.ids: list[bytes] = []
         self.path: list[tuple[str, tuple[int, ...]]] = []  # part and gaps
+        self.passing: list[tuple[dict, str | int]] = []  # what the memory holds for one text only
+        self.passed = 0
+
+    def _make_room(self) -> None:
+        """A full memory holds new outcomes for one text only; after too many of them it starts anew."""
+        if len(self.ids) > self.most:
+            self.passed += len(self.ids) - self.most
+            for held, key in self.passing:
+                held.pop(key, None)
+            self.passing.clear()
+            del self.ids[self.most :], self.path[self.most :]
+            if self.passed > 8 * self.most:
+                self._forget()
+
+    def _keep(self, held: dict, key: str | int, value) -> None:
+        held[key] = value
+        if len(self.ids) > self.most:
+            self.passing.append((held, key))
 
     def _outcome(self, part: str, gaps: tuple[int, ...], n: int, ids: list[int]) -> int:
         k = len(self.ids)
@@ -88,32 +114,29 @@ class Pieces:
 
     def merge(self, unit: str, gaps: tuple[int, ...] = ()) -> tuple[int, list[int]]:
         """(candidates after the last skip, ids) of a unit (spaces already U+2581); ``gaps`` are the candidates merged before each that is skipped."""
-        get, parts = self.rank.get, list(unit)
-        agenda = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]  # of each place
+        get, piece, parts = self.rank.get, self.piece, list(unit)
+        agenda = list(map(get, map(add, unit, unit[1:]), repeat(NONE)))  # of each place
         skips, n = iter(gaps), 0
         gap = next(skips, -1)
-        while agenda and (best := min(agenda)) is not NONE:
+        while agenda and (best := min(agenda)) != NONE:
             i = agenda.index(best)
             if n == gap:
                 agenda[i] = NONE
                 gap, n = next(skips, -1), 0
                 continue
             n += 1
-            parts[i] += parts.pop(i + 1)
-            agenda.pop(i)
+            parts[i] = joined = piece[best]
+            del parts[i + 1], agenda[i]
             if i < len(agenda):
-                agenda[i] = get(parts[i] + parts[i + 1], NONE)
+                agenda[i] = get(joined + parts[i + 1], NONE)
             if i:
-                agenda[i - 1] = get(parts[i - 1] + parts[i], NONE)
+                agenda[i - 1] = get(parts[i - 1] + joined, NONE)
         return n, self._ids(parts)
 
     def _ids(self, parts: list[str]) -> list[int]:
-        ids: list[int] = []
-        for p in parts:
-            if p in self.rank:
-                ids.append(self.rank[p][1])
-            else:
-                ids += (self.byte[b] for b in p.encode("utf-8", "surrogatepass"))
+        ids = list(map(self.id.get, parts))
+        if None in ids:
+            ids = [x for p, i in zip(parts, ids, strict=True) for x in ((i,) if i is not None else map(self.byte.__getitem__, p.encode("utf-8", "surrogatepass")))]
         return ids
 
     def _merge_long(self, unit: str, rate: int, key: int) -> list[int]:
@@ -122,29 +145,30 @@ class Pieces:
         parts: list[str | None] = list(unit)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, p) for i in range(n - 1) if (r := get(p := unit[i : i + 2]))]
+        heap = [(r, i, p) for i in range(n - 1) if (r := get(p := unit[i : i + 2])) is not None]
         heapify(heap)
         while heap:
             r, i, piece = heappop(heap)
             if parts[i] is None or (j := after[i]) >= n or parts[i] + parts[j] != piece:
                 continue
             if rate:
-                key = (key * 0x5851F42D4C957F2D + r[1]) & _BITS
+                key = (key * 0x5851F42D4C957F2D + r) & _BITS
                 if (key >> 40) & 0xFFFF < rate:
                     continue
             parts[i], parts[j] = piece, None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if r := get(p := piece + parts[after[i]]):
+                if (r := get(p := piece + parts[after[i]])) is not None:
                     heappush(heap, (r, i, p))
-            if (h := before[i]) >= 0 and (r := get(p := parts[h] + piece)):
+            if (h := before[i]) >= 0 and (r := get(p := parts[h] + piece)) is not None:
                 heappush(heap, (r, h, p))
         return self._ids([p for p in parts if p is not None])
 
     def _parts(self, unit: str) -> tuple[int, ...]:
         """The plain outcomes of a unit's parts."""
-        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.inside]
+        inside = self.inside
+        cuts = [i for i, x in enumerate(map(add, unit, unit[1:]), 1) if x not in inside]
         out = []
         for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True):
             if (k := self.plain.get(unit[i:j])) is None:
@@ -155,17 +179,27 @@ class Pieces:
                     k = self._outcome(part, (), -1, self._merge_long(part, 0, 0))
                 else:
                     k = self._outcome(part, (), *self.merge(part))
-                self.plain[unit[i:j]] = k
+                self._keep(self.plain, unit[i:j], k)
             out.append(k)
         if len(unit) <= 64:
-            self.units[unit] = tuple(out)
+            self._keep(self.units, unit, tuple(out))
         return tuple(out)
 
+    def _learn(self, units: list[str]) -> None:
+        """Remember the plain outcomes of simple units: every merge leaves a part less."""
+        word, inside = self.word.fullmatch, self.inside
+        simple = [u for u in units if word(u) and inside.issuperset(map(add, u, u[1:])) and u not in self.plain]
+        for u, ids in zip(simple, self.library([u[1:] for u in simple]), strict=True):
+            k = self._outcome(SPACE + u[1:], (), len(u) - len(ids), ids)
+            self._keep(self.plain, u, k)
+            self._keep(self.units, u, (k,))
+
     def _skipped(self, step: int) -> int:
         """The outcome after another skip; step: outcome << 6 | gap."""
         part, gaps = self.path[step >> 6]
         gaps += (step & 63,)
-        self.next[step] = k = self._outcome(part, gaps, *self.merge(part, gaps))
+        k = self._outcome(part, gaps, *self.merge(part, gaps))
+        self._keep(self.next, step, k)
         return k
 
     def encode(self, text: str | None, rate: int = 0, seed: int = 0, key: int = 0) -> bytes:
@@ -176,11 +210,11 @@ class Pieces:
         """
         if not text:
             return b""
-        if len(self.ids) >= self.most:
-            self._forget()
+        self._make_room()
         units = _UNIT.findall(" " + text)
         found = list(map(self.units.get, units))
         if None in found:
+            self._learn(list({u: None for u, f in zip(units, found, strict=True) if f is None}))
             found = [self.units.get(u) or self._parts(u) if f is None else f for f, u in zip(found, units, strict=True)]
         at = np.fromiter(chain.from_iterable(found), np.int64)
         if not rate:
