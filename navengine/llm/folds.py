@@ -11,16 +11,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_per_class(rows: DataFrame, class_col: str, id_col: str, most: int, most_classes: int = 256) -> DataFrame:
+def sample_per_class(rows: DataFrame, class_col: str, id_col: str, most: int) -> DataFrame:
     """About ``most`` rows of each class, by a hash of their ids; all rows of smaller classes.
 
     The bound on the training sample of a classifier. The choice depends on ids
-    alone, so it is the same however the table is partitioned.
+    alone, so it is the same however the table is partitioned. Rows without a class go.
     """
-    counts = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(class_col).isNotNull()).limit(most_classes + 1).collect()
-    if len(counts) > most_classes:
-        raise ValueError(f"more than {most_classes} classes in {class_col}")
-    keep = F.lit(False)
-    for c in counts:
-        keep = keep | ((F.col(class_col) == F.lit(c[0])) & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, most / c["n"]) * (1 << 30))))
-    return rows.where(keep)
+    counts = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("__nav_n"))
+    drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) * F.col("__nav_n").cast("double") < float(most << 30)
+    return rows.join(counts, class_col).where(drawn).select(*rows.columns)

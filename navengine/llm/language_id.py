@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
@@ -50,11 +49,10 @@ class LanguageModel:
     prior: np.ndarray
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1500, most_words: int = 30_000, most_ngrams: int = 15_000, alpha: float = 0.2) -> LanguageModel:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1500, alpha: float = 0.2) -> LanguageModel:
     """Fit on about ``rows_per_language`` rows of each language.
 
-    The model keeps the ``most_words`` commonest words and, of each length, the
-    ``most_ngrams`` commonest n-grams of a language; that bounds what is collected and broadcast.
+    The model keeps all words and n-grams of the sample, so the sample bounds what is collected and broadcast.
     Rows with a null text or language are left out; without rows the model knows no language.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
@@ -76,16 +74,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "n", "item", "k"])
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, n int, item string, k bigint").groupBy("lang", "n", "item").agg(F.sum("k").alias("k"))
-    by = W.partitionBy("lang", "n")
-    top = counts.withColumn("total", F.sum("k").over(by)).withColumn("at", F.row_number().over(by.orderBy(F.desc("k"), "item")))
-    top = top.where(F.col("at") <= F.when(F.col("n") == 0, most_words).otherwise(most_ngrams)).toArrow().to_pylist()
+    top = counts.toArrow()
+    top = [dict(zip(top.column_names, r, strict=True)) for r in zip(*(c.to_pylist() for c in top.columns), strict=True)]
     langs = sorted({r["lang"] for r in top})
     place = {x: i for i, x in enumerate(langs)}
-    totals = np.ones((5, len(langs)))
+    totals = np.zeros((5, len(langs)))
     known: dict[str, int] = {}
     grams: dict[str, int] = {}
     for r in top:
-        totals[r["n"], place[r["lang"]]] = r["total"]
+        totals[r["n"], place[r["lang"]]] += r["k"]
         d = known if r["n"] == 0 else grams
         d.setdefault(r["item"], 0)
     index = {("w", w): i for i, w in enumerate(sorted(known))} | {("g", g): len(known) + i for i, g in enumerate(sorted(grams))}
@@ -96,7 +93,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         k[i, place[r["lang"]]] = r["k"]
         kind[i] = r["n"]
     logs = np.log((k + alpha) / (totals[kind] + alpha * max(1, len(index)))) if langs else np.zeros((0, 0))
-    size = totals[0] / totals[0].sum() if langs else np.zeros(0)
+    size = (totals[0] + 1) / (totals[0] + 1).sum() if langs else np.zeros(0)
     return LanguageModel(langs, {w: index["w", w] for w in known}, {g: index["g", g] for g in grams}, logs, np.log(size))
 
 

@@ -131,17 +131,23 @@ class MediaReader(DataSourceReader):
         self.tries = int(options.get("tries", 3))
         # Null lets failed members pass as rows with an error; else the task fails.
         self.lenient = options.get("onerror", "fail") == "null"
-        self.listed = [x.split("\t") for x in options.get("archives", "").splitlines()]
+        self.manifest = options.get("manifest")
 
     def partitions(self) -> list[MediaRange]:
-        if not self.listed:
-            from pyarrow import fs as pafs
+        """Ranges of all archives, from the manifest if there is one, else from a listing of the folder."""
+        from pyarrow import fs as pafs
+        from pyarrow import parquet
 
-            from .common import filesystem
+        from .common import filesystem
 
+        if self.manifest:
+            fs, path = filesystem(self.manifest)
+            rows = parquet.read_table(path, filesystem=fs, columns=["path", "bytes", "records"]).to_pylist()
+            listed = [(r["path"], r["bytes"]) for r in rows if r["records"]]
+        else:
             fs, path = filesystem(self.folder)
-            self.listed = [(f"{self.folder}/{x.base_name}", x.size) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".media")]
-        return [MediaRange(p, lo, lo + self.step) for p, size in self.listed for lo in range(0, int(size), self.step)]
+            listed = [(f"{self.folder}/{x.base_name}", x.size) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".media")]
+        return [MediaRange(p, lo, lo + self.step) for p, size in listed for lo in range(0, size, self.step)]
 
     def read(self, part: MediaRange) -> Iterator[pa.RecordBatch]:
         with reading(part.path) as f:
@@ -182,7 +188,7 @@ class MediaReader(DataSourceReader):
 class MediaArchives(DataSource):
     """``spark.read.format("nav_media").load(folder)``.
 
-    Options: rangeBytes, tries, onError (fail or null), archives (lines of path and size; without it the folder is listed).
+    Options: rangeBytes, tries, onError (fail or null), manifest (folder of the Parquet files that write_media left; without it the folder is listed).
     """
 
     @classmethod
@@ -196,20 +202,17 @@ class MediaArchives(DataSource):
         return MediaReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_media(spark: SparkSession, folder: str, manifest: DataFrame | None = None, most_archives: int = 100_000, **options: str) -> DataFrame:
+def read_media(spark: SparkSession, folder: str, manifest: DataFrame | None = None, **options: str) -> DataFrame:
     """The members of a folder's archives, or of those in the manifest only (files of failed attempts are then ignored).
 
-    The manifest has a row for each archive of 128 MB or so, and no more than ``most_archives`` may be read at once.
+    The data source reads the manifest, a row for each archive of 128 MB or so, when it plans its ranges.
     """
     spark.dataSource.register(MediaArchives)
     reader = spark.read.format("nav_media").options(**options)
     if manifest is not None:
-        rows = manifest.where("records > 0").limit(most_archives + 1).collect()
-        if len(rows) > most_archives:
-            raise ValueError(f"more than {most_archives} archives; read them in several parts")
-        if not rows:
-            return spark.createDataFrame([], SCHEMA)
-        reader = reader.option("archives", "\n".join(f"{r['path']}\t{r['bytes']}" for r in rows))
+        path = f"{shared_dir(spark)}/manifest"
+        manifest.select("path", "bytes", "records").write.parquet(path)
+        reader = reader.option("manifest", path)
     return reader.load(folder)
 
 

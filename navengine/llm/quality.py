@@ -23,7 +23,7 @@ from .common import table
 from .folds import held_out, sample_per_class
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-SAME, OTHER = ("=", "="), ("=", "_")
+SAME, OTHER = ("=", "=", "="), ("=", "_", "=")  # of three parts, so that no pair of tokens equals them
 SMOOTH = 2.0  # added to the squared length, so that a few weak n-grams do not decide a short text
 
 
@@ -101,11 +101,10 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = 3000, least_rows: int = 3, most_features: int = 150_000, alpha: float = 1.0, cost: float = 1.0) -> QualityModel:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = 3000, least_rows: int = 3, alpha: float = 1.0, cost: float = 1.0) -> QualityModel:
     """Fit on about ``rows_per_class`` rows of each class.
 
-    N-grams of fewer than ``least_rows`` sampled rows are left out, and the ``most_features``
-    commonest remain: the bound on what is collected and broadcast. Null labels are
+    N-grams of fewer than ``least_rows`` sampled rows are left out. The sample bounds what is collected and broadcast. Null labels are
     left out; with rows of one class only (or none), every text gets that class's share (or 0.5).
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
@@ -126,7 +125,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["f", "k0", "k1"])
 
     df = sample.select("text", "y").mapInArrow(grams, "f string, k0 bigint, k1 bigint").groupBy("f").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
-    vocab = df.where(F.col("k0") + F.col("k1") >= least_rows).orderBy(F.desc(F.col("k0") + F.col("k1")), "f").limit(most_features).toArrow().to_pandas()
+    vocab = df.where(F.col("k0") + F.col("k1") >= least_rows).orderBy("f").toArrow().to_pandas()
     key = [tuple(f.split("\t")) if "\t" in f else f for f in vocab["f"]]
     p, q = vocab["k1"].to_numpy() + alpha, vocab["k0"].to_numpy() + alpha
     r = np.log((p / p.sum()) / (q / q.sum())) if len(key) else np.zeros(0)
@@ -149,7 +148,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     w = dual_coordinate_descent([x[i] for i in fit[0]], [v[i] for i in fit[0]], y[fit[0]], len(r), (cost / (2 * share))[fit[0]])
     margins = np.array([v[i] @ w[x[i]] + w[-1] for i in np.flatnonzero(fold)])
     slope, shift = logistic(margins, y[fold])
-    # From the sample's shares of the classes to those of all labels.
+    # The curve is fitted to the model of three quarters of the rows, on the other quarter; the model
+    # that scores is then fitted on all rows with the same curve. The shift goes from the sample's shares to those of all labels.
     shift += math.log((whole[1] / whole[0]) / (n[1] / n[0]))
     w = dual_coordinate_descent(x, v, y, len(r), cost / (2 * share))
     return QualityModel(dict(zip(key, r.tolist(), strict=True)), dict(zip(key, (r * w[:-1]).tolist(), strict=True)), float(w[-1]), slope, shift)

@@ -1,41 +1,43 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Components are integer weights, and each dimension is a term whose postings are
-the candidates with their weights. A block of queries is scored against
-a batch of candidates term by term: every query row with a weight in the
-term scatters weighted postings into its dense array of scores. Each task keeps the
-k best of its candidates for every query by partition selection, and these lists are merged.
+the candidates with their weights. Spark deals queries and candidates to blocks of bounded
+size, and every two blocks meet in a task. There the queries are scored against
+the candidates term by term: every query row with a weight in the
+term scatters weighted postings into its dense array of scores. The
+k best of a block for every query are found by partition selection, and these lists are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-
-LARGEST = float(1 << 26)  # of a weight: sums over thousands of dimensions then stay exact in 64 bits
-
+from .common import table
 
 def weights(vector: Column, scale: float = 1024.0) -> Column:
-    """floor(scale * x) of each component as longs."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """floor(scale * x) of each component as longs; an error for one that no long holds."""
+    scaled = lambda x: F.floor(x.cast("double") * scale)
+    huge = F.exists(vector, lambda x: F.abs(x.cast("double") * scale) >= float(1 << 63))
+    return F.when(huge, F.raise_error("a component is too large for a 64-bit weight")).otherwise(F.transform(vector, lambda x: scaled(x).cast("long")))
 
 
-def usable(vector: Column, scale: float = 1024.0) -> Column:
-    """Not null, and no component null, non-finite or so large that its weight passes ``LARGEST``."""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LARGEST))
+def usable(vector: Column) -> Column:
+    """Not null, and no component null or non-finite."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.coalesce(vector.isNotNull() & good, F.lit(False))
 
 
 def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
-    """Scores (queries x candidates); rows of ``postings`` are terms."""
-    scores = np.zeros((len(queries), postings.shape[1]), np.int64)
+    """Scores (queries x candidates); rows of ``postings`` are terms. OverflowError if a score needs more than 64 bits."""
+    largest = [max((abs(int(f(x))) for f in (np.min, np.max)), default=0) if x.size else 0 for x in (queries, postings)]
+    exact = largest[0] * largest[1] * len(postings) >= 1 << 63  # then in Python's integers
+    if exact:
+        queries, postings = queries.astype(object), postings.astype(object)
+    scores = np.zeros((len(queries), postings.shape[1]), object if exact else np.int64)
     for term, posting in enumerate(postings):
         w = queries[:, term]
         rows = np.flatnonzero(w)
@@ -43,7 +45,7 @@ def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
             scores += w[:, None] * posting
         elif len(rows):
             scores[rows] += w[rows, None] * posting
-    return scores
+    return scores.astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -68,61 +70,56 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _partial(candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, batch: int = 2048) -> DataFrame:
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, q))
+def _best_of_blocks(k: int, batch: int = 2048):
+    """The function for a block of queries and a block of candidates: each query's k best."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+    def run(_, queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        ids = queries.column("vec_id").to_numpy()
+        w = queries.column("w").combine_chunks()
+        q = _matrix(w, int(np.diff(w.offsets.to_numpy()).max(initial=0)) if len(w) else 0)
         kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
-        for b in batches:
-            for lo in range(0, b.num_rows, batch):
-                part = b.slice(lo, batch)
-                other = part.column(0).to_numpy(zero_copy_only=False)
-                scores = accumulate(q, np.ascontiguousarray(_matrix(part.column(1), q.shape[1]).T))
-                for i, own in enumerate(ids):
-                    s, c = scores[i], other
-                    if (c == own).any():
-                        s, c = s[c != own], c[c != own]
-                    at = best(s, c, k)
-                    s, c = np.concatenate((kept[i][0], s[at])), np.concatenate((kept[i][1], c[at]))
-                    at = best(s, c, k)
-                    kept[i] = s[at], c[at]
+        for lo in range(0, candidates.num_rows if len(ids) else 0, batch):
+            part = candidates.slice(lo, batch)
+            other = part.column("vec_id").to_numpy()
+            scores = accumulate(q, np.ascontiguousarray(_matrix(part.column("w").combine_chunks(), q.shape[1]).T))
+            for i, own in enumerate(ids):
+                s, c = scores[i], other
+                if (c == own).any():
+                    s, c = s[c != own], c[c != own]
+                at = best(s, c, k)
+                s, c = np.concatenate((kept[i][0], s[at])), np.concatenate((kept[i][1], c[at]))
+                at = best(s, c, k)
+                kept[i] = s[at], c[at]
         sizes = [len(s) for s, _ in kept]
-        if sum(sizes):
-            cols = np.repeat(ids, sizes), np.concatenate([c for _, c in kept]), np.concatenate([s for s, _ in kept])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+        none = [np.empty(0, np.int64)]
+        return pa.table({"query_id": np.repeat(ids, sizes), "vec_id": np.concatenate([c for _, c in kept] or none), "score": np.concatenate([s for s, _ in kept] or none)})
 
-    return candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, block: int = 4096) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, query_rows: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` candidates of the highest inner product of weights.
 
     A query's own id is no candidate; ties go to the smaller id. Rows with a null id, and vectors
-    that are null or hold null, non-finite or huge components take no part.
+    that are null or hold null or non-finite components take no part. Large components are summed
+    exactly; a weight or a score that no 64-bit integer holds is an error.
     Vectors of different lengths meet as if the shorter ended in zeros. A repeated query
-    id counts once (its smallest vector); a repeated candidate takes part as often as it occurs. Queries are
-    broadcast in blocks of at most ``block`` rows, each of which scans the candidates once; empty
+    id counts once (its smallest vector); a repeated candidate takes part as often as it occurs. Blocks have about
+    ``query_rows`` queries and ``block_bytes`` of candidates; nothing is broadcast or collected. Empty
     tables give no rows.
     """
     cols = F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")
-    c = vectors.select(*cols).where(F.col("vec_id").isNotNull() & usable(F.col("v"), scale)).select("vec_id", weights(F.col("v"), scale).alias("w"))
-    q = queries.select(*cols).where(F.col("vec_id").isNotNull() & usable(F.col("v"), scale)).select("vec_id", weights(F.col("v"), scale).alias("w"))
-    q = materialize(q.groupBy("vec_id").agg(F.min("w").alias("w")), "queries")
-    blocks = max(1, -(-q.count() // (block // 2)))
-    parts = []
-    for i in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).limit(block + 1).collect()
-        if len(rows) > block:
-            raise RuntimeError("a block of queries is larger than expected")
-        if rows:
-            m = np.zeros((len(rows), max(len(r["w"]) for r in rows)), np.int64)
-            for at, r in zip(m, rows, strict=True):
-                at[: len(r["w"])] = r["w"]
-            parts.append(_partial(c, np.array([r["vec_id"] for r in rows], np.int64), m, k))
-    merged = parts[0] if parts else c.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+    c = vectors.select(*cols).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", weights(F.col("v"), scale).alias("w"))
+    q = queries.select(*cols).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", weights(F.col("v"), scale).alias("w"))
+    q = q.groupBy("vec_id").agg(F.min("w").alias("w"))
+    n, dims = vectors.agg(F.count(F.lit(1)), F.max(F.size(vector_col))).first()
+    asked = queries.agg(F.count(F.lit(1))).first()[0]
+    i_blocks = max(1, -(-asked // query_rows))
+    j_blocks = max(1, -(-n * 8 * max(1, dims or 0) // block_bytes))
+    spread = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = q.select("vec_id", "w", F.pmod(F.xxhash64("vec_id"), F.lit(i_blocks)).cast("int").alias("i"), spread(j_blocks).alias("j"))
+    right = c.select("vec_id", "w", spread(i_blocks).alias("i"), F.pmod(F.monotonically_increasing_id(), F.lit(j_blocks)).cast("int").alias("j"))
+    merged = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_of_blocks(k), "query_id bigint, vec_id bigint, score bigint")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

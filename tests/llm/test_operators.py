@@ -179,7 +179,7 @@ def test_top_k(spark):
     v = [(i, [float(x) for x in rng.integers(-3, 3, 4) / 8]) for i in range(120)] + [(500, None), (501, [1.0, None, 0.0, 0.0]), (502, [float("nan")] * 4), (503, [])]
     t = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(4)
     got = {}
-    for r in topk_search.exact_top_k(t, t.where("vec_id % 20 = 0"), k=5, block=4).collect():
+    for r in topk_search.exact_top_k(t, t.where("vec_id % 20 = 0"), k=5, query_rows=4, block_bytes=256).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     w = {i: np.floor(1024 * np.array(x)).astype(int) if x else np.zeros(4, int) for i, x in v if i < 120 or i == 503}
     for q in range(0, 120, 20):
@@ -260,3 +260,114 @@ def test_sentence_pieces_each_occurrence_draws():
     assert abs(np.mean([w == plain for w in words]) - each) < 0.02 and 0.1 < each < 0.9
     long = "ab" * 500
     assert p.decode(p.encode(long, 6554)) == long and p.decode(p.encode("我们 в x▁y " + long, 30000, 1, 2)) == "我们 в x▁y " + long
+
+
+def test_top_k_large_components(spark):
+    rows = [(100, [1.0, 1.0]), (1, [70000.0, 0.0]), (2, [0.5, 0.5]), (3, [float("inf"), 0.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.exact_top_k(t, t.where("vec_id = 100")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 70000 * 1024 * 1024), (2, 1024 * 1024)]
+    big = np.array([[1 << 40, 3]], np.int64)
+    assert topk_search.accumulate(big, np.array([[5], [7]], np.int64)).tolist() == [[5 * (1 << 40) + 21]]
+    with pytest.raises(OverflowError):
+        topk_search.accumulate(big, big.T)
+    assert topk_search.exact_top_k(t.limit(0), t.limit(0)).collect() == []
+    repeated = topk_search.exact_top_k(t.unionByName(t.where("vec_id = 2")), t.where("vec_id = 100")).orderBy("rank")
+    assert [r["vec_id"] for r in repeated.collect()] == [1, 2, 2]
+
+
+def test_language_id_with_many_languages(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} of its own", f"l{i:03d}", 0) for i in range(300)]
+    model = language_id.train(docs(spark, rows))
+    assert len(model.languages) == 300
+    got = language_id.identify(docs(spark, rows[:5]), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: f"l{i:03d}" for i in range(5)}
+
+
+def test_language_scores_by_brute_force(spark):
+    train = [(1, "the cat and the dog", "en", 0), (2, "le chat et le chien", "fr", 0), (3, "the hat", "en", 0)]
+    model = language_id.train(docs(spark, train), alpha=0.2)
+    items = {"en": ["the cat and the dog", "the hat"], "fr": ["le chat et le chien"]}
+
+    def grams(n):
+        return {lang: [g for t in texts for w in language_id.words(t) for g in ([w] if not n else language_id.ngrams(w, n))] for lang, texts in items.items()}
+
+    tables = {n: grams(n) for n in (0, *language_id.LENGTHS)}
+    size = len({(min(n, 1), g) for n, by in tables.items() for gs in by.values() for g in gs})
+    log = lambda n, g, lang: np.log((tables[n][lang].count(g) + 0.2) / (len(tables[n][lang]) + 0.2 * size))
+
+    def score(text, lang):
+        total = np.log((len(tables[0][lang]) + 1) / sum(len(x) + 1 for x in tables[0].values()))
+        for w in language_id.words(text):
+            if any(w in x for x in tables[0].values()):
+                total += log(0, w, lang)
+                continue
+            for n in language_id.LENGTHS:
+                seen = [g for g in language_id.ngrams(w, n) if any(g in x for x in tables[n].values())]
+                if seen:
+                    total += np.mean([log(n, g, lang) for g in seen])
+                    break
+        return total
+
+    texts = ["the chats", "le hatter", "zzz qqq", "doge chien the"]
+    got = {r["doc_id"]: r for r in language_id.identify(docs(spark, [(i, t, None, 0) for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        s = {lang: score(t, lang) for lang in items}
+        best = max(sorted(s), key=s.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(np.exp(x - s[best]) for x in s.values())) < 1e-4
+
+
+def test_pieces_with_dropout_by_brute_force():
+    import public_tokenizers
+
+    p = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    odds = [(1 - 9000 / 65536) ** k * 2.0**64 for k in range(1, sentence_pieces.LONG + 1)]
+
+    def slow(part, key):
+        """A part's ids: before each skip, as many candidates are merged as the draw says."""
+        parts, barred = list(part), set()
+        draw = sentence_pieces._drawn(np.array([key], np.uint64))
+        gap = sum(int(draw[0]) < o for o in odds)
+        while True:
+            spots = [(p.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in p.rank and (i, a, b) not in barred]
+            if not spots:
+                return p._ids(parts)
+            _, i = min(spots)
+            if not gap:
+                barred.add((i, parts[i], parts[i + 1]))
+                draw = sentence_pieces._drawn(draw)
+                gap = sum(int(draw[0]) < o for o in odds)
+                continue
+            gap -= 1
+            barred = {(j - (j > i), a, b) for j, a, b in barred if j not in (i - 1, i + 1)}
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    words = ["international", "telephone", "banana", "abab", "kindness", "overwhelming"] * 5
+    got = p.encode(" ".join(words), 9000, 3, 11)
+    want = [x for k, w in enumerate(words) for x in slow("▁" + w, k + 3 * 0x9E3779B9 + 11)]
+    assert np.frombuffer(got, "<u4").tolist() == want
+
+
+def test_components_by_brute_force(spark):
+    from navengine.llm.components import connected_components
+
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7), (None, 3), (101, 100)]
+    want = {}
+
+    def root(i):
+        while want.setdefault(i, i) != i:
+            i = want[i]
+        return i
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            want[y] = x
+    made = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    whole = {r["node"]: r["label"] for r in connected_components(made(links)).collect()}
+    assert whole == {i: root(i) for i in list(want)}
+    later = connected_components(made(links[40:]), known=connected_components(made(links[:40])))
+    assert {r["node"]: r["label"] for r in later.collect()} == whole
+    assert connected_components(made([])).collect() == []
