@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 # Words of scheme names.
 PAYOUT_WORDS = ("idcw", "dividend", "payout", "reinvest", "bonus", "income distribution", "capital withdrawal")
-CLOSED_END = r"(?i)\b(fmp|ftp|fixed (maturity|term|horizon|tenure)|interval|capital protection|dual advantage|capital builder|infrastructure debt)\b|\bclosed?[- ]end|\(\d{2,5} days\)"
+# Terms of closed-end schemes that stand as whole words, and forms that may stand anywhere.
+CLOSED_END_TERMS = ("fmp", "ftp", "fixed maturity", "fixed term", "fixed horizon", "fixed tenure", "interval", "capital protection", "dual advantage", "capital builder", "infrastructure debt")
+CLOSED_END_FORMS = (r"closed?[\s-]?end", r"\(\s*\d{2,5}\s*days?\s*\)")
+CLOSED_END = "(?i)" + "|".join([*(rf"\b{t}\b" for t in CLOSED_END_TERMS), *CLOSED_END_FORMS])
 
 
 def plan_of(name: Column) -> Column:

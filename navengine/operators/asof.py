@@ -1,8 +1,12 @@
-"""As-of and nearest joins as equi-joins and aggregates; no join here compares all dates of two series."""
+"""As-of and nearest joins as equi-joins and aggregates.
+
+Joins within a tolerance cut time into buckets one day longer than it, so that a probe looks into
+two or three buckets of its series; no join here compares all dates of two series.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,12 +16,24 @@ def last_at_or_before(nav: DataFrame, asof, key: str = "fund_id") -> DataFrame:
     return nav.where(F.col("d") <= F.lit(asof).cast("date")).groupBy(key).agg(F.max("d").alias("last_d"), F.max_by("nav", "d").alias("last_nav"))
 
 
+def _bucket(date: Column, days: int) -> Column:
+    return F.floor(F.unix_date(date) / (days + 1)).cast("int")
+
+
+def _meet(probes: DataFrame, nav: DataFrame, date: str, before: int, after: int, key: str) -> DataFrame:
+    """Distinct probes (key, date) with the prices (__d, __n) at most so many days before and after."""
+    days = max(before, after)
+    own = _bucket(F.col(date), days)
+    buckets = F.explode(F.sequence(own - 1, own + (1 if after else 0))).alias("__b")
+    asked = probes.select(key, date).distinct().select(key, date, buckets)
+    prices = nav.select(key, F.col("d").alias("__d"), F.col("nav").alias("__n"), _bucket(F.col("d"), days).alias("__b"))
+    return asked.join(prices, [key, "__b"]).where(F.col("__d").between(F.date_sub(date, before), F.date_add(date, after)))
+
+
 def asof_bounded(probes: DataFrame, nav: DataFrame, probe_date: str, days: int, key: str = "fund_id") -> DataFrame:
     """Each probe (key, date) with the latest price on or before its date and at most ``days`` before it; probes without one stay."""
     keys = [key, probe_date]
-    n = nav.select(F.col(key).alias("__k"), F.col("d").alias("__d"), F.col("nav").alias("__n"))
-    on = (F.col(key) == F.col("__k")) & F.col("__d").between(F.date_sub(probe_date, days), F.col(probe_date))
-    found = probes.select(*keys).distinct().join(n, on).groupBy(*keys).agg(F.max(F.struct("__d", "__n")).alias("__m"))
+    found = _meet(probes, nav, probe_date, days, 0, key).groupBy(*keys).agg(F.max(F.struct("__d", "__n")).alias("__m"))
     found = found.select(*keys, F.col("__m.__d").alias("anchor_d"), F.col("__m.__n").alias("anchor_nav"))
     return probes.join(found, keys, "left")
 
@@ -36,10 +52,8 @@ def asof_sweep(rows: DataFrame, events: DataFrame, value: str, key: str = "fund_
 
 def nearest_within(probes: DataFrame, nav: DataFrame, target: str, days: int, key: str = "fund_id") -> DataFrame:
     """Each probe with the price nearest to its date, at most ``days`` away on either side; the later date wins ties. Probes without one go."""
-    n = nav.select(F.col(key).alias("__k"), F.col("d").alias("__d"), F.col("nav").alias("__n"))
-    on = (F.col(key) == F.col("__k")) & F.col("__d").between(F.date_sub(target, days), F.date_add(target, days))
     best = F.max(F.struct((-F.abs(F.datediff("__d", target))).alias("near"), "__d", "__n")).alias("__m")
     keys = [key, target]
-    found = probes.select(*keys).distinct().join(n, on).groupBy(*keys).agg(best)
+    found = _meet(probes, nav, target, days, days, key).groupBy(*keys).agg(best)
     found = found.select(*keys, F.col("__m.__d").alias("anchor_d"), F.col("__m.__n").alias("anchor_nav"))
     return probes.join(found, keys)

@@ -14,7 +14,8 @@ def classify_jumps(nav: DataFrame, threshold: float = 0.35, before: int = 5, ski
     """Every jump with its ratios to the level before and a label.
 
     The level before is the median of ``before`` observations; the settled level the
-    median of observations skip .. skip + after (both included) after the jump.
+    median of observations skip .. skip + after (both included) after the jump. Without a level before,
+    nothing is settled; with too few observations after, the settled ratio is null.
     """
     w = W.partitionBy("fund_id").orderBy("d")
     rows = nav.select("fund_id", "d", "nav").withColumns({"lr": log_return(), "rn": F.row_number().over(w)})
@@ -27,10 +28,12 @@ def classify_jumps(nav: DataFrame, threshold: float = 0.35, before: int = 5, ski
     levels = seen.groupBy("fund_id", "jump").agg(F.median(pre).alias("pre"), F.median(post).alias("post"), F.count(post).alias("n_settled_obs"))
     out = jumps.join(levels, [jumps.fund_id == levels.fund_id, jumps.rn == levels.jump]).drop(levels.fund_id)
     imm, settled = F.try_divide("nav", "pre"), F.try_divide("post", "pre")
-    out = out.withColumns({"ratio_immediate": imm, "ratio_settled": settled})
+    none = F.col("pre").isNull() | (F.col("pre") == 0)
+    few = F.col("n_settled_obs") < max(5, after // 3)
+    out = out.withColumns({"ratio_immediate": imm, "ratio_settled": F.when(~none & ~few, settled), "n_settled_obs": F.when(none, 0).otherwise(F.col("n_settled_obs"))})
     label = (
-        F.when(F.col("pre").isNull() | (F.col("pre") == 0), "NO_BASELINE")
-        .when(F.col("n_settled_obs") < max(before, after // 3), "INSUFFICIENT_FORWARD_DATA")
+        F.when(none, "NO_BASELINE")
+        .when(few, "INSUFFICIENT_FORWARD_DATA")
         .when(F.abs(F.col("ratio_settled") - F.col("ratio_immediate")) / F.greatest(F.abs("ratio_immediate"), F.lit(1e-9)) < tolerance, "REBASE")
         .when(F.abs(F.col("ratio_settled") - 1) < tolerance, "REVERT")
         .otherwise("AMBIGUOUS")

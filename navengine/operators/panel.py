@@ -33,9 +33,11 @@ def returns_panel(nav: DataFrame, windows: DataFrame, key: str = "fund_id") -> D
     Observations are those after the start; coverage is their count over the
     median of all funds' counts in the window, taken before funds without an anchor go.
     """
-    on = (F.col("d") > F.col("start_date")) & (F.col("d") <= F.col("end_date"))
     cols = ["horizon_y", "fy_start"]
-    slice_ = nav.select(key, "d", "nav").join(F.broadcast(windows), on)  # some tens of windows: years times horizons
+    # A day lies in the windows of its fiscal year: an equi-join with some tens of rows, years times horizons.
+    years = windows.withColumn("__fy", F.explode(F.sequence("fy_start", F.col("fy_start") + F.col("horizon_y") - 1)))
+    fiscal = F.year("d") - F.when(F.month("d") < 4, 1).otherwise(0)
+    slice_ = nav.select(key, "d", "nav", fiscal.alias("__fy")).join(F.broadcast(years), "__fy").where("d > start_date and d <= end_date").drop("__fy")
     w = W.partitionBy(key, *cols).orderBy("d")
     slice_ = slice_.withColumns({"lr": F.ln(F.col("nav") / F.lag("nav").over(w)), "top": F.max("nav").over(w.rowsBetween(W.unboundedPreceding, 0))})
     stats = slice_.groupBy(key, *cols, "phase", "start_date", "end_date").agg(

@@ -7,9 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def upsert_schemes(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """By amfi_code: names are replaced; other fields only by values; a plan or option never by UNKNOWN."""
-    c, b = current.alias("c"), batch.alias("b")
+def upsert_schemes(current: DataFrame, batch: DataFrame, position: str = "pos") -> DataFrame:
+    """By amfi_code: names are replaced; other fields only by values; a plan or option never by UNKNOWN.
+
+    Rows of a code in one batch count as if they came one after the other, by ``position`` if the batch has it.
+    """
+    at = F.col(position) if position in batch.columns else F.lit(0)
+    fields = [x for x in batch.columns if x not in ("amfi_code", position)]
+    says = lambda x: F.col(x).isNotNull() & ((F.col(x) != "UNKNOWN") if x in ("plan", "option") else F.lit(True))
+    last = lambda x: F.coalesce(F.max_by(x, F.when(says(x), F.struct(at, F.col(x)))), F.max(x))
+    c, b = current.alias("c"), batch.groupBy("amfi_code").agg(*(last(x).alias(x) for x in fields)).alias("b")
     both = c.join(b, F.col("c.amfi_code") == F.col("b.amfi_code"), "full")
     known = lambda x: F.when(F.col(f"b.{x}").isNull() | ((F.col(f"b.{x}") == "UNKNOWN") & (F.col(f"c.{x}") != "UNKNOWN")), F.coalesce(f"c.{x}", f"b.{x}")).otherwise(F.col(f"b.{x}"))
     out = [F.coalesce("b.amfi_code", "c.amfi_code").alias("amfi_code"), F.coalesce("b.scheme_name", "c.scheme_name").alias("scheme_name")]
@@ -20,7 +27,7 @@ def upsert_schemes(current: DataFrame, batch: DataFrame) -> DataFrame:
 
 def upsert_nav(current: DataFrame, batch: DataFrame, position: str = "pos") -> DataFrame:
     """By (code, date): the batch wins, and in the batch the last position."""
-    rows = current.withColumn("__o", F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("at"))).unionByName(batch.select(*current.columns, F.struct(F.lit(1).alias("side"), F.col(position).cast("long").alias("at")).alias("__o")))
+    rows = current.withColumn("__o", F.struct(F.lit(0).alias("side"), F.lit(None).cast(batch.schema[position].dataType).alias("at"))).unionByName(batch.select(*current.columns, F.struct(F.lit(1).alias("side"), F.col(position).alias("at")).alias("__o")))
     return rows.groupBy("amfi_code", "nav_date").agg(F.max_by("nav", "__o").alias("nav"))
 
 
@@ -55,14 +62,15 @@ def universe_as_of(scheme: DataFrame, snapshot: DataFrame, day: str) -> DataFram
     return scheme.join(snapshot.where(F.col("snap_date") == F.lit(day).cast("date")), "amfi_code", "left_semi")
 
 
-def manual_mapping(scheme: DataFrame, curated: DataFrame) -> DataFrame:
+def manual_mapping(scheme: DataFrame, curated: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
     """(amfi_code, category) for curated rows (amfi_code, candidates: patterns in order) whose code has no category.
 
     The first candidate that a categorised name matches decides; of its matches, the lowest code.
-    The curated list is written by hand and broadcast.
+    The curated list is written by hand and broadcast up to ``most_broadcast`` rows.
     """
     tries = curated.select("amfi_code", F.posexplode("candidates").alias("at", "pattern"))
     open_ = tries.join(scheme.where("category is null").select("amfi_code"), "amfi_code", "left_semi")
     donors = scheme.where("category is not null").select(F.col("amfi_code").alias("donor"), "scheme_name", F.col("category").alias("given"))
-    hits = donors.join(F.broadcast(open_), F.expr("scheme_name ilike pattern"))
+    small = open_.limit(most_broadcast + 1).count() <= most_broadcast
+    hits = donors.join(F.broadcast(open_) if small else open_, F.expr("scheme_name ilike pattern"))
     return hits.groupBy("amfi_code").agg(F.min_by("given", F.struct("at", "donor")).alias("category"))

@@ -15,12 +15,18 @@ DEATH_DAYS = 15
 
 def trailing(nav: DataFrame, asof: str, years: int) -> DataFrame:
     """Each fund with a price up to the date and one near the horizon's start: return, growth a year, and whether it is dead (over 15 days stale)."""
+    return trailing_all(nav, asof, (years,)).drop("horizon_y")
+
+
+def trailing_all(nav: DataFrame, asof: str, horizons: tuple[int, ...]) -> DataFrame:
+    """The same for several horizons (horizon_y) at once."""
     day = F.lit(asof).cast("date")
-    last = last_at_or_before(nav, asof).withColumn("target", F.date_sub(day, horizon_days(years)))
+    targets = F.explode(F.array(*(F.struct(F.lit(y).alias("horizon_y"), F.date_sub(day, horizon_days(y)).alias("target")) for y in horizons)))
+    last = last_at_or_before(nav, asof).select("*", targets.alias("__t")).select("fund_id", "last_d", "last_nav", "__t.horizon_y", "__t.target")
     both = nearest_within(last, nav, "target", NEAREST_DAYS).where("anchor_nav > 0")
     growth = F.col("last_nav") / F.col("anchor_nav")
     stale = F.datediff(day, "last_d")
-    return both.select("fund_id", "last_d", "last_nav", "anchor_d", "anchor_nav", stale.alias("stale_days"), (stale > DEATH_DAYS).alias("is_dead"), (growth - 1).alias("window_return"), cagr(growth, F.datediff("last_d", "anchor_d")).alias("cagr"))
+    return both.select("horizon_y", "fund_id", "last_d", "last_nav", "anchor_d", "anchor_nav", stale.alias("stale_days"), (stale > DEATH_DAYS).alias("is_dead"), (growth - 1).alias("window_return"), cagr(growth, F.datediff("last_d", "anchor_d")).alias("cagr"))
 
 
 def risk(nav: DataFrame, ends: DataFrame) -> DataFrame:
@@ -91,9 +97,9 @@ def portfolio_path(returns: DataFrame, weights: dict[str, float]) -> DataFrame:
 def persistence_pairs(panel: DataFrame, metric: str, least_coverage: float = 0.9) -> DataFrame:
     """A fund's metric in a window and in the next of the same phase, of windows it survived with enough coverage."""
     good = panel.where((F.col("coverage_frac") >= least_coverage) & F.col("survived") & F.col(metric).isNotNull())
-    a = good.select("fund_id", "horizon_y", "phase", F.col("fy_start").alias("fy"), F.col(metric).alias("formation"))
-    b = good.select("fund_id", "horizon_y", "phase", (F.col("fy_start") - F.col("horizon_y")).alias("fy"), F.col(metric).alias("holding"))
-    return a.join(b, ["fund_id", "horizon_y", "phase", "fy"])
+    w = W.partitionBy("fund_id", "horizon_y", "phase").orderBy("fy_start")  # windows of a phase follow each other
+    both = good.select("fund_id", "horizon_y", "phase", F.col("fy_start").alias("fy"), F.col(metric).alias("formation"), F.lead(metric).over(w).alias("holding"), F.lead("fy_start").over(w).alias("__next"))
+    return both.where(F.col("__next") == F.col("fy") + F.col("horizon_y")).drop("__next")
 
 
 def quartiles(pairs: DataFrame) -> DataFrame:
@@ -169,12 +175,10 @@ def snapshot(nav: DataFrame, funds: DataFrame, asof: str, horizons: tuple[int, .
     """
     last = last_at_or_before(nav, asof).select("fund_id", (F.datediff(F.lit(asof).cast("date"), "last_d") > DEATH_DAYS).alias("__dead"))
     base = funds.select("fund_id", "category").join(last, "fund_id", "left")
-    w = W.partitionBy("category")
-    out = None
-    for years in horizons:
-        metric = "window_return" if years == 1 else "cagr"
-        value = trailing(nav, asof, years).where("not is_dead").select("fund_id", F.col(metric).alias("value"))
-        rows = base.join(value, "fund_id", "left").withColumns({"horizon_y": F.lit(years), "cat_avg": F.avg("value").over(w), "n_peers": F.count("value").over(w), "rank": F.rank().over(w.orderBy(F.desc_nulls_last("value")))})
-        rows = rows.withColumns({"rank": F.when(F.col("value").isNotNull(), F.col("rank")), "label": F.when(F.col("value").isNull(), F.when(F.coalesce("__dead", F.lit(True)), "Died").otherwise("Too new"))})
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("fund_id", "category", "horizon_y", "value", "cat_avg", "rank", "n_peers", "label")
+    w = W.partitionBy("category", "horizon_y")
+    value = F.when(F.col("horizon_y") == 1, F.col("window_return")).otherwise(F.col("cagr"))
+    values = trailing_all(nav, asof, horizons).where("not is_dead").select("fund_id", "horizon_y", value.alias("value"))
+    every = base.withColumn("horizon_y", F.explode(F.array(*map(F.lit, horizons))))
+    rows = every.join(values, ["fund_id", "horizon_y"], "left").withColumns({"cat_avg": F.avg("value").over(w), "n_peers": F.count("value").over(w), "rank": F.rank().over(w.orderBy(F.desc_nulls_last("value")))})
+    rows = rows.withColumns({"rank": F.when(F.col("value").isNotNull(), F.col("rank")), "label": F.when(F.col("value").isNull(), F.when(F.coalesce("__dead", F.lit(True)), "Died").otherwise("Too new"))})
+    return rows.select("fund_id", "category", "horizon_y", "value", "cat_avg", "rank", "n_peers", "label")

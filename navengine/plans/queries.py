@@ -208,10 +208,10 @@ def portfolio_path(spark, sf):
 @query(f"""with {NAV_SQL}, x as (select *, ln(nav / lag(nav) over w) as lr, row_number() over w as rn from nav window w as (partition by fund_id order by d)),
 j as (select * from x where abs(lr) > {JUMP}),
 l as (select j.fund_id, j.d, j.nav, j.lr, median(n.nav) filter (n.rn < j.rn) as pre, median(n.nav) filter (n.rn >= j.rn + 15) as post, count(*) filter (n.rn >= j.rn + 15) as k from j join x n on n.fund_id = j.fund_id and n.rn between j.rn - 5 and j.rn + 40 group by all)
-select fund_id, d, round(lr, 6) + 0.0 as lr, round(nav / pre, 6) + 0.0 as ratio_immediate, round(post / pre, 6) + 0.0 as ratio_settled, k as n_settled_obs,
-case when pre is null then 'NO_BASELINE' when k < 8 then 'INSUFFICIENT_FORWARD_DATA' when abs(post / pre - nav / pre) / greatest(abs(nav / pre), 1e-9) < 0.25 then 'REBASE' when abs(post / pre - 1) < 0.25 then 'REVERT' else 'AMBIGUOUS' end as label from l""")
+select fund_id, d, round(lr, 6) + 0.0 as lr, case when pre <> 0 then round(nav / pre, 6) + 0.0 end as ratio_immediate, case when pre <> 0 and k >= 8 then round(post / pre, 6) + 0.0 end as ratio_settled, case when coalesce(pre, 0) = 0 then 0 else k end as n_settled_obs,
+case when coalesce(pre, 0) = 0 then 'NO_BASELINE' when k < 8 then 'INSUFFICIENT_FORWARD_DATA' when abs(post / pre - nav / pre) / greatest(abs(nav / pre), 1e-9) < 0.25 then 'REBASE' when abs(post / pre - 1) < 0.25 then 'REVERT' else 'AMBIGUOUS' end as label, case when pre > 0 then case when abs(nav / pre - pow(10.0, round_even(log10(nav / pre), 0))) / pow(10.0, round_even(log10(nav / pre), 0)) < 0.1 then 'round' else 'not round' end end as rebase_shape from l""")
 def jump_classification(spark, sf):
-    return jumps.classify_jumps(nav_of(spark, sf), JUMP).drop("nav", "rebase_shape")
+    return jumps.classify_jumps(nav_of(spark, sf), JUMP).drop("nav")
 
 
 @query(f"with {NAV_SQL}, e as (select fund_id, d, exp(sum(lr) over (partition by fund_id order by d)) as factor from (select *, ln(nav / lag(nav) over (partition by fund_id order by d)) as lr from nav) where abs(lr) > {JUMP}) select n.fund_id, n.d, round(ln(n.nav / coalesce(e.factor, 1)), 6) + 0.0 as log_nav from nav n asof left join e on n.fund_id = e.fund_id and n.d >= e.d")

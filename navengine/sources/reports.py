@@ -14,14 +14,14 @@ def any_date(text: Column) -> Column:
     return F.coalesce(*(F.try_to_date(text, f) for f in ("dd-MM-yyyy", "dd-MMM-yyyy", "yyyy-MM-dd")))
 
 
-def history_report(lines: DataFrame) -> DataFrame:
-    """Rows of (value) with eight fields, a numeric code, a positive price and a date."""
+def history_report(lines: DataFrame, *kept: str) -> DataFrame:
+    """Rows of (value) with eight fields, a numeric code, a positive price and a date; columns named in ``kept`` stay."""
     p = F.split("value", ";")
     f = lambda i: F.trim(F.get(p, F.lit(i)))
     rows = lines.where((F.size(p) == 8) & f(0).rlike("^[0-9]+$"))
     return rows.select(
         f(0).cast("int").alias("amfi_code"), f(1).alias("scheme_name"), with_fallback(plan_of, f(1), f(2)).alias("plan"), with_fallback(option_of, f(1), f(3)).alias("option"),
-        blank_to_null(f(4)).alias("isin_growth"), blank_to_null(f(5)).alias("isin_div"), f(6).try_cast("double").alias("nav"), any_date(f(7)).alias("nav_date"),
+        blank_to_null(f(4)).alias("isin_growth"), blank_to_null(f(5)).alias("isin_div"), f(6).try_cast("double").alias("nav"), any_date(f(7)).alias("nav_date"), *kept,
     ).where("nav > 0 and nav_date is not null")
 
 

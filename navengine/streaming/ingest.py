@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,34 @@ from ..operators.store import upsert_nav
 from ..sources.reports import history_report
 
 
+def latest(spark: SparkSession, store: str) -> int | None:
+    """The number of the last version under ``store`` that was written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/v*/_SUCCESS")) or []
+    return max((int(m[1]) for x in done if (m := re.search(r"/v(\d+)/_SUCCESS$", x.getPath().toString()))), default=None)
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame | None:
+    version = latest(spark, store)
+    return None if version is None else spark.read.parquet(f"{store}/v{version}")
+
+
 def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> None:
-    """Reads what is new in ``landing`` and writes the merged table as the next version under ``store``; replays change nothing."""
+    """Reads what is new in ``landing`` and writes the merged table as the next version under ``store``.
+
+    A batch is merged into the last whole version, whatever the checkpoint says of earlier ones, and merging a batch twice
+    changes nothing, so replays and new checkpoints lose nothing. Of a key's rows in a batch the last counts: by the
+    file's time and name, the place of the block in the file and the row in it.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = history_report(batch).select("amfi_code", "nav_date", "nav").withColumn("pos", F.monotonically_increasing_id())
-        old = spark.read.parquet(f"{store}/v{number - 1}") if number else rows.drop("pos").limit(0)
-        upsert_nav(old, rows).write.mode("overwrite").parquet(f"{store}/v{number}")
+        place = F.struct("at", "path", "block", F.monotonically_increasing_id().alias("row"))
+        rows = history_report(batch.withColumn("pos", place), "pos").select("amfi_code", "nav_date", "nav", "pos")
+        version = latest(spark, store)
+        old = rows.drop("pos").limit(0) if version is None else spark.read.parquet(f"{store}/v{version}")
+        upsert_nav(old, rows).write.mode("overwrite").parquet(f"{store}/v{0 if version is None else version + 1}")
 
-    stream = spark.readStream.text(landing).writeStream.foreachBatch(merge)
+    place = [F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    stream = spark.readStream.text(landing).select("value", *place).writeStream.foreachBatch(merge)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
