@@ -6,9 +6,13 @@ import time
 
 from pyspark.sql import SparkSession
 
+import navengine.plans  # noqa: F401  registers all queries
 from navengine.plans.queries import QUERIES
 
-HEADLINE = ["drawdown_and_vol", "asof_backward_anchor", "returns_panel", "jump_classification", "trailing_window", "rolling_summary", "persistence_pairs", "spliced_nav"]
+HEADLINE = [
+    "drawdown_and_vol", "asof_backward_anchor", "returns_panel", "jump_classification", "trailing_window", "rolling_returns",
+    "rolling_summary", "persistence_pairs", "spliced_nav", "nav_upsert",
+]
 
 
 def main() -> None:

@@ -20,12 +20,12 @@ def normalised_weights(funds: list[str], weights: list[float] | None = None) ->
     return {f: w / sum(given) for f, w in zip(funds, given, strict=True)}
 
 
-def one_pager(nav: DataFrame, funds: DataFrame, asof: str, years: int, chosen: list[str], least_obs: int = 20) -> DataFrame:
-    """Of each chosen fund: growth, rank among living peers, dead peers, volatility and drawdown over the window, and notes."""
+def one_pager(nav: DataFrame, funds: DataFrame, asof: str, years: int, chosen: list[str] | None = None, least_obs: int = 20) -> DataFrame:
+    """Of each chosen fund (all by default): growth, rank among living peers, dead peers, volatility and drawdown over the window, and notes."""
     peers = trailing.trailing(nav, asof, years).join(funds, "fund_id")
     ranks = trailing.peer_rank(peers.where("not is_dead").select("fund_id", "category", "cagr"), "cagr", "category").select("fund_id", "rank", "n_peers", "percentile")
     dead = peers.groupBy("category").agg(F.count_if("is_dead").alias("n_dead_peers"))
-    mine = peers.where(F.col("fund_id").isin(chosen)).select("fund_id", "category", "anchor_d", "last_d", "is_dead", "window_return", "cagr")
+    mine = (peers if chosen is None else peers.where(F.col("fund_id").isin(chosen))).select("fund_id", "category", "anchor_d", "last_d", "is_dead", "window_return", "cagr")
     days = nav.join(mine.select("fund_id", "anchor_d", "last_d"), "fund_id").where("d between anchor_d and last_d").withColumns({"lr": series.log_return(), "top": series.running_max()})
     risk = days.groupBy("fund_id").agg(F.count(F.lit(1)).alias("n_obs"), series.annual_vol(F.col("lr")).alias("ann_vol"), F.max(1 - F.col("nav") / F.col("top")).alias("max_drawdown"))
     note = F.concat_ws("; ", F.when(F.col("is_dead"), "dead"), F.when(F.col("n_dead_peers") > 0, F.concat("n_dead_peers", F.lit(" dead peers"))), F.when(F.col("n_obs") < least_obs, "few prices"))
@@ -69,9 +69,9 @@ def survivor_mix(panel: DataFrame, funds: DataFrame, fy: int) -> DataFrame:
     return got.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("horizon_y", "survived")))
 
 
-def trajectory(nav: DataFrame, funds: list[str], start: str, end: str) -> DataFrame:
-    """Prices and log returns of these funds between two dates; the first return looks back before ``start``."""
-    return nav.where(F.col("fund_id").isin(funds)).select("fund_id", "d", "nav", series.log_return().alias("lr")).where(F.col("d").between(start, end))
+def trajectory(nav: DataFrame, funds: list[str] | None, start: str, end: str) -> DataFrame:
+    """Prices and log returns of these funds (None: all) between two dates; the first return looks back before ``start``."""
+    return (nav if funds is None else nav.where(F.col("fund_id").isin(funds))).select("fund_id", "d", "nav", series.log_return().alias("lr")).where(F.col("d").between(start, end))
 
 
 def category_fill(scheme: DataFrame, *by: str) -> DataFrame:

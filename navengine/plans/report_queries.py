@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series
 from ..operators import reports, store, trailing
-from .queries import ASOF, FUNDS, JUMP, LR_SQL, NAV_SQL, PANEL_SQL, SQL, TRAIL_SQL, _pairs, _panel, _peers, nav_of, query, read
+from .queries import ASOF, JUMP, LR_SQL, NAV_SQL, PANEL_SQL, SQL, TRAIL_SQL, _pairs, _panel, _peers, nav_of, query, read
 from .store_queries import BOUND_SQL, SCHEME_SQL, order_prices, schemes
 
 PEER_SQL = f"{TRAIL_SQL}, pr as (select tr.*, cast(s_nationkey as bigint) as category, s_name as name from tr join supplier on tr.fund_id = cast(s_suppkey as varchar)), rk as (select *, rank() over (partition by category order by cagr desc) as rank, count(*) over (partition by category) as n_peers from pr where not is_dead), pc as (select *, case when n_peers <= 1 then 100.0::double else round(100.0::double * (n_peers - rank) / (n_peers - 1), 1) end as percentile from rk)"
@@ -21,12 +21,12 @@ def _bounded(spark, sf):
     return store.bounds(schemes(spark, sf), order_prices(spark, sf))
 
 
-@query(f"""{PEER_SQL}, dd as (select category, count(*) filter (is_dead) as k from pr group by 1), x as (select n.fund_id, n.nav, ln(n.nav / lag(n.nav) over w) as lr, max(n.nav) over (w rows unbounded preceding) as top from nav n join pr on pr.fund_id = n.fund_id and n.d between anchor_d and last_d where n.fund_id in ('1', '2') window w as (partition by n.fund_id order by n.d)),
+@query(f"""{PEER_SQL}, dd as (select category, count(*) filter (is_dead) as k from pr group by 1), x as (select n.fund_id, n.nav, ln(n.nav / lag(n.nav) over w) as lr, max(n.nav) over (w rows unbounded preceding) as top from nav n join pr on pr.fund_id = n.fund_id and n.d between anchor_d and last_d window w as (partition by n.fund_id order by n.d)),
 st as (select fund_id, count(*) as n_obs, stddev_samp(lr) * sqrt(252) as vol, max(1 - nav / top) as dd from x group by 1)
 select pr.fund_id, pr.category, pr.is_dead, round(pr.window_return, 6) + 0.0 as window_return, round(pr.cagr, 6) + 0.0 as cagr, rank, n_peers, percentile, k as n_dead_peers, n_obs, round(vol, 6) + 0.0 as ann_vol, round(dd, 6) + 0.0 as max_drawdown, concat_ws('; ', case when pr.is_dead then 'dead' end, case when k > 0 then k || ' dead peers' end, case when n_obs < 20 then 'few prices' end) as notes
 from pr left join pc using (fund_id) join dd on dd.category = pr.category join st on st.fund_id = pr.fund_id""")
 def one_pager(spark, sf):
-    return reports.one_pager(nav_of(spark, sf), _funds(spark, sf), ASOF, 3, FUNDS)
+    return reports.one_pager(nav_of(spark, sf), _funds(spark, sf), ASOF, 3)
 
 
 @query(f"{PEER_SQL}, lost as (select category, round(100.0::double * count(*) filter (is_dead) / count(*), 1) as attrition_pct from pr group by 1) select category, row_number() over (partition by category order by cagr desc, fund_id) as position, fund_id, name, round(cagr, 6) + 0.0 as cagr, percentile, attrition_pct from pc join lost using (category)")
@@ -64,9 +64,9 @@ def survivor_mix(spark, sf):
     return reports.survivor_mix(_panel(spark, sf), _funds(spark, sf), 1997)
 
 
-@query(f"{LR_SQL} select fund_id, d, round(nav, 6) + 0.0 as nav, round(lr, 6) + 0.0 as lr from r where fund_id in ('1', '2') and d between date '1997-01-01' and date '1997-06-30'")
+@query(f"{LR_SQL} select fund_id, d, round(nav, 6) + 0.0 as nav, round(lr, 6) + 0.0 as lr from r where d between date '1997-01-01' and date '1997-06-30'")
 def nav_trajectory(spark, sf):
-    return reports.trajectory(nav_of(spark, sf), FUNDS, "1997-01-01", "1997-06-30")
+    return reports.trajectory(nav_of(spark, sf), None, "1997-01-01", "1997-06-30")
 
 
 @query(f"with {SCHEME_SQL} select plan, option, count(*) as n, count(category) as n_filled, round(100.0::double * count(category) / count(*), 1) as pct_filled from scheme group by 1, 2")

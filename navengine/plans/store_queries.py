@@ -80,44 +80,60 @@ def fund_map(spark, sf):
     return identity.fund_map(schemes(spark, sf))
 
 
-CATEGORIES = ["Large Cap Fund", "Large Cap", "Other Schemes", "Other Scheme", "Debt - Liquid", "debt liquid fund", "ELSS"]
+# The same expressions in both dialects.
+RAW = "concat(case p_partkey % 3 when 0 then 'Other Schemes - ' when 1 then 'Other Scheme - ' else '' end, p_brand, case p_partkey % 2 when 0 then ' Fund' else '' end)"
 
 
-@query(f"with c as (select raw, trim(regexp_replace(regexp_replace(replace(lower(trim(raw)), 'schemes', 'scheme'), '\\bfund\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as k from (select unnest({CATEGORIES}) as raw)) select raw as raw_category, case when count(*) filter (not contains(lower(raw), 'schemes')) over w = 1 then max(raw) filter (not contains(lower(raw), 'schemes')) over w else first_value(raw) over (partition by k order by length(raw), raw rows between unbounded preceding and unbounded following) end as canonical_category from c window w as (partition by k)")
+@query(f"with c as (select raw, trim(regexp_replace(regexp_replace(replace(lower(trim(raw)), 'schemes', 'scheme'), '\\bfund\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as k from (select distinct {RAW} as raw from part)) select raw as raw_category, case when count(*) filter (not contains(lower(raw), 'schemes')) over w = 1 then max(raw) filter (not contains(lower(raw), 'schemes')) over w else first_value(raw) over (partition by k order by length(raw), raw rows between unbounded preceding and unbounded following) end as canonical_category from c window w as (partition by k)")
 def category_map(spark, sf):
-    return identity.category_map(spark.createDataFrame([(x,) for x in CATEGORIES], "category string"))
+    return identity.category_map(read(spark, sf, "part").selectExpr(f"{RAW} as category"))
+
+
+# Lines of reports made of orders: one file for each remainder of the customer, in the order of their keys.
+HISTORY = """case when o_orderkey % 10 = 0 then concat('House ', o_custkey % 7) when o_orderkey % 10 = 1 then 'x;y' else concat_ws(';', cast(o_custkey as string),
+concat('Scheme ', o_custkey, case o_custkey % 3 when 0 then ' Direct Growth' when 1 then ' Regular' else '' end), case o_custkey % 2 when 0 then 'Direct' else '' end, case o_custkey % 5 when 0 then 'IDCW' when 1 then 'Payout' else '' end,
+case o_custkey % 4 when 0 then '-' else concat('INF', o_custkey) end, '', case o_orderkey % 7 when 0 then 'N.A.' when 1 then '0' else cast(o_custkey % 50 + 0.5 as string) end, case o_orderkey % 3 when 0 then {long} when 1 then {short} else 'bad' end) end"""
+LISTING = "case o_orderkey % 10 when 0 then concat('Open(Category ', o_orderkey % 13, ')') when 5 then 'House' when 6 then 'Dangling' else concat(o_custkey, ';INF') end"
+DATES = {"long": "date_format(o_orderdate, 'dd-MMM-yyyy')", "short": "date_format(o_orderdate, 'dd-MM-yyyy')"}
+DATES_SQL = {"long": "strftime(o_orderdate, '%d-%b-%Y')", "short": "strftime(o_orderdate, '%d-%m-%Y')"}
 
 
-HISTORY = ["House One", "1;A Direct Growth;;;INF1;-;10.5;01-Jan-2020", "2;B;Direct;IDCW;;;N.A.;01-Jan-2020", "3;C;Direct;Payout;-;;7;02-01-2020", "House Two", "4;D Regular Growth;;;INF4;IND4;8;03-Jan-2020", "5;E;;;;;0;03-Jan-2020", "x;y"]
-LISTING = ["Open(Equity)", "House", "1;a", "2;b", "Open(Debt)", "2;c", "Dangling", "3;d"]
-LINES_SQL = "l as (select unnest({0}) as value, generate_subscripts({0}, 1) as pos)"
+def _lines_sql(text):
+    return f"l as (select cast(o_custkey % 7 as varchar) as file, o_orderkey as pos, {text.format(**DATES_SQL)} as value from orders)"
 
 
-def _lines(spark, lines):
-    return spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, pos int, value string")
+def _lines(spark, sf, text):
+    return read(spark, sf, "orders").selectExpr("cast(o_custkey % 7 as string) as file", "o_orderkey as pos", f"{text.format(**DATES)} as value")
 
 
-@query(f"with {LINES_SQL.format(HISTORY)}, p as (select string_split(value, ';') as f from l), g as (select f, coalesce(try_strptime(f[8], '%d-%m-%Y'), try_strptime(f[8], '%d-%b-%Y'))::date as nav_date, try_cast(f[7] as double) as nav from p where len(f) = 8) select cast(f[1] as bigint) as amfi_code, f[2] as scheme_name, case when lower(f[2] || ' ' || f[3]) like '%direct%' then 'DIRECT' when lower(f[2]) like '%regular%' then 'REGULAR' else 'UNKNOWN' end as plan, case when regexp_matches(lower(f[4]), 'idcw|payout') then 'IDCW' when lower(f[2]) like '%growth%' then 'GROWTH' else 'UNKNOWN' end as option, nullif(nullif(f[5], '-'), '') as isin_growth, nullif(nullif(f[6], '-'), '') as isin_div, round(nav, 6) + 0.0 as nav, nav_date from g where nav > 0 and nav_date is not null")
+@query(f"""with {_lines_sql(HISTORY)}, p as (select string_split(value, ';') as f from l), g as (select f, coalesce(try_strptime(f[8], '%d-%m-%Y'), try_strptime(f[8], '%d-%b-%Y'))::date as nav_date, try_cast(f[7] as double) as nav from p where len(f) = 8)
+select cast(f[1] as bigint) as amfi_code, f[2] as scheme_name, case when f[2] like '%Direct%' then 'DIRECT' when f[2] like '%Regular%' then 'REGULAR' when f[3] = 'Direct' then 'DIRECT' else 'UNKNOWN' end as plan,
+case when f[2] like '%Growth%' then 'GROWTH' when f[4] <> '' then 'IDCW' else 'UNKNOWN' end as option, nullif(nullif(f[5], '-'), '') as isin_growth, nullif(nullif(f[6], '-'), '') as isin_div, round(nav, 6) + 0.0 as nav, nav_date from g where nav > 0 and nav_date is not null""")
 def history_parse(spark, sf):
-    return reports.history_report(_lines(spark, HISTORY).select("value"))
+    return reports.history_report(_lines(spark, sf, HISTORY).select("value"))
 
 
-@query(f"with {LINES_SQL.format(LISTING)}, g as (select pos, value, last_value(case when value not like '%;%' then nullif(regexp_extract(value, '\\((.*)\\)\\s*$', 1), '') end ignore nulls) over (order by pos) as category from l) select cast(split_part(value, ';', 1) as bigint) as amfi_code, arg_max(category, pos) as category from g where value like '%;%' group by 1")
+@query(f"with {_lines_sql(LISTING)}, g as (select file, pos, value, last_value(case when value not like '%;%' then nullif(regexp_extract(value, '\\((.*)\\)\\s*$', 1), '') end ignore nulls) over (partition by file order by pos) as category from l), r as (select cast(split_part(value, ';', 1) as bigint) as amfi_code, category, pos from g where value like '%;%') select amfi_code, category from r where category is not null qualify row_number() over (partition by amfi_code order by pos desc) = 1")
 def navlist_parse(spark, sf):
-    return reports.current_list(_lines(spark, LISTING))
+    return reports.current_list(_lines(spark, sf, LISTING)).where("category is not null")
 
 
-@query(f"with {LINES_SQL.format(HISTORY)}, g as (select pos, value, last_value(case when value not like '%;%' then value end ignore nulls) over (order by pos) as house from l) select 'f' as file, cast(pos - 1 as bigint) as pos, cast(split_part(value, ';', 1) as bigint) as amfi_code, house from g where regexp_matches(value, '^[0-9]+;')")
+@query(f"with {_lines_sql(HISTORY)}, g as (select file, pos, value, last_value(case when value not like '%;%' then value end ignore nulls) over (partition by file order by pos) as house from l) select file, pos, cast(split_part(value, ';', 1) as bigint) as amfi_code, house from g where regexp_matches(value, '^[0-9]+;')")
 def house_parse(spark, sf):
-    return reports.house_of_rows(_lines(spark, HISTORY))
-
-
-PAYLOADS = ['{"meta":{"scheme_code":7,"scheme_name":"A Direct Growth","scheme_category":"Equity"},"data":[{"date":"02-01-2020","nav":"11"},{"date":"02-01-2020","nav":"12"},{"date":"01-01-2020","nav":"10"},{"date":"03-01-2020","nav":"N.A."},{"date":"04-01-2020","nav":"0"},{"date":"bad","nav":"5"}]}']
+    return reports.house_of_rows(_lines(spark, sf, HISTORY))
 
 
-@query("select cast(7 as bigint) as amfi_code, 'A Direct Growth' as scheme_name, 'Equity' as category, 'DIRECT' as plan, 'GROWTH' as option, nav_date, nav from (values (date '2020-01-01', 10.0::double), (date '2020-01-02', 11.0::double)) t(nav_date, nav)")
+# A payload for each customer: its orders as prices, some without a date or a price.
+@query("""with x as (select o_custkey, o_orderkey, cast(o_orderdate as date) as d, case o_orderkey % 6 when 0 then 'N.A.' when 1 then '0' else cast(o_custkey % 90 + o_orderkey % 4 + 0.5 as varchar) end as nav from orders where o_orderkey % 5 <> 0)
+select o_custkey as amfi_code, concat('Scheme ', o_custkey, ' Direct Growth') as scheme_name, concat('Category ', o_custkey % 4) as category, 'DIRECT' as plan, 'GROWTH' as option, d as nav_date, round(cast(nav as double), 6) + 0.0 as nav
+from x where nav not in ('N.A.', '0') qualify row_number() over (partition by o_custkey, d order by o_orderkey) = 1""")
 def json_parse(spark, sf):
-    return reports.json_payloads(spark.createDataFrame([(x,) for x in PAYLOADS], "value string"))
+    date = F.when(F.col("o_orderkey") % 5 == 0, "bad").otherwise(F.date_format("o_orderdate", "dd-MM-yyyy"))
+    price = F.expr("case o_orderkey % 6 when 0 then 'N.A.' when 1 then '0' else cast(o_custkey % 90 + o_orderkey % 4 + 0.5 as string) end")
+    data = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", date.alias("date"), price.alias("nav")))), lambda x: F.struct(x["date"].alias("date"), x["nav"].alias("nav")))
+    each = read(spark, sf, "orders").groupBy("o_custkey").agg(data.alias("data"))  # a customer's orders are few
+    meta = F.struct(F.col("o_custkey").alias("scheme_code"), F.concat(F.lit("Scheme "), "o_custkey", F.lit(" Direct Growth")).alias("scheme_name"), F.concat(F.lit("Category "), (F.col("o_custkey") % 4).cast("string")).alias("scheme_category"))
+    return reports.json_payloads(each.select(F.to_json(F.struct(meta.alias("meta"), "data")).alias("value")))
 
 
 @query(f"with {SCHEME_SQL}, {ORDERS_SQL} select (select count(*) from scheme) as n_codes, (select count(*) from scheme where status <> 'ACTIVE') as n_not_active, count(*) as n_nav, count(distinct amfi_code) as n_priced, min(nav_date) as first_date, max(nav_date) as last_date from o")
@@ -200,10 +216,12 @@ def rows_by_year(spark, sf):
     return diagnostics.rows_by_year(nav_of(spark, sf))
 
 
-@query(f"with {NAV_SQL} select count(*) as rows_before, count(distinct fund_id) as funds_before, count(*) as rows_after, count(distinct fund_id) as funds_after, true as ok from nav")
+@query(f"""with {NAV_SQL}, f as (select * from nav where (fund_id, d) not in (select fund_id, d from (select *, ln(nav / lag(nav) over (partition by fund_id order by d)) as lr from nav) where abs(lr) > {JUMP})),
+c as (select (select count(*) from nav) as rows_before, (select count(distinct fund_id) from nav) as funds_before, count(*) as rows_after, count(distinct fund_id) as funds_after from f)
+select *, rows_before = rows_after and funds_before = funds_after as ok from c""")
 def publish_gate(spark, sf):
     nav = nav_of(spark, sf)
-    return diagnostics.same_shape(nav, jumps.correct_rebases(nav, jumps.rebase_events(jumps.classify_jumps(nav, JUMP))))
+    return diagnostics.same_shape(nav, nav.join(series.splice_jumps(nav, JUMP).select("fund_id", "d"), ["fund_id", "d"], "left_anti"))
 
 
 @query(f"with {NAV_SQL} select d, round(max(nav) filter (fund_id = '1'), 4) + 0.0 as \"1\", round(max(nav) filter (fund_id = '2'), 4) + 0.0 as \"2\" from nav where fund_id in ('1', '2') group by d")

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from navengine.functions.series import horizon_days
 from navengine.operators import asof, identity, jumps, store, trailing
@@ -113,3 +114,75 @@ def test_weights_sum_to_one():
     for bad in ([1.0], [-1.0, 2.0], [0.0, 0.0]):
         with pytest.raises(ValueError):
             normalised_weights(["a", "b"], bad)
+
+
+@pytest.mark.parametrize("name,closed", [("A FMP Series 3", True), ("B (370Days)", True), ("C ( 370 days )", True), ("D (90 day)", True), ("E Closeend", True), ("F semiclosed end", True), ("G close-ended", True), ("H Quarterly Interval Plan", True), ("Intervals", False), ("I (5 days)", False), ("J open ended", False), (None, False)])
+def test_closed_end_names(spark, name, closed):
+    from navengine.functions.classify import is_closed_end
+
+    assert spark.createDataFrame([(name,)], "n string").select(is_closed_end(F.col("n"))).first()[0] is closed
+
+
+def test_jump_labels_without_a_level(spark):
+    rows = [("a", d, v) for d, v in enumerate([100.0] * 10 + [1000.0] * 4)] + [("b", 0, 0.0), ("b", 1, 5.0), ("b", 2, 50.0), ("c", 0, 1.0)]
+    got = {(r["fund_id"], r["label"]): r for r in jumps.classify_jumps(nav(spark, [r for r in rows if r[2]])).collect()}
+    r = got["a", "INSUFFICIENT_FORWARD_DATA"]
+    assert r["ratio_immediate"] == 10 and r["ratio_settled"] is None and r["n_settled_obs"] == 0 and r["rebase_shape"] == "round"
+
+
+def test_repeated_keys_in_a_batch_of_schemes(spark):
+    kind = "amfi_code int, scheme_name string, plan string, category string"
+    current = spark.createDataFrame([(1, "old", "DIRECT", None), (2, "kept", "UNKNOWN", "Debt")], kind)
+    batch = spark.createDataFrame([(1, "new", "REGULAR", "Equity", 2), (1, "first", "UNKNOWN", None, 1), (1, "last", "UNKNOWN", None, 3), (3, "added", "UNKNOWN", None, 1)], kind + ", pos int")
+    got = sorted(map(tuple, store.upsert_schemes(current, batch).select("amfi_code", "scheme_name", "plan", "category").collect()))
+    assert got == [(1, "last", "REGULAR", "Equity"), (2, "kept", "UNKNOWN", "Debt"), (3, "added", "UNKNOWN", None)]
+
+
+def test_ingest_keeps_history_and_replays(spark, tmp_path):
+    from navengine.streaming.ingest import ingest, read_store
+
+    landing, base = tmp_path / "in", str(tmp_path / "store")
+    landing.mkdir()
+    line = "{};Fund;;;;;{};{}-Jan-2020\n"
+    (landing / "a.txt").write_text("House\n" + line.format(1, 10, "01") + line.format(1, 11, "02") + line.format(1, 12, "02"))
+    ingest(spark, str(landing), base, str(tmp_path / "c1"))
+    got = lambda: sorted((r["amfi_code"], r["nav_date"].day, r["nav"]) for r in read_store(spark, base).collect())
+    assert got() == [(1, 1, 10.0), (1, 2, 12.0)]
+    (landing / "b.txt").write_text(line.format(2, 20, "01") + line.format(1, 13, "01"))
+    ingest(spark, str(landing), base, str(tmp_path / "c1"))
+    assert got() == [(1, 1, 13.0), (1, 2, 12.0), (2, 1, 20.0)]
+    ingest(spark, str(landing), base, str(tmp_path / "c2"))  # a new checkpoint reads all files again
+    assert got() == [(1, 1, 13.0), (1, 2, 12.0), (2, 1, 20.0)]
+
+
+def test_plain_files(spark, tmp_path):
+    from navengine.operators.selection import with_columns
+    from navengine.sources import tables
+
+    rows = spark.createDataFrame([(1, "a, b", None), (2, "c", 0.5)], "k int, name string, x double")
+    tables.write_csv(rows, f"{tmp_path}/csv")
+    back = tables.read_csv(spark, f"{tmp_path}/csv", "k int, name string, x double")
+    assert sorted(map(tuple, back.collect())) == [(1, "a, b", None), (2, "c", 0.5)]
+    (tmp_path / "list.txt").write_text("# funds\nINF090I01239\n\n  hdfc flexi cap \n")
+    assert [r["query"] for r in tables.line_list(spark, f"{tmp_path}/list.txt").collect()] == ["INF090I01239", "hdfc flexi cap"]
+    for _ in range(2):
+        tables.append_log(rows, f"{tmp_path}/log")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+    assert with_columns(rows, "k int, y date").dtypes[-1] == ("y", "date")
+
+
+def test_joins_within_a_tolerance_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    prices = sorted({(rng.choice("ab"), rng.randrange(-400, 400)) for _ in range(250)})
+    probes = [(rng.choice("abc"), rng.randrange(-450, 450)) for _ in range(120)]
+    n = nav(spark, [(f, d, i) for i, (f, d) in enumerate(prices)])
+    p = spark.createDataFrame([(f, DAY + dt.timedelta(d)) for f, d in set(probes)], "fund_id string, t date")
+    days = lambda x: x and (x - DAY).days
+    near = {(r["fund_id"], days(r["t"])): days(r["anchor_d"]) for r in asof.nearest_within(p, n, "t", 7).collect()}
+    back = {(r["fund_id"], days(r["t"])): days(r["anchor_d"]) for r in asof.asof_bounded(p, n, "t", 7).collect()}
+    for f, t in set(probes):
+        own = [d for g, d in prices if g == f]
+        assert near.get((f, t)) == max((d for d in own if abs(d - t) <= 7), key=lambda d: (-abs(d - t), d), default=None)
+        assert back[f, t] == max((d for d in own if t - 7 <= d <= t), default=None)
