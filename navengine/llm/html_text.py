@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into one line for each block of text. Lines of menus, forms,
-adverts and the like become empty lines, so that they press down the sums of
+Markup is stripped into one line for each block of text. Lines of elements that are menus, forms,
+headers and the like by their name become empty lines, so that they press down the sums of
 text lengths over sliding windows of lines. A region of adjacent lines is kept, with its short
 lines, if these sums surge above a threshold in it; if none surges, the densest region is. Lines in an article
-element weigh more than those outside, and all lines of one such element are one region.
+element weigh more than those outside, and lines of an element whose class, id or role speaks of adverts, comments and
+the like weigh a sixteenth; the lines of one such element are one region. The sums decide on all of them.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ _SPACE = re.compile(r"\s+")
 
 
 def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
-    """(text, numbers of the article elements around it) of each line; text that is no part of articles gives an empty line."""
+    """(text, numbers of the elements around it: articles above 0, marked ones below) of each line; text of menus and the like gives an empty line."""
     out: list[tuple[str, tuple[int, ...]]] = []
     words: list[str] = []
-    open_: list[tuple[str, bool]] = []  # elements that hide their text or are an article
-    hidden = articles = at = 0
+    open_: list[tuple[str, int | None]] = []  # 0: hides its text; None: only there to find the end of a marked one
+    hidden = articles = faint = at = 0
     around: tuple[int, ...] = ()
 
     def cut():
@@ -61,8 +62,8 @@ def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
                 cut()
             if any(n == name for n, _ in open_):
                 while open_:
-                    n, hides = open_.pop()
-                    hidden, around = hidden - hides, around if hides else around[:-1]
+                    n, kind = open_.pop()
+                    hidden, around = hidden - (kind == 0), around[:-1] if kind else around
                     if n == name:
                         break
             continue
@@ -76,20 +77,27 @@ def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
             continue
         if name in VOID or m[0].endswith("/>"):
             continue
-        if name in ("article", "main") and not any(h and n not in ("nav", "header", "head", "menu", "form") for n, h in open_):
+        marked = name not in ("html", "body") and _marked(m[3])
+        if name in ("article", "main") and not any(k == 0 and n not in ("nav", "header", "head", "menu", "form") for n, k in open_):
             # An article is in no menu: what was left open before it ends here.
-            hidden, open_ = 0, [(n, h) for n, h in open_ if not h]
-            if not _marked(m[3]):
-                open_.append((name, False))
+            hidden, open_ = 0, [x for x in open_ if x[1] != 0]
+            if not marked:
                 articles += 1
+                open_.append((name, articles))
                 around += (articles,)
                 continue
-        hides = name in SILENT or name in ASIDE or (name not in ("html", "body") and _marked(m[3]))
-        if hides or (hidden and any(n == name for n, h in open_ if h)):
-            if not hidden:
+        inline = marked and name not in BLOCK
+        if name in SILENT or name in ASIDE or inline or (hidden and any(n == name and k == 0 for n, k in open_)):
+            if not hidden and not inline:
                 out.append(("", ()))
-            open_.append((name, True))
+            open_.append((name, 0))
             hidden += 1
+        elif not hidden and marked:
+            faint -= 1
+            open_.append((name, faint))
+            around += (faint,)
+        elif not hidden and any(n == name and k is not None and k < 0 for n, k in open_):
+            open_.append((name, None))
     cut()
     return out
 
@@ -102,8 +110,8 @@ def main_blocks(page: str | None, window: int = 3, threshold: int = 86, weight:
     """The text blocks of the regions where the line-block distribution surges, or of the densest region."""
     found = lines(page or "")
     # Where an article is marked, lines inside weigh more and lines outside less.
-    outside = 1 / weight if any(around for _, around in found) else 1
-    sizes = [len(t) * (weight if around else outside) for t, around in found]
+    outside = 1 / weight if any(k > 0 for _, around in found for k in around) else 1
+    sizes = [len(t) * (1 / weight**2 if around and min(around) < 0 else weight if around else outside) for t, around in found]
     regions: list[tuple[int, ...]] = []
     run, last = 0, ()
     for t, around in found:

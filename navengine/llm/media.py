@@ -147,9 +147,11 @@ class MediaReader(DataSourceReader):
         else:
             fs, path = filesystem(self.folder)
             listed = [(f"{self.folder}/{x.base_name}", x.size) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".media")]
-        return [MediaRange(p, lo, lo + self.step) for p, size in listed for lo in range(0, size, self.step)]
+        return [MediaRange(p, lo, lo + self.step) for p, size in listed for lo in range(0, size, self.step)] or [MediaRange("", 0, 0)]  # Spark asks for one at least
 
     def read(self, part: MediaRange) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
         with reading(part.path) as f:
             size = f.size()
             f.seek(size - struct.calcsize(_FOOT))

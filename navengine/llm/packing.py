@@ -147,7 +147,7 @@ def crossover(a: Bins, b: Bins, lens: list[int], size: int, rng: random.Random)
     return best_fit(sorted(out, key=lambda i: -lens[i]), lens, size, child)
 
 
-def evolve(lens: list[int], size: int, seeds: list[Bins], rng: random.Random, people: int = 4, generations: int = 4) -> Bins:
+def evolve(lens: list[int], size: int, seeds: list[Bins], rng: random.Random, people: int = 6, generations: int = 8) -> Bins:
     """The best solution after some generations; at once if the count of bins cannot be lower."""
     least = -(-sum(lens) // size)
     order = sorted(range(len(lens)), key=lambda i: -lens[i])
