@@ -41,12 +41,18 @@ def browse(peers: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def transition_test(transitions: DataFrame) -> DataFrame:
-    """Chi-square of each horizon's table of quartiles against independence: chi2, dof, p."""
-    cells = transitions.withColumns({"r": F.sum("n").over(W.partitionBy("horizon_y", "fq")), "c": F.sum("n").over(W.partitionBy("horizon_y", "hq"))})
+    """Chi-square of each horizon's table of quartiles against independence: chi2, dof, p.
+
+    Tables of two by two are corrected for continuity: all four cells are equally far from what is expected, and come nearer by a half.
+    """
+    w = W.partitionBy("horizon_y")
+    cells = transitions.withColumns({"r": F.sum("n").over(w.partitionBy("horizon_y", "fq")), "c": F.sum("n").over(w.partitionBy("horizon_y", "hq")), "all": F.sum("n").over(w)})
     out = cells.groupBy("horizon_y").agg(
-        (F.sum("n") * (F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))) - 1)).alias("chi2"), ((F.count_distinct("fq") - 1) * (F.count_distinct("hq") - 1)).alias("dof")
-    )
-    return out.withColumn("p", pvalues.chi_square_p("chi2", "dof"))
+        (F.sum("n") * (F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))) - 1)).alias("chi2"), ((F.count_distinct("fq") - 1) * (F.count_distinct("hq") - 1)).alias("dof"),
+        F.max(F.abs(F.col("n") - F.col("r") * F.col("c") / F.col("all"))).alias("off"),
+    )
+    nearer = F.when((F.col("dof") == 1) & (F.col("off") > 0), F.pow(F.greatest(F.col("off") - 0.5, F.lit(0.0)) / F.col("off"), 2)).otherwise(1.0)
+    return out.withColumn("chi2", F.col("chi2") * nearer).drop("off").withColumn("p", pvalues.chi_square_p("chi2", "dof"))
 
 
 def rank_correlation_test(spearman: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from navengine.functions.series import horizon_days
-from navengine.operators import asof, identity, jumps, store, trailing
-from navengine.sources import reports
+from navengine.operators import asof, audit, identity, jumps, store, trailing
+from navengine.operators import reports as tables
+from navengine.sources import catalog, reports
 
 DAY = dt.date(2020, 1, 1)
 
@@ -186,3 +187,35 @@ def test_joins_within_a_tolerance_by_brute_force(spark):
         own = [d for g, d in prices if g == f]
         assert near.get((f, t)) == max((d for d in own if abs(d - t) <= 7), key=lambda d: (-abs(d - t), d), default=None)
         assert back[f, t] == max((d for d in own if t - 7 <= d <= t), default=None)
+
+
+def test_two_by_two_is_corrected(spark):
+    t = spark.createDataFrame([(1, 1, 1, 10), (1, 1, 2, 20), (1, 2, 1, 30), (1, 2, 2, 40)], "horizon_y int, fq int, hq int, n int")
+    got = tables.transition_test(t).first()
+    assert got["dof"] == 1 and abs(got["chi2"] - 100 * 150**2 / (30 * 70 * 40 * 60)) < 1e-9
+
+
+def test_roles_and_second_store(spark, tmp_path):
+    prices = nav(spark, [("a", 0, 1), ("a", 1, 2)]).withColumnsRenamed({"fund_id": "Scheme_Code", "d": "NAV_DATE"})
+    names = spark.createDataFrame([("a", "x")], "scheme_code string, scheme_name string")
+    assert catalog.role_columns(prices.columns)["code"] == "Scheme_Code" and catalog.role_columns(prices.columns)["plan"] is None
+    assert catalog.role_tables({"p": prices, "few": prices.limit(1), "s": names}) == ("p", "s")
+    assert catalog.role_tables({"p": prices}) == ("p", "p")
+    with pytest.raises(ValueError):
+        catalog.role_tables({"s": names})
+    names.write.parquet(f"{tmp_path}/s.parquet")
+    catalog.attach(spark, str(tmp_path), ["s"])
+    assert prices.join(spark.table("src_s"), "scheme_code").count() == 2
+
+
+def test_rows_around_meet_once(spark):
+    n = nav(spark, [("a", i, 1) for i in range(60)])
+    j = nav(spark, [("a", 20, 1), ("a", 25, 1)])
+    got = audit.rows_around(n, j).collect()
+    assert len(got) == len(set(got)) == 42
+
+
+def test_dead_funds_have_a_year_and_no_return(spark):
+    n = nav(spark, [("x", 0, 1), ("x", 330, 2), ("y", 0, 1), ("y", 360, 2)])
+    got = {r["fund_id"]: r for r in audit.fund_windows(n, "2020-12-31", (1,)).collect()}
+    assert got["x"]["death_year"] == 2020 and got["x"]["cagr"] is None and got["y"]["death_year"] is None and got["y"]["window_return"] == 1.0
