@@ -7,9 +7,10 @@ two or three buckets of its series; no join here compares all dates of two serie
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import of_days, running
+
 
 def last_at_or_before(nav: DataFrame, asof, key: str = "fund_id") -> DataFrame:
     """The last price of each entity up to one date (a literal date): filter and aggregate, no join."""
@@ -38,16 +39,17 @@ def asof_bounded(probes: DataFrame, nav: DataFrame, probe_date: str, days: int,
     return probes.join(found, keys, "left")
 
 
-def asof_sweep(rows: DataFrame, events: DataFrame, value: str, key: str = "fund_id") -> DataFrame:
+def asof_sweep(rows: DataFrame, events: DataFrame, value: str, key: str = "fund_id", days: int = 1024) -> DataFrame:
     """Each row with ``value`` of the last event of its key on or before its date: one sort of both, carried forward.
 
-    Events on a row's own date come first. The window is partitioned by key, so a series is the unit of work.
+    Events on a row's own date come first. Series are cut into segments of ``days`` days, which hand their last event on,
+    so that no task holds a whole series.
     """
-    e = events.select(key, "d", F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    r = rows.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast(events.schema[value].dataType)})
+    e = events.select(key, "d", F.lit(0).alias("__event"), F.col(value).alias("__value"))
+    r = rows.drop(value).withColumns({"__event": F.lit(1), "__value": F.lit(None).cast(events.schema[value].dataType)})
     both = r.unionByName(e, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy("d", "__side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__value")
+    out = running(both, F.col("__value"), value, "last", [key], ["d", "__event"], of_days(days=days))
+    return out.where("__event = 1").drop("__event", "__value")
 
 
 def nearest_within(probes: DataFrame, nav: DataFrame, target: str, days: int, key: str = "fund_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.classify import has_words, is_closed_end
+from . import ranks
 
 
 def latest_names(fund_map: DataFrame) -> DataFrame:
@@ -117,10 +118,4 @@ def pooled_winners(pairs: DataFrame, least: int = 10) -> DataFrame:
 
 def pooled_spearman(pairs: DataFrame) -> DataFrame:
     """Rank correlation over all years of a horizon, ties at their mean rank."""
-    def ranks(value: str) -> DataFrame:
-        counts = pairs.groupBy("horizon_y", value).agg(F.count(F.lit(1)).alias("k"))  # a row for each value
-        below = F.sum("k").over(W.partitionBy("horizon_y").orderBy(value)) - F.col("k")
-        return counts.select("horizon_y", value, (below + (F.col("k") + 1) / 2).alias(f"rank_{value}"))
-
-    r = pairs.join(ranks("formation"), ["horizon_y", "formation"]).join(ranks("holding"), ["horizon_y", "holding"])
-    return r.groupBy("horizon_y").agg(F.count(F.lit(1)).alias("n"), F.corr("rank_formation", "rank_holding").alias("rho"))
+    return ranks.correlation(pairs, "formation", "holding", ["horizon_y"])

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.series import DAYS_PER_YEAR, annual_vol, cagr, horizon_days, sharpe
+from ..sources.shared import written
+from . import ranks
 from .asof import last_at_or_before, nearest_within
 
 NEAREST_DAYS = 45
@@ -104,15 +106,14 @@ def persistence_pairs(panel: DataFrame, metric: str, least_coverage: float = 0.9
 
 def quartiles(pairs: DataFrame) -> DataFrame:
     """Quartile of either metric in its year by interpolated edges; years whose edges coincide are left out."""
-    w = W.partitionBy("horizon_y", "fy")
-    edges = lambda c: F.percentile(c, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).over(w)
-    out = pairs.withColumns({"fe": edges("formation"), "he": edges("holding")})
-    for value, e, name in (("formation", "fe", "fq"), ("holding", "he", "hq")):
+    out, edges = written(pairs, "pairs"), {f"__e{i}": i / 4 for i in range(5)}
+    for value, name in (("formation", "fq"), ("holding", "hq")):
+        out = ranks.with_quantiles(out, value, ["horizon_y", "fy"], edges)
         q = F.lit(4)
         for i in (3, 2, 1):
-            q = F.when(F.col(value) <= F.col(e)[i], i).otherwise(q)
-        out = out.withColumn(name, F.when(F.size(F.array_distinct(e)) == 5, q))
-    return out.where("fq is not null and hq is not null").drop("fe", "he")
+            q = F.when(F.col(value) <= F.col(f"__e{i}"), i).otherwise(q)
+        out = out.withColumn(name, F.when(F.size(F.array_distinct(F.array(*edges))) == 5, q)).drop(*edges)
+    return out.where("fq is not null and hq is not null")
 
 
 def transitions(pairs: DataFrame) -> DataFrame:
@@ -123,19 +124,16 @@ def transitions(pairs: DataFrame) -> DataFrame:
 
 def repeat_winners(pairs: DataFrame, least: int = 10) -> DataFrame:
     """In each year the share of winners (at or above the median) that win again, and its Z value."""
-    w = W.partitionBy("horizon_y", "fy")
-    p = pairs.withColumns({"won": F.col("formation") >= F.median("formation").over(w), "again": F.col("holding") >= F.median("holding").over(w)}).where("won")
-    out = p.groupBy("horizon_y", "fy").agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("repeats")).where(F.col("n") >= least)
+    by, pairs = ["horizon_y", "fy"], written(pairs, "pairs")
+    p = ranks.with_quantiles(ranks.with_quantiles(pairs, "formation", by, {"__mf": 0.5}), "holding", by, {"__mh": 0.5}).where("formation >= __mf")
+    out = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("holding") >= F.col("__mh")).alias("repeats")).where(F.col("n") >= least)
     rate = F.col("repeats") / F.col("n")
     return out.withColumns({"rate": rate, "z": (rate - 0.5) / F.sqrt(0.25 / F.col("n"))})
 
 
 def spearman(pairs: DataFrame, least: int = 10) -> DataFrame:
     """Rank correlation in each year, ties at their mean rank."""
-    w = W.partitionBy("horizon_y", "fy")
-    mean_rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("horizon_y", "fy", c)) - 1) / 2
-    r = pairs.withColumns({"ra": mean_rank("formation"), "rb": mean_rank("holding")})
-    return r.groupBy("horizon_y", "fy").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho")).where(F.col("n") >= least)
+    return ranks.correlation(pairs, "formation", "holding", ["horizon_y", "fy"]).where(F.col("n") >= least)
 
 
 def portfolio_summary(returns: DataFrame, weights: dict[str, float], least: int = 20) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import blank_to_null, option_of, plan_of, with_fallback
+from ..operators.scan import running
 
 
 def any_date(text: Column) -> Column:
@@ -25,13 +25,25 @@ def history_report(lines: DataFrame, *kept: str) -> DataFrame:
     ).where("nav > 0 and nav_date is not null")
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, pos, value): the lines of text files. A split is the part of a file that a task reads; pos orders the lines of a split."""
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")
+    return spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("pos"), "value")
+
+
+def _under_header(lines: DataFrame, head: Column, out: str, rows: int = 100_000) -> DataFrame:
+    """``lines`` with the last header up to each. Splits (else segments of so many positions) hand their last header on; no task holds a file."""
+    segment = F.col("split") if "split" in lines.columns else F.floor(F.col("pos") / rows)
+    return running(lines, head, out, "last", ["file"], ["pos"], segment)
+
+
 def current_list(lines: DataFrame) -> DataFrame:
     """(amfi_code, category): of (file, pos, value), the category of the section header before each row; a code's last row wins."""
     head = F.when(~F.col("value").contains(";"), F.nullif(F.regexp_extract("value", r"\((.*)\)\s*$", 1), F.lit("")))
-    w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     code = F.trim(F.get(F.split("value", ";"), F.lit(0)))
-    rows = lines.withColumn("category", F.last(head, ignorenulls=True).over(w)).where(F.col("value").contains(";") & code.rlike("^[0-9]+$") & F.col("category").isNotNull())
-    return rows.groupBy(code.cast("int").alias("amfi_code")).agg(F.max_by("category", F.struct("file", "pos")).alias("category"))
+    rows = _under_header(lines, head, "category").where(F.col("value").contains(";") & code.rlike("^[0-9]+$") & F.col("category").isNotNull())
+    place = [c for c in ("file", "split", "pos") if c in lines.columns]
+    return rows.groupBy(code.cast("int").alias("amfi_code")).agg(F.max_by("category", F.struct(*place)).alias("category"))
 
 
 PAYLOAD = "meta struct<fund_house:string,scheme_type:string,scheme_category:string,scheme_code:string,scheme_name:string,isin_growth:string,isin_div_reinvestment:string>, data array<struct<date:string,nav:string>>"
@@ -49,8 +61,9 @@ def json_payloads(rows: DataFrame) -> DataFrame:
 
 
 def house_of_rows(lines: DataFrame) -> DataFrame:
-    """(file, pos, amfi_code, house): of (file, pos, value), the last line without fields before each row of prices."""
-    head = F.when(~F.col("value").contains(";") & (F.trim("value") != ""), F.trim("value"))
-    w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    """(file, pos, amfi_code, house): of (file, pos, value), the last line without fields before each row of prices; a split, if there is one, stays."""
+    text = F.trim("value")
+    head = F.when(~F.col("value").contains(";") & (text != "") & ~F.lower(text).startswith("scheme code"), text)
     code = F.trim(F.get(F.split("value", ";"), F.lit(0)))
-    return lines.withColumn("house", F.last(head, ignorenulls=True).over(w)).where(F.col("value").contains(";") & code.rlike("^[0-9]+$")).select("file", "pos", code.cast("int").alias("amfi_code"), "house")
+    place = [c for c in ("file", "split", "pos") if c in lines.columns]
+    return _under_header(lines, head, "house").where(F.col("value").contains(";") & code.rlike("^[0-9]+$")).select(*place, code.cast("int").alias("amfi_code"), "house")

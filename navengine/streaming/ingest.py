@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.store import upsert_nav
 from ..sources.reports import history_report
+from ..sources.windows import ReportWindows
+from .walk import merge
 
 
 def latest(spark: SparkSession, store: str) -> int | None:
@@ -42,3 +44,26 @@ def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> No
     place = [F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
     stream = spark.readStream.text(landing).select("value", *place).writeStream.foreachBatch(merge)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def walk(spark: SparkSession, landing: str, store: str, checkpoint: str, start: str, windows: int = 4) -> None:
+    """Merges the landed windows that follow each other from ``start`` on into the store by month, up to ``windows`` a batch.
+
+    After a killed run the stream goes on from its checkpoint: the batch that was under way is read again with the same windows and, being
+    logged under its window's days, is merged once. Windows that land later than one after them wait for it; a row that comes in a later
+    window replaces the price of its key.
+    """
+    spark.dataSource.register(ReportWindows)
+
+    def take(batch: DataFrame, number: int) -> None:
+        rows = history_report(batch.withColumn("place", F.struct("last_day", "pos")), "first_day", "last_day", "place").withColumnRenamed("place", "pos")
+        days = batch.agg(F.min("first_day").alias("first"), F.max("last_day").alias("last")).first()
+        if days["first"] is not None:
+            merge(spark, store, rows, f"{days['first']}..{days['last']}", days["first"], days["last"])
+
+    stream = spark.readStream.format("report_windows").option("start", start).option("windows", windows).load(landing)
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
