@@ -27,15 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/navengine-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+def materialize(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again; by so many tasks at most, where its size is known.
 
     This cuts lineage in a way that survives lost executors: whoever needs the
     rows reads files that every node sees.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     hashed = materialize(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {id_type}, fp bigint"), "fingerprints")
     fps = materialize(hashed.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
-    of = connected_components(_ties(fps.select("fp"), fps.count(), radius, bucket_rows))
+    of = connected_components(_ties(fps.select("fp"), fps.count(), radius, bucket_rows), task_rows=1_000_000)
     linked = of.join(fps, F.col("node") == F.col("fp"))
     roots = linked.groupBy("label").agg(F.min("low").alias("component_id"))
     linked = linked.join(roots, "label").select("fp", "component_id")
