@@ -1,11 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into one line for each block of text. Lines of elements that are menus, forms,
-headers and the like by their name become empty lines, so that they press down the sums of
-text lengths over sliding windows of lines. A region of adjacent lines is kept, with its short
-lines, if these sums surge above a threshold in it; if none surges, the densest region is. Lines in an article
-element weigh more than those outside, and lines of an element whose class, id or role speaks of adverts, comments and
-the like weigh a sixteenth; the lines of one such element are one region. The sums decide on all of them.
+Markup is stripped into one line for each block of text. What the markup itself calls a menu, header, footer, form, advert, comment
+and the like leaves empty lines, and so do the edges of articles. The rest is decided by the lengths of lines, summed over
+sliding windows: a surge is a window whose sum is above a threshold, and text is kept from where it begins to where the sums dive. They dive where a
+window is empty, or where a whole window of lines holds hardly any text and no end of a sentence, as in lists of links.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,28 +23,43 @@ from .common import table
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "button", "canvas", "audio", "video", "math"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 BLOCK = {"address", "article", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *ASIDE}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 # Words in class, id and role that mark what is no part of an article.
 _OTHER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])", re.I)
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ENDS = ".!?\u2026:;\"'\u00bb\u201d\u3002\uff01\uff1f"
 _SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
-    """(text, numbers of the elements around it: articles above 0, marked ones below) of each line; text of menus and the like gives an empty line."""
-    out: list[tuple[str, tuple[int, ...]]] = []
+class Line(NamedTuple):
+    """A block's text; empty where something was left out."""
+
+    text: str
+    heading: bool = False
+
+
+EMPTY = Line("")
+
+
+def lines(page: str, window: int = 3) -> list[Line]:
+    """The lines of a page. What is left out gives an empty line inside an article and a whole empty window elsewhere, as do an article's edges."""
+    out: list[Line] = []
     words: list[str] = []
-    open_: list[tuple[str, int | None]] = []  # 0: hides its text; None: only there to find the end of a marked one
-    hidden = articles = faint = at = 0
-    around: tuple[int, ...] = ()
+    open_: list[tuple[str, str | None]] = []  # (name, "hidden", "article" or None)
+    hidden = articles = at = 0
+    heading = False
 
     def cut():
         text = _SPACE.sub(" ", html_lib.unescape("".join(words))).strip()
         words.clear()
         if text:
-            out.append((text, around))
+            out.append(Line(text, heading))
+
+    def gap(size: int):
+        out.extend([EMPTY] * size)
 
     while at < len(page):
         m = _MARK.search(page, at)
@@ -60,15 +74,20 @@ def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
         if m[1]:  # an end
             if name in BLOCK:
                 cut()
+                heading = heading and name not in HEADINGS
             if any(n == name for n, _ in open_):
                 while open_:
                     n, kind = open_.pop()
-                    hidden, around = hidden - (kind == 0), around[:-1] if kind else around
+                    hidden -= kind == "hidden"
+                    if kind == "article":
+                        articles -= 1
+                        gap(window)
                     if n == name:
                         break
             continue
         if name in BLOCK:
             cut()
+            heading = name in HEADINGS
         elif name == "br":
             words.append(" ")
         if name in RAW and not m[0].endswith("/>"):
@@ -77,27 +96,20 @@ def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
             continue
         if name in VOID or m[0].endswith("/>"):
             continue
-        marked = name not in ("html", "body") and _marked(m[3])
-        if name in ("article", "main") and not any(k == 0 and n not in ("nav", "header", "head", "menu", "form") for n, k in open_):
+        marked = name in BLOCK and name not in ("html", "body") and _marked(m[3])
+        if name in ("article", "main") and not marked and not any(k == "hidden" and n not in ("nav", "header", "head", "menu", "form") for n, k in open_):
             # An article is in no menu: what was left open before it ends here.
-            hidden, open_ = 0, [x for x in open_ if x[1] != 0]
-            if not marked:
-                articles += 1
-                open_.append((name, articles))
-                around += (articles,)
-                continue
-        inline = marked and name not in BLOCK
-        if name in SILENT or name in ASIDE or inline or (hidden and any(n == name and k == 0 for n, k in open_)):
-            if not hidden and not inline:
-                out.append(("", ()))
-            open_.append((name, 0))
+            hidden, open_ = 0, [x for x in open_ if x[1] != "hidden"]
+            gap(1 if articles else window)
+            articles += 1
+            open_.append((name, "article"))
+        elif name in SILENT or name in ASIDE or marked:
+            if not hidden:
+                gap(1 if articles else window)
+            open_.append((name, "hidden"))
             hidden += 1
-        elif not hidden and marked:
-            faint -= 1
-            open_.append((name, faint))
-            around += (faint,)
-        elif not hidden and any(n == name and k is not None and k < 0 for n, k in open_):
-            open_.append((name, None))
+        elif any(n == name and k == "hidden" for n, k in open_):
+            open_.append((name, None))  # only there to find the end of the hidden one
     cut()
     return out
 
@@ -106,29 +118,36 @@ def _marked(attributes: str) -> bool:
     return bool(attributes) and any(_OTHER.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
 
 
-def main_blocks(page: str | None, window: int = 3, threshold: int = 86, weight: int = 4) -> list[str]:
-    """The text blocks of the regions where the line-block distribution surges, or of the densest region."""
-    found = lines(page or "")
-    # Where an article is marked, lines inside weigh more and lines outside less.
-    outside = 1 / weight if any(k > 0 for _, around in found for k in around) else 1
-    sizes = [len(t) * (1 / weight**2 if around and min(around) < 0 else weight if around else outside) for t, around in found]
-    regions: list[tuple[int, ...]] = []
-    run, last = 0, ()
-    for t, around in found:
-        run += not t or around != last
-        last = around
-        regions.append(around or (-run,))
-    total: dict[tuple[int, ...], float] = {}
-    keep = set()
-    for i, (_, around) in enumerate(found):
-        if sizes[i]:
-            n = len(around)
-            near = range(i, min(i + window, len(found)))
-            if sum(sizes[j] for j in near if (found[j][1][:n] == around if n else not found[j][1])) > threshold:  # surge
-                keep.add(regions[i])
-            total[regions[i]] = total.get(regions[i], 0) + sizes[i]
-    keep = keep or {max(total, key=total.__getitem__, default=())}
-    return [t for (t, _), r in zip(found, regions, strict=True) if t and r in keep]
+def low_lines(found: list[Line], window: int = 3, dive: int = 24) -> set[int]:
+    """Lines in a window that together have fewer than ``dive`` code points, none of them with the end of a sentence.
+
+    No window reaches over an empty line, or into a heading from before it.
+    """
+    low: set[int] = set()
+    since = 0  # how many lines since the last break
+    for i, line in enumerate(found):
+        since = 0 if not line.text or line.text[-1] in ENDS else 1 if line.heading else since + 1
+        near = range(i - window + 1, i + 1)
+        if since >= window and sum(len(found[j].text) for j in near) < dive:
+            low.update(near)
+    return low
+
+
+def main_blocks(page: str | None, window: int = 3, surge: int = 86, dive: int = 24) -> list[str]:
+    """The text blocks between surges and dives; where nothing surges, those of the region with most text."""
+    found = lines(page or "", window)
+    sizes = [len(x.text) for x in found]
+    sums = [sum(sizes[i : i + window]) for i in range(len(found))]
+    low = low_lines(found, window, dive)
+    regions: list[list[int]] = [[]]
+    for i, total in enumerate(sums):
+        if (not total or i in low) and regions[-1]:
+            regions.append([])
+        if sizes[i] and i not in low:
+            regions[-1].append(i)
+    kept = [r for r in regions if any(sum(sizes[j] for j in r if i <= j < i + window) > surge for i in r)]
+    kept = kept or [max(regions, key=lambda r: sum(sizes[i] for i in r))]
+    return [found[i].text for r in kept for i in r]
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
