@@ -90,19 +90,22 @@ def _templates(docs: DataFrame, lines: DataFrame, depth: int, least_tokens: int,
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least_tokens: int = 3, least_docs: int = 3, similarity: float = 0.6, batch: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least_tokens: int = 1, least_docs: int = 2, similarity: float = 0.6, batch: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from the texts of all documents but the first, plus n_lines and n_dropped.
 
     A template recurs if lines of it stand in at least ``least_docs`` documents; the first
     is the one with the smallest id, and keeps its lines. Lines of fewer than ``least_tokens`` tokens and blank
     lines always stay. Rows with the same id count as one document, and so do
-    rows with a null id. A null text stays null, and an empty one empty, with n_dropped 0. Texts are split whole at line feeds and
+    rows with a null id, which comes after all others. A null text stays null, and an empty one empty, with n_dropped 0. Texts are split whole at line feeds and
     joined again. All columns stay (a former n_lines or n_dropped is replaced); an empty table stays empty.
     """
     doc, text = F.col(id_col), F.col(text_col).cast("string")
     base = docs.select(doc.alias("doc"), text.alias("text"))
-    places = materialize(_places(base, depth, least_tokens), "places")  # read three times
-    lines = materialize(places.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")), "lines")
+    places = _places(base, depth, least_tokens)
+    if not base.groupBy("doc").count().where("count > 1").isEmpty():
+        places = places.distinct()  # a line of several rows of a document counts once
+    places = materialize(places, "places")  # read three times
+    lines = materialize(places.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")), "lines")
     merged = materialize(_templates(base, lines, depth, least_tokens, least_docs, similarity, batch, broadcast_rows), "templates")
     # Documents of a template of several lines are counted themselves; of a single line they are known.
     several = merged.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf", "template")
@@ -110,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = places.join(_known(joined, broadcast_rows), ["leaf", "line"]).select("leaf", "template", "doc").distinct()
     counted = counted.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where(F.col("n") >= least_docs)
     of_several = joined.join(counted, ["leaf", "template"]).select("leaf", "line", "first")
-    single = lines.where((F.col("n") >= least_docs) & ~F.col("first").eqNullSafe(F.col("last"))).join(joined.select("leaf", "line"), ["leaf", "line"], "left_anti")
+    single = lines.where((F.col("n") >= least_docs) & (F.col("n") > 1)).join(joined.select("leaf", "line"), ["leaf", "line"], "left_anti")
     recurring = materialize(of_several.unionByName(single.select("leaf", "line", "first")), "recurring")
     drops = places.join(_known(recurring, broadcast_rows), ["leaf", "line"]).where(~F.col("doc").eqNullSafe(F.col("first")))
     drops = materialize(drops.groupBy("doc").agg(F.collect_set("line").alias("__nav_drop")).withColumnRenamed("doc", "__nav_doc"), "drops")
@@ -126,4 +129,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_tokens=1, least_docs=2)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
