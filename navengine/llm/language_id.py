@@ -52,11 +52,13 @@ class LanguageModel:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1500, alpha: float = 0.2) -> LanguageModel:
     """Fit on about ``rows_per_language`` rows of each language.
 
-    The model keeps all words and n-grams of the sample, so the sample bounds what is collected and broadcast.
+    The model keeps all words and n-grams of the sample, so the sample bounds what is collected and broadcast. A language's prior is
+    its share of all labelled rows, however many are sampled.
     Rows with a null text or language are left out; without rows the model knows no language.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sample = sample_per_class(rows, "lang", "id", rows_per_language)
+    of_all = {r["lang"]: r["count"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # a row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,7 +95,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         k[i, place[r["lang"]]] = r["k"]
         kind[i] = r["n"]
     logs = np.log((k + alpha) / (totals[kind] + alpha * max(1, len(index)))) if langs else np.zeros((0, 0))
-    size = (totals[0] + 1) / (totals[0] + 1).sum() if langs else np.zeros(0)
+    size = np.array([of_all[x] for x in langs], float)
+    size = size / size.sum()
     return LanguageModel(langs, {w: index["w", w] for w in known}, {g: index["g", g] for g in grams}, logs, np.log(size))
 
 

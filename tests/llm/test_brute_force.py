@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import xxhash
 
-from navengine.llm import html_text, line_dedup, media, packing, quality
+from navengine.llm import line_dedup, media, packing, quality
 from navengine.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.01"
@@ -101,42 +101,6 @@ def test_crossover_and_migration_save_bins():
     assert evolved < plain and met < alone
 
 
-def test_html_windows():
-    """Sums over windows, surges and regions by their definition, over all pages, with and without article marks."""
-
-    def plain(page, window=3, threshold=86):
-        found = html_text.lines(page)
-        article = any(k > 0 for _, a in found for k in a)
-        size = [len(t) * (1 / 16 if any(k < 0 for k in a) else 4 if a else 0.25 if article else 1) for t, a in found]
-        regions, at = [], []
-        for i, (t, a) in enumerate(found):
-            if t:
-                joined = i and found[i - 1][0] and found[i - 1][1] == a
-                key = a or (at[-1] if joined else ("run", i))
-            else:
-                key = None
-            at.append(key)
-            if t and key not in regions:
-                regions.append(key)
-        surge = set()
-        for i, (t, a) in enumerate(found):
-            inside = [j for j in range(i, i + window) if j < len(found) and (found[j][1][: len(a)] == a if a else not found[j][1])]
-            if size[i] and sum(size[j] for j in inside) > threshold:
-                surge.add(at[i])
-        if not surge and regions:
-            surge = {max(regions, key=lambda r: sum(s for s, k in zip(size, at, strict=True) if k == r))}
-        return [t for (t, _), k in zip(found, at, strict=True) if t and k in surge]
-
-    pages = pq.read_table(f"{SF}/pages.parquet", columns=["html"])["html"].to_pylist()
-    bare = [re.sub(r"</?(article|main)\b[^>]*>", "<div>", p or "") for p in pages]
-    decided = [0, 0]
-    for k, p in enumerate(pages + bare):
-        got = html_text.main_blocks(p)
-        assert got == plain(p or "")
-        decided[k >= len(pages)] += got != [t for t, _ in html_text.lines(p or "") if t]
-    assert min(decided) > 100
-
-
 def test_support_vectors_close_the_duality_gap():
     rng = np.random.default_rng(2)
     dim, n = 30, 80
@@ -178,3 +142,29 @@ def test_media_values_and_damaged_members(spark):
     assert media.media_features(media.read_media(spark, folder, manifest, onError="null")).count() == 4
     empty = shared_dir(spark)
     assert media.read_media(spark, empty, media.write_media(spark.createDataFrame([], KIND), empty)).collect() == []
+
+
+def test_lines_count_documents_not_rows(spark):
+    line = "a line that stands in several rows of one document"
+    kind = "doc_id bigint, text string, n_lines int"
+
+    def left(rows, **how):
+        return sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame([(i, t, 0) for i, t in rows], kind), **how).collect())
+
+    assert left([(1, line), (1, line), (2, line)], least_docs=3) == [("1", line), ("1", line), ("2", line)]
+    assert left([(1, line), (1, line), (2, line)]) == [("1", line), ("1", line), ("2", "")]
+    assert left([(None, line), (5, line)]) == [("5", line), ("None", "")]  # null comes last
+    assert left([(None, line), (None, line)]) == [("None", line)] * 2  # one document
+    long = "\n".join(f"line {w} of a very long text" for w in ("x" * (1 + i % 400) for i in range(20_000)))
+    assert left([(1, long), (2, "other")]) == [("1", long), ("2", "other")]
+
+
+def test_prior_counts_all_rows(spark):
+    from navengine.llm import language_id
+
+    rows = [(i, f"alpha beta {i}", "a") for i in range(300)] + [(1000 + i, f"gamma delta {i}", "b") for i in range(100)] + [(None, "gamma", "b"), (9, None, "a"), (8, "no language", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df, rows_per_language=20)
+    assert np.allclose(np.exp(model.prior), np.array([301, 101]) / 402)
+    got = language_id.identify(spark.createDataFrame([(1, "zzz", 0.5), (2, "", 0.5), (None, None, 0.5), (3, "gamma " * 300_000, 0.5)], "doc_id bigint, text string, score double"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "a", 2: "und", None: "und", 3: "b"}

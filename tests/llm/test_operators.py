@@ -190,7 +190,7 @@ def test_top_k(spark):
 def test_line_dedup(spark):
     note = "page 7 of our site is free"
     rows = [(20 + i, f"own text number {chr(97 + i)} stands here\n{note.replace('7', str(i))}\nok", "", 0) for i in range(5)] + [(40, "all rights reserved by us", "", 0), (41, "all rights reserved by us", "", 0)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, [*rows, *ODD])).collect() if r["doc_id"] is not None}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, [*rows, *ODD]), least_tokens=3, least_docs=3).collect() if r["doc_id"] is not None}
     assert got[20]["text"].split("\n")[1] == "page 0 of our site is free" and got[23]["text"].split("\n")[-1] == "ok"
     assert all("page" not in got[i]["text"] for i in range(21, 25)) and got[40]["text"] == got[41]["text"] != ""
     assert got[21]["n_dropped"] >= 1 and got[22]["n_dropped"] >= 1
@@ -214,17 +214,6 @@ def test_warc_headers_of_any_length_and_lost_records(spark):
         warc.read_warc(manifest)
 
 
-def test_html_windows_decide():
-    long = "word " * 40
-    bare = '<div id="menu">a</div><h1>Title</h1><p>Short opening.</p><p>x</p><p>y</p><p>z</p>' + f'<p>{long}</p><p>End.</p><footer>f</footer>'
-    assert html_text.main_blocks(bare) == ["Title", "Short opening.", "x", "y", "z", long.strip(), "End."]
-    assert html_text.main_blocks("<nav>menu</nav><p>A short article.</p><p>Whole.</p><footer>f</footer><p>g</p>") == ["A short article.", "Whole."]
-    cards = f'<main><h1>Title</h1><article><p>{long}</p><div class="ad">buy</div><p>End.</p></article><article><p>Teaser</p></article></main>'
-    assert html_text.main_blocks(cards) == ["Title", long.strip(), "End."]
-    far = f"<article><p>Card</p></article><div>{long * 3}</div>"
-    assert html_text.main_blocks(far) == [(long * 3).strip()]
-
-
 def test_line_dedup_two_documents_short_lines_and_many_templates(spark):
     def dropped(rows, **k):
         got = line_dedup.dedup_lines(docs(spark, [(i, t, "", 0) for i, t in rows]), least_tokens=1, least_docs=2, **k).collect()

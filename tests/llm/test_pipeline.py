@@ -29,3 +29,34 @@ def test_stages(spark):
     kept = {r["doc_id"] for r in docs.collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r["doc_id"] for r in packed} == kept and 0.5 * whole < len(kept) < whole
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+
+
+def test_rows_are_removed_not_ids(spark):
+    a, other, third = (" ".join(f"{w}{i}" for i in range(30)) for w in ("a", "other", "third"))
+    rows = [(1, a), (1, a), (2, a), (2, other), (3, third), (None, third), (None, "x y z"), (None, None), (4, None), (4, None), (5, ""), (6, a.upper())]
+    got = corpus_pipeline.stage_near_duplicates(spark, rows_of(spark, rows), SF).select("doc_id", "text").collect()
+    want = [(1, a), (2, other), (3, third), (None, "x y z"), (None, None), (4, None), (4, None), (5, "")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_stages_with_odd_rows(spark):
+    """Empty tables, null and repeated ids and a text of megabytes pass through every stage."""
+    long = " ".join(f"word{i % 5003} text{i}" for i in range(150_000))
+    docs = table(spark, SF, "documents")
+    odd = docs.limit(60).unionByName(rows_of(spark, [(None, None), (None, "The text."), (1, ""), (1, None), (7_000_000, long), (7_000_000, long)]))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.collect() == []
+        out = materialize(stage(spark, odd, SF), name)
+        assert name == "best_fit_packing" or out.columns == docs.columns
+        if name in ("line_dedup", "best_fit_packing"):
+            assert out.where("doc_id is null").count() >= 2
+        if name == "ngram_jaccard_join":
+            assert out.where("doc_id = 7000000").count() == 1
