@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Words of scheme names.
 PAYOUT_WORDS = ("idcw", "dividend", "payout", "reinvest", "bonus", "income distribution", "capital withdrawal")
+# Words of names that speak of a payout, where there is no column for it.
+PAYOUT_NAMES = ("idcw", "dividend", "income distribution")
 # Terms of closed-end schemes that stand as whole words, and forms that may stand anywhere.
 CLOSED_END_TERMS = ("fmp", "ftp", "fixed maturity", "fixed term", "fixed horizon", "fixed tenure", "interval", "capital protection", "dual advantage", "capital builder", "infrastructure debt")
 CLOSED_END_FORMS = (r"closed?[\s-]?end", r"\(\s*\d{2,5}\s*days?\s*\)")
@@ -26,6 +28,16 @@ def option_of(name: Column) -> Column:
     return F.when(n.rlike("|".join(PAYOUT_WORDS)), "IDCW").when(n.contains("growth"), "GROWTH").otherwise("UNKNOWN")
 
 
+def plan_by_name(name: Column) -> Column:
+    """Where there is no column for the plan: what is not called direct is regular."""
+    return F.when(F.lower(name).contains("direct"), "DIRECT").otherwise("REGULAR")
+
+
+def option_by_name(name: Column) -> Column:
+    """Where there is no column for the option: what speaks of no payout grows."""
+    return F.when(F.lower(name).rlike("|".join(PAYOUT_NAMES)), "IDCW").otherwise("GROWTH")
+
+
 def with_fallback(classifier, name: Column, column: Column) -> Column:
     """From the name; where that says nothing, from the report's own column."""
     first = classifier(name)

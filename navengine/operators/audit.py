@@ -88,3 +88,8 @@ def peer_table(nav: DataFrame, funds: DataFrame, asof: str, horizons: tuple[int,
     rows = rows.withColumns({"n_peers": F.count_if(~F.col("is_dead")).over(w), "n_dead_peers": F.count_if("is_dead").over(w), "rank": F.when(~F.col("is_dead"), F.rank().over(w.orderBy(F.desc_nulls_last("cagr"))))})
     percentile = F.when(F.col("rank").isNotNull(), F.when(F.col("n_peers") <= 1, 100.0).otherwise(F.round(100.0 * (F.col("n_peers") - F.col("rank")) / (F.col("n_peers") - 1), 1)))
     return rows.select("fund_id", "category", "horizon_y", "is_dead", "death_year", "window_return", "cagr", "rank", "n_peers", "n_dead_peers", percentile.alias("percentile"))
+
+
+def codes_by_plan(fund_map: DataFrame) -> DataFrame:
+    """(plan, category, n_codes, n_funds) of a fund map."""
+    return fund_map.groupBy("plan", "category").agg(F.count(F.lit(1)).alias("n_codes"), F.count_distinct("fund_id").alias("n_funds"))

@@ -21,13 +21,23 @@ def freshness(nav: DataFrame, today: str, current: int = 2, behind: int = 5) ->
     return nav.agg(F.max("d").alias("last_date")).select("last_date", late.alias("days_behind"), verdict.alias("verdict"))
 
 
-def common_range(nav: DataFrame, funds: list[str]) -> DataFrame:
-    """(start_date, end_date) that all these funds have; no row if there is none."""
-    each = nav.where(F.col("fund_id").isin(funds)).groupBy("fund_id").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+def common_range(nav: DataFrame, funds: list[str], asof: str | None = None, dead_days: int = 15) -> DataFrame:
+    """(start_date, end_date) that all these funds have; no row if there is none, or if with ``asof`` one of them was dead by then."""
+    seen = nav.where(F.col("fund_id").isin(funds)).where(F.col("d") <= F.lit(asof).cast("date") if asof else F.lit(True))
+    each = seen.groupBy("fund_id").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    each = each if asof is None else each.where(F.datediff(F.lit(asof).cast("date"), "b") <= dead_days)
     out = each.agg(F.max("a").alias("start_date"), F.min("b").alias("end_date"), F.count(F.lit(1)).alias("k"))
     return out.where((F.col("start_date") < F.col("end_date")) & (F.col("k") == len(set(funds)))).drop("k")
 
 
+def rebased_together(nav: DataFrame, funds: list[str], asof: str | None = None) -> DataFrame:
+    """(fund_id, d, rebased): prices over each fund's first one in the range common to all, times 100."""
+    window = common_range(nav, funds, asof)  # one row
+    rows = nav.where(F.col("fund_id").isin(funds)).join(F.broadcast(window), F.col("d").between(F.col("start_date"), F.col("end_date")))
+    first = rows.groupBy("fund_id").agg(F.min_by("nav", "d").alias("first"))
+    return rows.join(first, "fund_id").select("fund_id", "d", (F.col("nav") / F.col("first") * 100).alias("rebased"))
+
+
 def jump_bands(jumps: DataFrame) -> DataFrame:
     """Jumps by size of their log return."""
     x = F.abs("lr")
@@ -76,3 +86,43 @@ def wide_history(nav: DataFrame, funds: list[str]) -> DataFrame:
     """A row for each day, a column for each of these funds, prices to four places."""
     chosen = nav.where(F.col("fund_id").isin(funds))
     return chosen.groupBy("d").pivot("fund_id", funds).agg(F.round(F.max("nav"), 4))
+
+
+def long_history(nav: DataFrame, funds: list[str]) -> DataFrame:
+    """(fund_id, d, nav) of these funds, prices to four places, as ``wide_history`` has them in columns."""
+    return nav.where(F.col("fund_id").isin(funds)).groupBy("fund_id", "d").agg(F.round(F.max("nav"), 4).alias("nav"))
+
+
+def mix(rows: DataFrame, *columns: str) -> DataFrame:
+    """(field, value, n): how often each value of the columns occurs, all columns in one pass."""
+    cells = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))
+    return rows.select(F.explode(cells).alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def integrity(nav: DataFrame, snapshot: DataFrame, scheme: DataFrame, today: str) -> DataFrame:
+    """One row: prices that are not positive, prices after ``today``, snapshot rows of unknown codes, ISINs whose codes have several known plans, and ISINs of several codes."""
+    prices = nav.agg(F.count_if(F.col("nav") <= 0).alias("n_not_positive"), F.count_if(F.col("nav_date") > F.lit(today).cast("date")).alias("n_future"))
+    orphans = snapshot.join(scheme.select("amfi_code"), "amfi_code", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans"))
+    isin = F.nullif(F.trim("isin_growth"), F.lit("-"))
+    by = scheme.where(isin.isNotNull()).groupBy(isin.alias("isin")).agg(F.count_distinct(F.when(F.col("plan") != "UNKNOWN", F.col("plan"))).alias("plans"), F.count_distinct("amfi_code").alias("codes"))
+    isins = by.agg(F.count_if(F.col("plans") > 1).alias("n_conflicting_isins"), F.count_if(F.col("codes") > 1).alias("n_shared_isins"))
+    return prices.crossJoin(F.broadcast(orphans)).crossJoin(F.broadcast(isins))  # one row each
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """(source, runs, n_failed, n_rows, n_added, last_at) of a log (source, ok, n_rows, n_added, at)."""
+    return log.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("ok")).alias("n_failed"), F.sum("n_rows").alias("n_rows"), F.sum("n_added").alias("n_added"), F.max("at").alias("last_at"))
+
+
+def uncategorised(scheme: DataFrame, since: str, has: str = "") -> DataFrame:
+    """(scheme_name, amfi_code, last_nav_date, has_sibling): active codes without a category whose name holds ``has`` (any case) and whose last price is not before ``since``, by name."""
+    isin = F.nullif(F.trim("isin_growth"), F.lit("-"))
+    known = scheme.where("category is not null").where(isin.isNotNull()).select(isin.alias("__isin")).distinct().withColumn("__known", F.lit(True))
+    rows = scheme.where("category is null").where((F.col("last_nav_date") >= F.lit(since).cast("date")) & F.lower("scheme_name").contains(has.lower()))
+    out = rows.join(known, isin == F.col("__isin"), "left").select("scheme_name", "amfi_code", "last_nav_date", F.coalesce("__known", F.lit(False)).alias("has_sibling"))
+    return out.orderBy("scheme_name", "amfi_code")
+
+
+def worst_days(jumps: DataFrame, k: int) -> DataFrame:
+    """(fund_id, d, lr): the ``k`` largest jumps by size, a fund as often as it has them; ties by fund and day."""
+    return jumps.select("fund_id", "d", "lr").distinct().orderBy(F.desc(F.abs("lr")), "fund_id", "d").limit(k)

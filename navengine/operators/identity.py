@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.classify import blank_to_null, category_key, fund_id
+from ..functions.classify import blank_to_null, category_key, fund_id, option_by_name, plan_by_name
+from .selection import in_categories
 
 
-def fund_map(scheme: DataFrame, plan: str = "REGULAR") -> DataFrame:
-    """Codes of one plan's growth options with a category, and the identity each belongs to."""
-    p = F.when(F.upper(F.coalesce("plan", F.lit(""))).contains("DIRECT"), "DIRECT").otherwise("REGULAR")
-    o = F.when(F.upper(F.coalesce("option", F.lit(""))).contains("GROWTH"), "GROWTH").otherwise("IDCW")
+def fund_map(scheme: DataFrame, plan: str = "REGULAR", categories: list[str] | None = None) -> DataFrame:
+    """Codes of one plan's growth options with a category, and the identity each belongs to.
+
+    Without a column for plan or option, the name tells it. ``categories`` keeps those that have one of these parts, in any case.
+    """
+    name = F.col("scheme_name")
+    p = F.when(F.upper(F.coalesce("plan", F.lit(""))).contains("DIRECT"), "DIRECT").otherwise("REGULAR") if "plan" in scheme.columns else plan_by_name(name)
+    o = F.when(F.upper(F.coalesce("option", F.lit(""))).contains("GROWTH"), "GROWTH").otherwise("IDCW") if "option" in scheme.columns else option_by_name(name)
     ids = fund_id(F.col("isin_growth"), F.col("isin_div"), F.col("amfi_code"))
     none = blank_to_null(F.col("isin_growth")).isNull() & blank_to_null(F.col("isin_div")).isNull()
     out = scheme.select(F.col("amfi_code").cast("string").alias("scheme_code"), "scheme_name", "category", p.alias("plan"), o.alias("option_type"), ids.alias("fund_id"), none.alias("no_isin"))
-    return out.where((F.col("plan") == plan) & (F.col("option_type") == "GROWTH") & F.col("category").isNotNull())
+    return out.where((F.col("plan") == plan) & (F.col("option_type") == "GROWTH") & F.col("category").isNotNull() & in_categories(F.col("category"), categories or []))
 
 
 def spliced_nav(nav: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.series import DAYS_PER_YEAR, annual_vol
-from .asof import asof_bounded
+from ..sources.catalog import bound_store
+from ..sources.shared import written
+from .identity import fund_map, spliced_nav
 
 ANCHOR_DAYS = 15
 DEATH_DAYS = 15
@@ -44,9 +46,13 @@ def returns_panel(nav: DataFrame, windows: DataFrame, key: str = "fund_id") -> D
         F.max("d").alias("last_date"), F.max_by("nav", "d").alias("last_nav"), F.count(F.lit(1)).cast("int").alias("n_obs"),
         annual_vol(F.col("lr")).alias("ann_vol"), F.max(1 - F.col("nav") / F.col("top")).alias("max_drawdown"), F.max(F.abs("lr")).alias("max_abs_daily_lr"),
     )
+    stats = written(stats, "stats")  # a row for each fund and window, read for the medians and for the panel
     middle = stats.groupBy(*cols).agg(F.median("n_obs").alias("__mid"))
     stats = stats.join(F.broadcast(middle), cols).withColumn("coverage_frac", F.least(F.col("n_obs") / F.col("__mid"), F.lit(1.0))).drop("__mid")
-    out = asof_bounded(stats, nav, "start_date", ANCHOR_DAYS, key).where("anchor_d is not null")
+    # The few days before each start, some hundreds of rows: a price meets them by its date.
+    before = windows.select("start_date").distinct().withColumn("d", F.explode(F.sequence(F.date_sub("start_date", ANCHOR_DAYS), F.col("start_date"))))
+    anchors = nav.select(key, "d", "nav").join(F.broadcast(before), "d").groupBy(key, "start_date").agg(F.max(F.struct(F.col("d").alias("anchor_d"), F.col("nav").alias("anchor_nav"))).alias("__a"))
+    out = stats.join(anchors.select(key, "start_date", "__a.*"), [key, "start_date"])
     growth, years = F.col("last_nav") / F.col("anchor_nav"), F.datediff("last_date", "anchor_d") / DAYS_PER_YEAR
     return out.select(
         key, *cols, "phase", "start_date", "end_date", F.col("anchor_d").alias("anchor_date"), "anchor_nav", F.datediff("start_date", "anchor_d").alias("anchor_gap_days"),
@@ -60,3 +66,16 @@ def panel_summary(panel: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_distinct("fund_id").alias("funds"), F.count_if("survived").alias("n_survived"),
         F.median("window_return").alias("med_return"), F.median("ann_vol").alias("med_vol"),
     )
+
+
+def store_panel(tables: dict[str, DataFrame], windows: DataFrame, plan: str = "REGULAR", categories: list[str] | None = None) -> DataFrame:
+    """The returns panel of a store, read through the roles of its columns."""
+    nav, scheme = bound_store(tables)
+    return returns_panel(spliced_nav(nav, fund_map(scheme, plan, categories)), windows)
+
+
+def attrition(panel: DataFrame, horizon_y: int = 1) -> DataFrame:
+    """(fy_start, n, n_survived, attrition_pct, med_return, med_vol): the windows of a horizon by their first year."""
+    rows = panel.where(F.col("horizon_y") == horizon_y)
+    out = rows.groupBy("fy_start").agg(F.count(F.lit(1)).alias("n"), F.count_if("survived").alias("n_survived"), F.median("window_return").alias("med_return"), F.median("ann_vol").alias("med_vol"))
+    return out.withColumn("attrition_pct", F.round(100.0 * (F.col("n") - F.col("n_survived")) / F.col("n"), 1))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify, pvalues, series
-from . import trailing
+from ..sources.shared import written
+from . import ranks, trailing
 
 
 def normalised_weights(funds: list[str], weights: list[float] | None = None) -> dict[str, float]:
@@ -20,16 +21,55 @@ def normalised_weights(funds: list[str], weights: list[float] | None = None) ->
     return {f: w / sum(given) for f, w in zip(funds, given, strict=True)}
 
 
-def one_pager(nav: DataFrame, funds: DataFrame, asof: str, years: int, chosen: list[str] | None = None, least_obs: int = 20) -> DataFrame:
-    """Of each chosen fund (all by default): growth, rank among living peers, dead peers, volatility and drawdown over the window, and notes."""
-    peers = trailing.trailing(nav, asof, years).join(funds, "fund_id")
-    ranks = trailing.peer_rank(peers.where("not is_dead").select("fund_id", "category", "cagr"), "cagr", "category").select("fund_id", "rank", "n_peers", "percentile")
-    dead = peers.groupBy("category").agg(F.count_if("is_dead").alias("n_dead_peers"))
-    mine = (peers if chosen is None else peers.where(F.col("fund_id").isin(chosen))).select("fund_id", "category", "anchor_d", "last_d", "is_dead", "window_return", "cagr")
-    days = nav.join(mine.select("fund_id", "anchor_d", "last_d"), "fund_id").where("d between anchor_d and last_d").withColumns({"lr": series.log_return(), "top": series.running_max()})
-    risk = days.groupBy("fund_id").agg(F.count(F.lit(1)).alias("n_obs"), series.annual_vol(F.col("lr")).alias("ann_vol"), F.max(1 - F.col("nav") / F.col("top")).alias("max_drawdown"))
-    note = F.concat_ws("; ", F.when(F.col("is_dead"), "dead"), F.when(F.col("n_dead_peers") > 0, F.concat("n_dead_peers", F.lit(" dead peers"))), F.when(F.col("n_obs") < least_obs, "few prices"))
-    return mine.join(ranks, "fund_id", "left").join(dead, "category").join(risk, "fund_id").withColumn("notes", note).drop("anchor_d", "last_d")
+def one_pager(nav: DataFrame, funds: DataFrame, asof: str, horizons: tuple[int, ...] = (1, 3, 5, 10), chosen: list[str] | None = None, least_obs: int = 20) -> DataFrame:
+    """Each chosen fund (all by default) against the living peers of its category (fund_id, category), a row for each horizon.
+
+    value is the return at one year and the growth a year beyond; it and the Sharpe ratio come with rank (1 + better peers),
+    percentile and the category's mean. A fund without an anchor has the state "insufficient history" and a dead one "died <year>", with no figures.
+    """
+    wide = snapshot_ranks(nav, funds, asof, horizons)
+    every = funds.select("fund_id", "category").distinct().withColumn("horizon_y", F.explode(F.array(*map(F.lit, horizons))))
+    every = every if chosen is None else every.where(F.col("fund_id").isin(chosen))
+    window = trailing.trailing_all(nav, asof, horizons).select("fund_id", "horizon_y", "is_dead", F.year("last_d").alias("__year"))
+    rows = every.join(window, ["fund_id", "horizon_y"], "left").join(wide, ["category", "fund_id", "horizon_y"], "left")
+    state = F.when(F.col("is_dead").isNull(), "insufficient history").when(F.col("is_dead"), F.concat(F.lit("died "), "__year")).otherwise("alive")
+    note = F.concat_ws("; ", F.when(F.col("n_dead") > 0, F.concat("n_dead", F.lit(" of "), "n_considered", F.lit(" peers had died"))), F.when(F.col("n_obs") < least_obs, F.concat(F.lit("only "), "n_obs", F.lit(" returns"))))
+    return rows.withColumns({"state": state, "notes": F.when(state == "alive", note)}).drop("is_dead", "__year")
+
+
+def snapshot_ranks(nav: DataFrame, funds: DataFrame, asof: str, horizons: tuple[int, ...]) -> DataFrame:
+    """The living peers of each category and horizon with value, rank, n_peers, percentile and category means, and the same of the Sharpe ratio."""
+    alive, counts = trailing.category_snapshot(nav, funds, asof, horizons)
+    by = ["category", "horizon_y"]
+    alive = written(alive.withColumn("value", F.when(F.col("horizon_y") <= 1, F.col("window_return")).otherwise(F.col("cagr"))), "peers")
+    means = alive.groupBy(*by).agg(F.count(F.lit(1)).alias("n_peers"), F.avg("value").alias("cat_avg"), F.avg("ann_vol").alias("cat_vol"), F.avg("sharpe").alias("cat_sharpe"))
+    out = alive.join(means, by).join(counts, by)
+    for metric, name in (("value", "rank"), ("sharpe", "sharpe_rank")):
+        place = ranks.places(alive, metric, by).select(*by, metric, "below", "n")
+        known = place.groupBy(*by).agg(F.sum("n").alias("__all"))
+        better = place.join(known, by).select(*by, metric, (F.col("__all") - F.col("below") - F.col("n") + 1).alias(name))
+        out = out.join(better, [*by, metric], "left")
+    percentile = lambda r: F.when(F.col(r).isNotNull(), F.when(F.col("n_peers") <= 1, 100.0).otherwise(F.round(100.0 * (F.col("n_peers") - F.col(r)) / (F.col("n_peers") - 1), 1)))
+    out = out.withColumns({"percentile": percentile("rank"), "sharpe_percentile": percentile("sharpe_rank")})
+    return out.select(
+        *by, "fund_id", "value", "cat_avg", "rank", "n_peers", "percentile", "ann_vol", "n_obs", "cat_vol", "sharpe", "cat_sharpe", "sharpe_rank", "sharpe_percentile", "max_dd", "n_considered", "n_dead",
+    )
+
+
+def as_percent(value: Column) -> Column:
+    """+12.34%, or n/a for null."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%+.2f%%", value * 100))
+
+
+def as_ratio(value: Column) -> Column:
+    """+1.23, or n/a for null."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%+.2f", value))
+
+
+def lines_of(one_pagers: DataFrame) -> DataFrame:
+    """(fund_id, horizon_y, line): a one-pager's rows as text: value, category mean, volatility, rank and percentile, or the state."""
+    figures = F.concat_ws(" | ", as_percent(F.col("value")), as_percent(F.col("cat_avg")), as_percent(F.col("ann_vol")), F.concat("rank", F.lit("/"), "n_peers"), F.bround("percentile", 0).cast("int").cast("string"))
+    return one_pagers.select("fund_id", "horizon_y", F.when(F.col("state") == "alive", figures).otherwise(F.col("state")).alias("line"))
 
 
 def browse(peers: DataFrame, names: DataFrame) -> DataFrame:

@@ -57,9 +57,8 @@ def looks_like_isin(text: Column) -> Column:
 
 
 def plan_label(plan: Column, option: Column) -> Column:
-    """'Plan - Option' in capitals at the start; what is unknown or null is left out."""
-    known = lambda c: F.when(c != "UNKNOWN", F.initcap(c))
-    return F.concat_ws(" - ", known(plan), known(option))
+    """'PLAN/OPTION' of a fund as the fund map has them; 'unknown' without either."""
+    return F.coalesce(F.concat(plan, F.lit("/"), option), F.lit("unknown"))
 
 
 def find_funds(fund_map: DataFrame, query: str, by_id: bool = False) -> DataFrame:
@@ -67,22 +66,6 @@ def find_funds(fund_map: DataFrame, query: str, by_id: bool = False) -> DataFram
     return latest_names(fund_map.where(F.col("fund_id") == query if by_id else has_words(F.col("scheme_name"), query)))
 
 
-def resolve(queries: DataFrame, fund_map: DataFrame, most_broadcast: int = 10_000) -> DataFrame:
-    """Of (query), the funds that each means: by exact id, and only without one by a part of a name.
-
-    query, fund_id, scheme_name, matched (id or name). The list of queries is written by hand; up to ``most_broadcast``
-    rows it is broadcast, so that names are held against it in one scan.
-    """
-    names = latest_names(fund_map).select("fund_id", "scheme_name")
-    by_id = queries.join(names, F.upper(F.trim("query")) == F.col("fund_id"))
-    rest = queries.join(by_id.select("query"), "query", "left_anti")
-    small = rest.limit(most_broadcast + 1).count() <= most_broadcast
-    part = F.lower("scheme_name").contains(F.lower(F.trim("query"))) & (F.trim("query") != "")
-    by_name = fund_map.select("fund_id", "scheme_name").distinct().join(F.broadcast(rest) if small else rest, part)
-    cols = "query", "fund_id", "scheme_name"
-    return by_id.select(*cols, F.lit("id").alias("matched")).unionByName(by_name.select(*cols, F.lit("name").alias("matched")))
-
-
 def isin_groups(scheme: DataFrame) -> DataFrame:
     """(isin, amfi_code): the codes that ever had an ISIN and may be joined to one series.
 

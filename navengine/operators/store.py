@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.classify import blank_to_null
+from . import names
+
 
 def upsert_schemes(current: DataFrame, batch: DataFrame, position: str = "pos") -> DataFrame:
     """By amfi_code: names are replaced; other fields only by values; a plan or option never by UNKNOWN.
@@ -20,7 +22,7 @@ def upsert_schemes(current: DataFrame, batch: DataFrame, position: str = "pos")
     both = c.join(b, F.col("c.amfi_code") == F.col("b.amfi_code"), "full")
     known = lambda x: F.when(F.col(f"b.{x}").isNull() | ((F.col(f"b.{x}") == "UNKNOWN") & (F.col(f"c.{x}") != "UNKNOWN")), F.coalesce(f"c.{x}", f"b.{x}")).otherwise(F.col(f"b.{x}"))
     out = [F.coalesce("b.amfi_code", "c.amfi_code").alias("amfi_code"), F.coalesce("b.scheme_name", "c.scheme_name").alias("scheme_name")]
-    for x in current.columns[2:]:
+    for x in [c for c in current.columns if c not in ("amfi_code", "scheme_name")]:
         out.append((known(x) if x in ("plan", "option") else F.coalesce(f"b.{x}", f"c.{x}") if x in batch.columns else F.col(f"c.{x}")).alias(x))
     return both.select(*out)
 
@@ -47,9 +49,10 @@ def mark_stale(scheme: DataFrame, asof: str, days: int = 30) -> DataFrame:
 
 
 def inherit_category(scheme: DataFrame) -> DataFrame:
-    """A missing category from codes with the same isin_growth."""
-    other = F.when(F.col("isin_growth").isNotNull(), F.max("category").over(W.partitionBy("isin_growth")))
-    return scheme.withColumn("category", F.coalesce("category", other))
+    """A missing category from codes with the same isin_growth; a dash, a blank and null are no ISIN."""
+    isin = blank_to_null(F.col("isin_growth"))
+    known = scheme.where(isin.isNotNull() & F.col("category").isNotNull()).groupBy(isin.alias("__isin")).agg(F.max("category").alias("__c"))
+    return scheme.join(known, isin == F.col("__isin"), "left").withColumn("category", F.coalesce("category", "__c")).drop("__isin", "__c")
 
 
 def fill_category(scheme: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -62,15 +65,28 @@ def universe_as_of(scheme: DataFrame, snapshot: DataFrame, day: str) -> DataFram
     return scheme.join(snapshot.where(F.col("snap_date") == F.lit(day).cast("date")), "amfi_code", "left_semi")
 
 
-def manual_mapping(scheme: DataFrame, curated: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
+def manual_mapping(scheme: DataFrame, curated: DataFrame) -> DataFrame:
     """(amfi_code, category) for curated rows (amfi_code, candidates: patterns in order) whose code has no category.
 
     The first candidate that a categorised name matches decides; of its matches, the lowest code.
-    The curated list is written by hand and broadcast up to ``most_broadcast`` rows.
     """
     tries = curated.select("amfi_code", F.posexplode("candidates").alias("at", "pattern"))
     open_ = tries.join(scheme.where("category is null").select("amfi_code"), "amfi_code", "left_semi")
-    donors = scheme.where("category is not null").select(F.col("amfi_code").alias("donor"), "scheme_name", F.col("category").alias("given"))
-    small = open_.limit(most_broadcast + 1).count() <= most_broadcast
-    hits = donors.join(F.broadcast(open_) if small else open_, F.expr("scheme_name ilike pattern"))
-    return hits.groupBy("amfi_code").agg(F.min_by("given", F.struct("at", "donor")).alias("category"))
+    donors = scheme.where("category is not null").groupBy(F.col("scheme_name").alias("name")).agg(F.min_by(F.struct(F.col("amfi_code").alias("donor"), F.col("category").alias("given")), "amfi_code").alias("m"))
+    hits = names.like(donors.select("name"), open_.select(F.col("pattern").alias("query")))
+    found = open_.join(hits, F.col("pattern") == F.col("query")).join(donors, "name")
+    return found.groupBy("amfi_code").agg(F.min_by("m.given", F.struct("at", "m.donor")).alias("category"))
+
+
+def category_chain(scheme: DataFrame, listing: DataFrame, curated: DataFrame, only_direct_growth: bool = False) -> DataFrame:
+    """(amfi_code, category, origin): what each step of the chain gives the codes without a category.
+
+    First the current list (amfi_code, category) (origin list), then the curated mapping, which may take from what the list gave, and last codes of the same ISIN. Earlier steps win.
+    """
+    missing = scheme.where("category is null").where("plan = 'DIRECT' and option = 'GROWTH'" if only_direct_growth else "true").select("amfi_code")
+    after = fill_category(scheme, listing)
+    by_hand = manual_mapping(after, curated)
+    last = inherit_category(fill_category(after, by_hand)).select("amfi_code", F.col("category").alias("__is"))
+    steps = after.select("amfi_code", F.col("category").alias("__list")).join(by_hand.withColumnRenamed("category", "__hand"), "amfi_code", "left").join(last, "amfi_code")
+    origin = F.when(F.col("__list").isNotNull(), "list").when(F.col("__hand").isNotNull(), "curated").otherwise("sibling")
+    return missing.join(steps, "amfi_code").where("__is is not null").select("amfi_code", F.col("__is").alias("category"), origin.alias("origin"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.series import DAYS_PER_YEAR, annual_vol, cagr, horizon_days, sharpe
 from ..sources.shared import written
 from . import ranks
-from .asof import last_at_or_before, nearest_within
+from .asof import last_at_or_before, nearest_by_row, nearest_within
 
 NEAREST_DAYS = 45
 DEATH_DAYS = 15
@@ -33,13 +33,41 @@ def trailing_all(nav: DataFrame, asof: str, horizons: tuple[int, ...]) -> DataFr
 
 def risk(nav: DataFrame, ends: DataFrame) -> DataFrame:
     """Volatility, drawdown (negative, anchor included) and Sharpe ratio of each fund between its anchor and last day."""
-    n = nav.join(ends.select("fund_id", "anchor_d", "last_d", "cagr"), "fund_id").where("d between anchor_d and last_d")
-    w = W.partitionBy("fund_id").orderBy("d")
-    n = n.withColumns({"top": F.max("nav").over(w.rowsBetween(W.unboundedPreceding, 0)), "lr": F.ln(F.col("nav") / F.lag("nav").over(w))})
-    first = F.lag("d").over(w)
-    n = n.withColumn("lr", F.when(first > F.col("anchor_d"), F.col("lr")))
-    out = n.groupBy("fund_id").agg(annual_vol(F.col("lr")).alias("ann_vol"), F.min(F.col("nav") / F.col("top") - 1).alias("max_dd"), F.first("cagr").alias("__c"))
-    return out.select("fund_id", "ann_vol", "max_dd", sharpe(F.col("__c"), F.col("ann_vol")).alias("sharpe"))
+    return risk_all(nav, ends.withColumn("horizon_y", F.lit(0))).select("fund_id", "ann_vol", "max_dd", "sharpe")
+
+
+def risk_all(nav: DataFrame, ends: DataFrame) -> DataFrame:
+    """(fund_id, horizon_y, ann_vol, n_obs, max_dd, sharpe) for every fund and horizon of ``ends``.
+
+    Volatility and its count take the log returns after the anchor's day, so the first one is from the day after it; the
+    drawdown is negative and has the anchor's day in it.
+    """
+    n = nav.join(ends.select("fund_id", "horizon_y", "anchor_d", "last_d", "cagr"), "fund_id").where("d between anchor_d and last_d")
+    w = W.partitionBy("fund_id", "horizon_y").orderBy("d")
+    n = n.withColumns({"top": F.max("nav").over(w.rowsBetween(W.unboundedPreceding, 0)), "lr": F.ln(F.col("nav") / F.lag("nav").over(w)), "__was": F.lag("d").over(w)})
+    n = n.withColumn("lr", F.when(F.col("__was") > F.col("anchor_d"), F.col("lr")))
+    out = n.groupBy("fund_id", "horizon_y").agg(annual_vol(F.col("lr")).alias("ann_vol"), F.count("lr").alias("n_obs"), F.min(F.col("nav") / F.col("top") - 1).alias("max_dd"), F.first("cagr").alias("__c"))
+    return out.select("fund_id", "horizon_y", "ann_vol", "n_obs", "max_dd", sharpe(F.col("__c"), F.col("ann_vol")).alias("sharpe"))
+
+
+def canonical(fund_map: DataFrame, category_map: DataFrame) -> DataFrame:
+    """(fund_id, category): each fund once under the canonical form of its category (raw_category, canonical_category); several, if its names were in several."""
+    of = category_map.select(F.col("raw_category").alias("category"), "canonical_category")
+    return fund_map.join(of, "category").select("fund_id", F.col("canonical_category").alias("category")).distinct()
+
+
+def category_snapshot(nav: DataFrame, funds: DataFrame, asof: str, horizons: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(living peers, counts) of every category of ``funds`` (fund_id, category) and horizon.
+
+    Living peers: category, horizon_y, fund_id, window_return, cagr, actual_years, ann_vol, n_obs, sharpe, max_dd. Counts: category, horizon_y,
+    n_considered (funds with a price and an anchor), n_dead; the dead are in no average and no rank.
+    """
+    rows = funds.select("fund_id", "category").distinct().join(trailing_all(nav, asof, horizons), "fund_id")
+    counts = rows.groupBy("category", "horizon_y").agg(F.count(F.lit(1)).alias("n_considered"), F.count_if("is_dead").alias("n_dead"))
+    alive = rows.where("not is_dead")
+    risks = risk_all(nav, alive.select("fund_id", "horizon_y", "anchor_d", "last_d", "cagr").distinct())
+    alive = alive.join(risks, ["fund_id", "horizon_y"], "left").withColumn("actual_years", F.datediff("last_d", "anchor_d") / DAYS_PER_YEAR)
+    return alive.select("category", "horizon_y", "fund_id", "window_return", "cagr", "actual_years", "ann_vol", "n_obs", "sharpe", "max_dd"), counts
 
 
 def peer_rank(rows: DataFrame, metric: str, group: str) -> DataFrame:
@@ -58,11 +86,18 @@ def survivorship(rows: DataFrame, group: str, least: int = 5) -> DataFrame:
 
 def rolling_returns(nav: DataFrame, years: int, step: int = 5) -> DataFrame:
     """From every ``step``-th observation of a fund the growth a year to the price nearest to the horizon's end."""
+    return rolling_all(nav, (years,), step).drop("horizon_y")
+
+
+def rolling_all(nav: DataFrame, horizons: tuple[int, ...] = (1, 3, 5), step: int = 5) -> DataFrame:
+    """The same for several horizons (horizon_y) at once: a price meets the starts of all of them in one join."""
     w = W.partitionBy("fund_id").orderBy("d")
     starts = nav.select("fund_id", "d", "nav", F.row_number().over(w).alias("rn")).where((F.col("rn") - 1) % step == 0)
-    starts = starts.select("fund_id", F.col("d").alias("start_d"), F.col("nav").alias("start_nav"), F.date_add("d", horizon_days(years)).alias("target"))
-    out = nearest_within(starts, nav, "target", NEAREST_DAYS).where("anchor_d > start_d")
-    return out.select("fund_id", "start_d", F.col("anchor_d").alias("end_d"), cagr(F.col("anchor_nav") / F.col("start_nav"), F.datediff("anchor_d", "start_d")).alias("cagr"))
+    ends = F.explode(F.array(*(F.struct(F.lit(y).alias("horizon_y"), F.date_add("d", horizon_days(y)).alias("target")) for y in horizons))).alias("__e")
+    starts = starts.select("fund_id", F.struct(F.col("d").alias("start_d"), F.col("nav").alias("start_nav")).alias("start"), ends).select("fund_id", "start", "__e.horizon_y", "__e.target")
+    near = nearest_by_row(starts, nav, "target", NEAREST_DAYS, ["fund_id", "horizon_y", "start", "target"])
+    out = near.select("fund_id", "horizon_y", "start.start_d", "start.start_nav", "anchor_d", "anchor_nav").where("anchor_d > start_d")
+    return out.select("fund_id", "horizon_y", "start_d", F.col("anchor_d").alias("end_d"), cagr(F.col("anchor_nav") / F.col("start_nav"), F.datediff("anchor_d", "start_d")).alias("cagr"))
 
 
 def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:

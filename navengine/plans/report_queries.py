@@ -21,14 +21,6 @@ def _bounded(spark, sf):
     return store.bounds(schemes(spark, sf), order_prices(spark, sf))
 
 
-@query(f"""{PEER_SQL}, dd as (select category, count(*) filter (is_dead) as k from pr group by 1), x as (select n.fund_id, n.nav, ln(n.nav / lag(n.nav) over w) as lr, max(n.nav) over (w rows unbounded preceding) as top from nav n join pr on pr.fund_id = n.fund_id and n.d between anchor_d and last_d window w as (partition by n.fund_id order by n.d)),
-st as (select fund_id, count(*) as n_obs, stddev_samp(lr) * sqrt(252) as vol, max(1 - nav / top) as dd from x group by 1)
-select pr.fund_id, pr.category, pr.is_dead, round(pr.window_return, 6) + 0.0 as window_return, round(pr.cagr, 6) + 0.0 as cagr, rank, n_peers, percentile, k as n_dead_peers, n_obs, round(vol, 6) + 0.0 as ann_vol, round(dd, 6) + 0.0 as max_drawdown, concat_ws('; ', case when pr.is_dead then 'dead' end, case when k > 0 then k || ' dead peers' end, case when n_obs < 20 then 'few prices' end) as notes
-from pr left join pc using (fund_id) join dd on dd.category = pr.category join st on st.fund_id = pr.fund_id""")
-def one_pager(spark, sf):
-    return reports.one_pager(nav_of(spark, sf), _funds(spark, sf), ASOF, 3)
-
-
 @query(f"{PEER_SQL}, lost as (select category, round(100.0::double * count(*) filter (is_dead) / count(*), 1) as attrition_pct from pr group by 1) select category, row_number() over (partition by category order by cagr desc, fund_id) as position, fund_id, name, round(cagr, 6) + 0.0 as cagr, percentile, attrition_pct from pc join lost using (category)")
 def category_browse(spark, sf):
     names = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("fund_id"), F.col("s_name").alias("name"))

@@ -58,14 +58,6 @@ def fund_search(spark, sf):
     return selection.find_funds(fund_map(spark, sf), "cap MID")
 
 
-@query(f"""with {NAMES_SQL}, q as (select unnest(['1', ' 7 ', 'midcap', 'interval plan', 'nothing like it']) as query),
-i as (select query, fund_id, scheme_name, 'id' as matched from q join names on upper(trim(query)) = fund_id)
-select * from i union all select query, fund_id, scheme_name, 'name' from q join (select distinct fund_id, scheme_name from fund_map) f on contains(lower(scheme_name), lower(trim(query))) where query not in (select query from i)""")
-def identifier_batch(spark, sf):
-    q = spark.createDataFrame([(x,) for x in ("1", " 7 ", "midcap", "interval plan", "nothing like it")], "query string")
-    return selection.resolve(q, fund_map(spark, sf))
-
-
 GROUP_SQL = f"""with {SCHEME_SQL}, {BOUND_SQL}, r as (select isin_growth as isin, amfi_code, case when option <> 'UNKNOWN' then option end as known, first_nav_date from bounded where isin_growth is not null),
 k as (select isin, known, count(*) as k, min(amfi_code) filter (first_nav_date is null) as none, min((first_nav_date, amfi_code)) filter (first_nav_date is not null) as seen from r where known is not null group by all),
 m as (select isin, known as main from k qualify row_number() over (partition by isin order by k desc, seen is null, seen, none) = 1),
@@ -90,7 +82,7 @@ def isin_spliced(spark, sf):
     return selection.isin_series(_bounded(spark, sf), o)
 
 
-@query(f"with {SCHEME_SQL} select amfi_code, isin_growth, coalesce(length(trim(isin_growth)) = 12 and upper(trim(isin_growth)) like 'INF%', false) as is_isin, concat_ws(' - ', case plan when 'DIRECT' then 'Direct' when 'REGULAR' then 'Regular' end, case option when 'IDCW' then 'Idcw' when 'GROWTH' then 'Growth' end) as label from (select * replace (case when amfi_code % 2 = 0 then concat('inf', lpad(cast(amfi_code as varchar), 9, '0')) else isin_growth end as isin_growth) from scheme)")
+@query(f"with {SCHEME_SQL} select amfi_code, isin_growth, coalesce(length(trim(isin_growth)) = 12 and upper(trim(isin_growth)) like 'INF%', false) as is_isin, coalesce(plan || '/' || option, 'unknown') as label from (select * replace (case when amfi_code % 2 = 0 then concat('inf', lpad(cast(amfi_code as varchar), 9, '0')) else isin_growth end as isin_growth) from scheme)")
 def isin_shape_and_label(spark, sf):
     isin = F.when(F.col("amfi_code") % 2 == 0, F.concat(F.lit("inf"), F.lpad(F.col("amfi_code").cast("string"), 9, "0"))).otherwise(F.col("isin_growth"))
     s = scheme(spark, sf).withColumn("isin_growth", isin)

@@ -56,7 +56,7 @@ def mark_stale(spark, sf):
     return store.mark_stale(store.bounds(schemes(spark, sf), order_prices(spark, sf)), ASOF).select("amfi_code", "status")
 
 
-@query(f"with {SCHEME_SQL} select amfi_code, coalesce(category, max(category) over (partition by isin_growth)) as category from scheme")
+@query(f"with {SCHEME_SQL} select amfi_code, coalesce(category, case when isin_growth <> '-' then max(category) over (partition by isin_growth) end) as category from scheme")
 def isin_inherit(spark, sf):
     return store.inherit_category(schemes(spark, sf)).select("amfi_code", "category")
 

@@ -59,3 +59,44 @@ def role_tables(tables: dict[str, DataFrame]) -> tuple[str, str]:
     first = max(prices, key=rows.get)
     others = [t for t, r in roles.items() if t != first and r["code"] and r["name"]]
     return first, min(others, key=rows.get, default=first)
+
+
+#: What the engine calls the column of each role, and its type. Plan and option are left out where no column has them: then names tell them.
+BOUND = {
+    "date": ("d", "date"), "nav": ("nav", "double"), "code": ("amfi_code", "string"), "name": ("scheme_name", "string"), "isin_growth": ("isin_growth", "string"),
+    "isin_div": ("isin_div", "string"), "category": ("category", "string"), "option": ("option", "string"), "plan": ("plan", "string"), "status": ("status", "string"), "house": ("amc", "string"),
+}
+OPTIONAL = ("plan", "option")
+
+
+def bind(rows: DataFrame, roles: list[str]) -> DataFrame:
+    """``rows`` by role: the engine's names and types; a typed null for a role that no column has, and nothing for an optional one."""
+    held = role_columns(rows.columns)
+    out = []
+    for role in roles:
+        name, kind = BOUND[role]
+        if held[role] is not None:
+            out.append(F.col(f"`{held[role]}`").cast(kind).alias(name))
+        elif role not in OPTIONAL:
+            out.append(F.lit(None).cast(kind).alias(name))
+    return rows.select(*out)
+
+
+def bound_store(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(prices, schemes) of a store, whatever its tables and columns are called; schemes come from the prices where there is no table of their own."""
+    prices, schemes = role_tables(tables)
+    nav = bind(tables[prices], ["code", "date", "nav"]).withColumnRenamed("amfi_code", "scheme_code")
+    kept = bind(tables[schemes], ["code", "name", "isin_growth", "isin_div", "category", "option", "plan", "status", "house"])
+    return nav, kept.distinct() if schemes == prices else kept
+
+
+def samples(tables: dict[str, DataFrame], rows: int = 3) -> DataFrame:
+    """(table_name, row, column_name, value): the first ``rows`` rows of each table in the order of all its columns, as texts."""
+    each = []
+    for t, df in tables.items():
+        first = df.orderBy(*df.columns).limit(rows)
+        cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns))
+        text = first.select(F.concat_ws("\x01", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).alias("key"), cells.alias("cells"))
+        listed = text.agg(F.array_sort(F.collect_list(F.struct("key", "cells"))).alias("all"))  # ``rows`` rows
+        each.append(listed.select(F.lit(t).alias("table_name"), F.posexplode("all").alias("row", "r")).select("table_name", "row", F.explode("r.cells").alias("c")).select("table_name", "row", "c.*"))
+    return reduce(DataFrame.unionAll, each)

@@ -1,48 +1,38 @@
-"""Incremental ingest: new report files are merged into the keyed table, each once."""
+"""Incremental ingest: new report files, or landed windows in their order, are merged into the store by month, each once."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import upsert_nav
 from ..sources.reports import history_report
 from ..sources.windows import ReportWindows
-from .walk import merge
-
+from .walk import merge, read_prices
 
-def latest(spark: SparkSession, store: str) -> int | None:
-    """The number of the last version under ``store`` that was written whole."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/v*/_SUCCESS")) or []
-    return max((int(m[1]) for x in done if (m := re.search(r"/v(\d+)/_SUCCESS$", x.getPath().toString()))), default=None)
 
-
-def read_store(spark: SparkSession, store: str) -> DataFrame | None:
-    version = latest(spark, store)
-    return None if version is None else spark.read.parquet(f"{store}/v{version}")
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """(amfi_code, nav_date, nav); empty before the first batch."""
+    return read_prices(spark, store).select("amfi_code", "nav_date", "nav")
 
 
 def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str) -> None:
-    """Reads what is new in ``landing`` and writes the merged table as the next version under ``store``.
+    """Reads the files that are new in ``landing`` and merges them into the months of the store that they touch.
 
-    A batch is merged into the last whole version, whatever the checkpoint says of earlier ones, and merging a batch twice
-    changes nothing, so replays and new checkpoints lose nothing. Of a key's rows in a batch the last counts: by the
+    A batch is known by its files and their times, so one that is read again after a crash is merged once, and a new checkpoint, which
+    reads all files again, changes nothing. Of a key's rows in a batch the last counts: by the
     file's time and name, the place of the block in the file and the row in it.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        place = F.struct("at", "path", "block", F.monotonically_increasing_id().alias("row"))
-        rows = history_report(batch.withColumn("pos", place), "pos").select("amfi_code", "nav_date", "nav", "pos")
-        version = latest(spark, store)
-        old = rows.drop("pos").limit(0) if version is None else spark.read.parquet(f"{store}/v{version}")
-        upsert_nav(old, rows).write.mode("overwrite").parquet(f"{store}/v{0 if version is None else version + 1}")
+    def take(batch: DataFrame, number: int) -> None:
+        files = batch.groupBy("path", "at").agg(F.lit(1)).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("path", "at")))).alias("id"), F.count(F.lit(1)).alias("n")).first()  # a row a file
+        if files["n"]:
+            place = F.struct("at", "path", "block", F.monotonically_increasing_id().alias("row"))
+            rows = history_report(batch.withColumn("pos", place), "pos").select("amfi_code", "nav_date", "nav", "pos")
+            days = rows.agg(F.min("nav_date").alias("first"), F.max("nav_date").alias("last")).first()
+            merge(spark, store, rows, f"files-{files['id']}", days["first"], days["last"])
 
     place = [F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
-    stream = spark.readStream.text(landing).select("value", *place).writeStream.foreachBatch(merge)
+    stream = spark.readStream.text(landing).select("value", *place).writeStream.foreachBatch(take)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -36,9 +36,9 @@ def batches(spark: SparkSession, store: str) -> DataFrame:
 
 
 def high_water(spark: SparkSession, store: str) -> dt.date | None:
-    """The last day up to which windows were merged without a gap from the first one; None before the first batch."""
+    """The last day up to which batches were merged without a gap from the first one; None before the first batch."""
     mark = None
-    for r in batches(spark, store).select("first_day", "last_day").distinct().orderBy("first_day", "last_day").toLocalIterator():
+    for r in batches(spark, store).select("first_day", "last_day").where("first_day is not null").distinct().orderBy("first_day", "last_day").toLocalIterator():
         if mark is not None and r["first_day"] > mark + dt.timedelta(1):
             break
         mark = r["last_day"] if mark is None else max(mark, r["last_day"])
