@@ -45,21 +45,27 @@ def record(page_id: int | None, url: str | None, payload: str | None, digest: st
     return "\r\n".join([*head, f"Content-Length: {len(data)}"]).encode("utf-8", "surrogatepass") + END + data + END
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_PAYLOAD, archive_bytes: int = 128 << 20, broadcast_rows: int = 200_000) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_PAYLOAD, archive_bytes: int = 128 << 20, broadcast_rows: int = 200_000, salts: int = 16) -> DataFrame:
     """Write one record per row into archives under ``folder``; the manifest (path, bytes, records).
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the smallest
     id becomes a response and the others revisits of it. A null payload is empty. Only
     digests are grouped; payloads stay in the task that read them, unless there are so many groups of
-    copies that their table is shuffled instead of broadcast.
+    copies that their table is shuffled instead of broadcast: then those of ``least`` bytes or more are, each digest dealt to ``salts`` tasks.
     """
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = materialize(groups.select("digest", "first"), "groups")
-    known = F.broadcast(groups) if groups.count() <= broadcast_rows else groups  # about a hundred bytes a row
-    first = F.when((F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    marked = rows.join(known, "digest", "left").select("id", "url", "payload", "digest", first.alias("first"))
+    large = F.octet_length("payload") >= least
+    first = F.when(large & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
+    if groups.count() <= broadcast_rows:  # about a hundred bytes a row
+        marked = rows.join(F.broadcast(groups), "digest", "left").select("id", "url", "payload", "digest", first.alias("first"))
+    else:
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = rows.where(large).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
+        marked = dealt.join(salted, ["digest", "salt"], "left").select("id", "url", "payload", "digest", first.alias("first"))
+        marked = marked.unionByName(rows.where(~large).select("id", "url", "payload", "digest", F.lit(None).cast("long").alias("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return written(batches, record, folder, ".warc", archive_bytes)
@@ -100,7 +106,7 @@ def candidates(path: str, size: int, lo: int, hi: int) -> list[tuple[int, int, i
     return [(x, to, n) for x, (to, n) in out.items() if to >= 0]  # a chain that breaks off within the range leads nowhere
 
 
-def _entries(ranges: DataFrame, manifest: DataFrame) -> DataFrame:
+def _entries(ranges: DataFrame, manifest: DataFrame, range_bytes: int) -> DataFrame:
     """(path, size, lo, hi, entry): the first true record of each range that has one.
 
     Raises ValueError if the chain of an archive ends before the archive does or has not the manifest's count of records.
@@ -122,8 +128,8 @@ def _entries(ranges: DataFrame, manifest: DataFrame) -> DataFrame:
         if i + 1 < max(0, most - 1).bit_length():
             far = jump.select("path", F.col("at").alias("to"), F.col("to").alias("further"))
             jump = materialize(jump.join(far, ["path", "to"]).select("path", "at", F.col("further").alias("to")), "jumps")
-    first = reached.withColumnRenamed("at", "entry")
-    entries = materialize(ranges.join(first, "path").where("entry >= lo and entry < hi"), "entries")
+    first = reached.select("path", F.col("at").alias("entry"), (F.floor(F.col("at") / range_bytes) * range_bytes).alias("lo"))
+    entries = materialize(ranges.join(first, ["path", "lo"]).where("entry < hi"), "entries")
     read = entries.join(once.withColumnRenamed("at", "entry"), ["path", "entry"]).groupBy("path").agg(F.sum("n").alias("n"), F.max("to").alias("end"))
     short = manifest.join(read, "path", "left").where("records <> coalesce(n, 0) or bytes <> coalesce(end, 0)").select("path", "records", "bytes", "n", "end").take(3)
     if short:
@@ -143,7 +149,7 @@ def read_warc(manifest: DataFrame, range_bytes: int = 16 << 20, with_payload: bo
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = manifest.where("bytes > 0").select("path", F.col("bytes").alias("size"), step.alias("lo"))
     ranges = ranges.withColumn("hi", F.least(F.col("lo") + range_bytes, "size")).repartition("path", "lo")
-    entries = _entries(ranges, manifest)
+    entries = _entries(ranges, manifest, range_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
