@@ -63,6 +63,21 @@ def decode(media: bytes) -> tuple[bytes, int]:
     return image[:, 1:].tobytes(), n
 
 
+def sound(media: bytes) -> bool:
+    """Whether this is a whole image all of whose chunks have their checksum."""
+    at, kind = len(_SIGNATURE), b""
+    if media[:at] != _SIGNATURE:
+        return False
+    while at + 12 <= len(media):
+        (size,) = struct.unpack_from(">I", media, at)
+        end = at + 8 + size
+        kind = media[at + 4 : at + 8]
+        if end + 4 > len(media) or zlib.crc32(memoryview(media)[at + 4 : end]) != struct.unpack_from(">I", media, end)[0]:
+            return False
+        at = end + 4
+    return at == len(media) and kind == b"IEND"
+
+
 def features(payload: bytes) -> str:
     """Size of the image, mean and deviation of its samples, and their share in each sixteenth of the range."""
     x = np.frombuffer(payload, np.uint8)
@@ -116,7 +131,7 @@ def member(path: str, offset: int, length: int, tries: int) -> tuple[bytes | Non
             with reading(path) as f:
                 f.seek(offset)
                 data = f.read(length)
-            if len(data) == length and data[:8] == _SIGNATURE:
+            if len(data) == length and sound(data):
                 return data, None
             error = "short or damaged member"
         except OSError as e:
@@ -167,7 +182,7 @@ class MediaReader(DataSourceReader):
                 try:
                     f.seek(offset)
                     data = f.read(length)
-                    if len(data) != length or data[:8] != _SIGNATURE:
+                    if len(data) != length or not sound(data):
                         raise OSError("short or damaged member")
                 except OSError:
                     data, error = member(part.path, offset, length, self.tries)
@@ -219,7 +234,7 @@ def read_media(spark: SparkSession, folder: str, manifest: DataFrame | None = No
 
 
 def media_features(members: DataFrame) -> DataFrame:
-    """doc_id, sizes, digests and features of each member; equal texts give equal values."""
+    """doc_id, sizes, digests and features of each member; equal texts give equal values. A member that could not be read keeps its row, with nulls."""
     kind = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +242,16 @@ def media_features(members: DataFrame) -> DataFrame:
             rows = []
             for media in b.column(1):
                 media = media.as_py()
+                if media is None:
+                    rows.append((None,) * 7)
+                    continue
                 payload, n = decode(media)
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
             types = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()
             cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 7, types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return members.select("key", "media").where("media is not null").mapInArrow(run, kind)
+    return members.select("key", "media").mapInArrow(run, kind)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
