@@ -1,22 +1,24 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Components are integer weights, and each dimension is a term whose postings are
-the candidates with their weights. Spark deals queries and candidates to blocks of bounded
-size, and every two blocks meet in a task. There the queries are scored against
-the candidates term by term: every query row with a weight in the
-term scatters weighted postings into its dense array of scores. The
+the candidates with their weights. Candidates stay in the partitions they are read in. The queries are written to the shared folder in blocks of
+bounded size, and every task scores its candidates, a block at a time, for one block of queries after
+another, term by term: every query row with a weight in the term scatters weighted postings into its dense array of scores. The
 k best of a block for every query are found by partition selection, and these lists are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import filesystem, shared_dir, table
+
 
 def weights(vector: Column, scale: float = 1024.0) -> Column:
     """floor(scale * x) of each component as longs; an error for one that no long holds."""
@@ -70,31 +72,33 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _best_of_blocks(k: int, batch: int = 2048):
-    """The function for a block of queries and a block of candidates: each query's k best."""
-
-    def run(_, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        ids = queries.column("vec_id").to_numpy()
-        w = queries.column("w").combine_chunks()
-        q = _matrix(w, int(np.diff(w.offsets.to_numpy()).max(initial=0)) if len(w) else 0)
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
-        for lo in range(0, candidates.num_rows if len(ids) else 0, batch):
-            part = candidates.slice(lo, batch)
-            other = part.column("vec_id").to_numpy()
-            scores = accumulate(q, np.ascontiguousarray(_matrix(part.column("w").combine_chunks(), q.shape[1]).T))
-            for i, own in enumerate(ids):
-                s, c = scores[i], other
-                if (c == own).any():
-                    s, c = s[c != own], c[c != own]
-                at = best(s, c, k)
-                s, c = np.concatenate((kept[i][0], s[at])), np.concatenate((kept[i][1], c[at]))
-                at = best(s, c, k)
-                kept[i] = s[at], c[at]
-        sizes = [len(s) for s, _ in kept]
-        none = [np.empty(0, np.int64)]
-        return pa.table({"query_id": np.repeat(ids, sizes), "vec_id": np.concatenate([c for _, c in kept] or none), "score": np.concatenate([s for s, _ in kept] or none)})
-
-    return run
+def best_of_blocks(ids: np.ndarray, q: np.ndarray, names: np.ndarray, candidates: np.ndarray, k: int, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, candidate id, score): the k best of a block of candidates for each of a block of queries."""
+    kept = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+    for lo in range(0, len(names), batch):
+        other = names[lo : lo + batch]
+        scores = accumulate(q, np.ascontiguousarray(candidates[lo : lo + batch].T))
+        for i, own in enumerate(ids):
+            s, c = scores[i], other
+            if (c == own).any():
+                s, c = s[c != own], c[c != own]
+            at = best(s, c, k)
+            s, c = np.concatenate((kept[i][0], s[at])), np.concatenate((kept[i][1], c[at]))
+            at = best(s, c, k)
+            kept[i] = s[at], c[at]
+    return np.repeat(ids, [len(s) for s, _ in kept]), np.concatenate([c for _, c in kept]), np.concatenate([s for s, _ in kept])
+
+
+def _blocks(folder: str) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+    """(ids, weights) of each written block of queries."""
+    from pyarrow import fs as pafs
+    from pyarrow import parquet
+
+    fs, path = filesystem(folder)
+    for f in sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".parquet")):
+        t = parquet.ParquetFile(f, filesystem=fs).read(columns=["vec_id", "w"])
+        if t.num_rows:
+            yield t.column("vec_id").to_numpy(), t.column("w").combine_chunks()
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, query_rows: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
@@ -105,21 +109,41 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     exactly; a weight or a score that no 64-bit integer holds is an error.
     Vectors of different lengths meet as if the shorter ended in zeros. A repeated query
     id counts once (its smallest vector); a repeated candidate takes part as often as it occurs. Blocks have about
-    ``query_rows`` queries and ``block_bytes`` of candidates; nothing is broadcast or collected. Empty
+    ``query_rows`` queries and ``block_bytes`` of candidates; no vector of a candidate is shuffled, and nothing is broadcast or collected. Empty
     tables give no rows.
     """
+    spark = vectors.sparkSession
     cols = F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")
     c = vectors.select(*cols).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", weights(F.col("v"), scale).alias("w"))
     q = queries.select(*cols).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", weights(F.col("v"), scale).alias("w"))
-    q = q.groupBy("vec_id").agg(F.min("w").alias("w"))
-    n, dims = vectors.agg(F.count(F.lit(1)), F.max(F.size(vector_col))).first()
     asked = queries.agg(F.count(F.lit(1))).first()[0]
-    i_blocks = max(1, -(-asked // query_rows))
-    j_blocks = max(1, -(-n * 8 * max(1, dims or 0) // block_bytes))
-    spread = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    left = q.select("vec_id", "w", F.pmod(F.xxhash64("vec_id"), F.lit(i_blocks)).cast("int").alias("i"), spread(j_blocks).alias("j"))
-    right = c.select("vec_id", "w", spread(i_blocks).alias("i"), F.pmod(F.monotonically_increasing_id(), F.lit(j_blocks)).cast("int").alias("j"))
-    merged = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_of_blocks(k), "query_id bigint, vec_id bigint, score bigint")
+    folder = f"{shared_dir(spark)}/queries"
+    q = q.groupBy("vec_id").agg(F.min("w").alias("w")).repartition(max(1, -(-asked // query_rows)), "vec_id")
+    q.write.parquet(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            names, w = t.column("vec_id").to_numpy(), t.column("w").combine_chunks()
+            for ids, asked in _blocks(folder):
+                dims = int(np.diff(asked.offsets.to_numpy()).max(initial=0))
+                found = best_of_blocks(ids, _matrix(asked, dims), names, _matrix(w, dims), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+        waiting = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                waiting += b.nbytes
+            if waiting >= block_bytes:
+                yield from scored()
+                held, waiting = [], 0
+        if held:
+            yield from scored()
+
+    merged = c.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
