@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_MADE: list[str] = []  # folders that this driver named, oldest first
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="navengine-")
         base = _OWN_DIRS[app]
-    return f"{base.rstrip('/')}/navengine-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/navengine-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def mark() -> int:
+    """How many folders were named so far, for ``clear``."""
+    return len(_MADE)
+
+
+def clear(since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes the folders named since a mark, but for those that ``keep`` reads; how many went.
+
+    What operators return reads such folders, so this is for what has been written elsewhere or is not needed any more.
+    """
+    used = [f.split("/navengine-")[1].split("/")[0] for f in keep.inputFiles() if "/navengine-" in f] if keep is not None else []
+    gone, left = 0, []
+    for uri in _MADE[since:]:
+        if uri.rsplit("/navengine-", 1)[1] in used:
+            left.append(uri)
+            continue
+        fs, path = filesystem(uri)
+        try:
+            fs.delete_dir(path)
+            gone += 1
+        except FileNotFoundError:
+            pass  # named, but nothing was written
+    _MADE[since:] = left
+    return gone
 
 
 def materialize(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:

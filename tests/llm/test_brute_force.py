@@ -221,3 +221,52 @@ def test_top_k_over_many_blocks(spark):
     for size in (100, 5000, 1 << 20):
         got = sorted(map(tuple, topk_search.exact_top_k(df, asked, k=7, query_rows=6, block_bytes=size).collect()))
         assert got == sorted((q, k + 1, i, -s) for q in w if q % 20 == 0 for k, (s, i) in enumerate(sorted((-int(w[q] @ w[i]), i) for i in w if i != q)[:7]))
+
+
+def test_quality_model_by_hand(spark):
+    """Ratios, weights, margins and scores of a whole model against plain counts and the optimum of the hinge loss."""
+    import math
+    import random
+
+    draw = random.Random(12)
+    good, bad = "clear plain words about one thing".split(), "buy now cheap !!! click win".split()
+    rows = [(i, " ".join(draw.choices(good if i % 2 else bad, k=5) + draw.choices(["the", "of", "a"], k=3)), i % 2) for i in range(120)] + [(200, None, 1), (201, "", 0), (None, "clear words", 1), (202, "unlabelled", None), (3, rows_text := "plain thing", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = quality.train(df, rows_per_class=10_000, least_rows=1)
+    counts = {}
+    for _, t, y in rows:
+        if y is not None:
+            for f in quality.features(t):
+                counts.setdefault(f, [1.0, 1.0])[1 - y] += 1
+    p, q = sum(c[0] for c in counts.values()), sum(c[1] for c in counts.values())
+    assert model.ratio.keys() == counts.keys()
+    assert all(abs(model.ratio[f] - math.log((c[0] / p) / (c[1] / q))) < 1e-9 for f, c in counts.items())
+
+    def margin(text):
+        hit = [f for f in quality.features(text) if f in counts]
+        norm = math.sqrt(2.0 + sum(model.ratio[f] ** 2 for f in hit))
+        return model.bias + sum(model.weight[f] / norm for f in hit)
+
+    docs = [(9, None), (9, ""), (None, "clear words"), (1, "buy now"), (1, rows_text), (2, "clear words " * 100_000)]
+    got = quality.classify(spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, score string"), model).collect()
+    for r in got:
+        m = margin(r["text"])
+        assert abs(r["score"] - 1 / (1 + math.exp(-model.slope * m - model.shift))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.7)
+    # No small step of the weights lowers the objective: squared length and hinge losses at their cost.
+    w = {f: model.weight[f] / model.ratio[f] for f in counts if abs(model.ratio[f]) > 1e-9}
+    known = [(quality.features(t), 1 if y else -1) for _, t, y in rows if y is not None]
+    share = {s: sum(y == s for _, y in known) / len(known) for s in (1, -1)}
+
+    def loss(w, bias):
+        total = 0.5 * (sum(x * x for x in w.values()) + bias * bias)
+        for fs, y in known:
+            hit = [f for f in fs if f in w]
+            norm = math.sqrt(2.0 + sum(model.ratio[f] ** 2 for f in fs))
+            total += max(0.0, 1 - y * (bias + sum(w[f] * model.ratio[f] for f in hit) / norm)) / (2 * share[y])
+        return total
+
+    least = loss(w, model.bias)
+    for _ in range(60):
+        step = {f: x + draw.gauss(0, 0.02) for f, x in w.items()}
+        assert loss(step, model.bias + draw.gauss(0, 0.02)) > least - 2e-3 * least
+    assert quality.train(df.where("false")).score("x") == 0.5

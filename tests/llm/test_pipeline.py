@@ -60,3 +60,17 @@ def test_stages_with_odd_rows(spark):
             assert out.where("doc_id is null").count() >= 2
         if name == "ngram_jaccard_join":
             assert out.where("doc_id = 7000000").count() == 1
+
+
+def test_a_run_leaves_little_behind(spark, tmp_path):
+    from navengine.llm import common
+
+    start = common.mark()
+    a, b = materialize(spark.range(5), "a"), materialize(spark.range(6), "b")
+    common.shared_dir(spark)  # named, never written
+    assert common.clear(start, keep=b) == 1 and b.count() == 6 and common.mark() == start + 1
+    assert common.clear(start) == 1 and common.mark() == start
+    out = corpus_pipeline.run(spark, SF)
+    names = {x.rsplit("/", 1)[-1] for x in common._MADE[start:]}
+    assert out.count() > 0 and len(names) < 12  # the last stage's own and the documents it packs
+    assert a.columns == ["id"]
