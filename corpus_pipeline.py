@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navengine.llm import language_id, quality
-from navengine.llm.common import materialize, table
+from navengine.llm.common import clear, mark, materialize, table
 from navengine.llm.folds import held_out
 from navengine.llm.jaccard_join import ngram_jaccard_join
 from navengine.llm.line_dedup import dedup_lines
@@ -78,10 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage wrote for itself and for the next one is deleted as soon as that one's result is written."""
     docs = table(spark, sf_dir, "documents")
+    start = mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, name)
+            clear(start, keep=docs)
     return docs
