@@ -13,7 +13,7 @@ PAYOUT_WORDS = ("idcw", "dividend", "payout", "reinvest", "bonus", "income distr
 PAYOUT_NAMES = ("idcw", "dividend", "income distribution")
 # Terms of closed-end schemes that stand as whole words, and forms that may stand anywhere.
 CLOSED_END_TERMS = ("fmp", "ftp", "fixed maturity", "fixed term", "fixed horizon", "fixed tenure", "interval", "capital protection", "dual advantage", "capital builder", "infrastructure debt")
-CLOSED_END_FORMS = (r"closed?[\s-]?end", r"\(\s*\d{2,5}\s*days?\s*\)")
+CLOSED_END_FORMS = (r"close[d]?[\s-]?end", r"\(\s*\d{2,5}\s*days?\s*\)")
 CLOSED_END = "(?i)" + "|".join([*(rf"\b{t}\b" for t in CLOSED_END_TERMS), *CLOSED_END_FORMS])
 
 

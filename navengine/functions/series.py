@@ -26,10 +26,6 @@ def log_return(*keys: str) -> Column:
     return F.ln(F.col("nav") / F.lag("nav").over(by_date(*keys)))
 
 
-def simple_return(*keys: str) -> Column:
-    return F.col("nav") / F.lag("nav").over(by_date(*keys)) - 1
-
-
 def running_max(*keys: str) -> Column:
     return F.max("nav").over(by_date(*keys).rowsBetween(W.unboundedPreceding, 0))
 

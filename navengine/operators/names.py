@@ -32,7 +32,7 @@ def candidates(names: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.where("piece is not null").select("query", "piece", size.alias("n"))
     sizes = [r["n"] for r in asked.select("n").distinct().collect()]  # at most four
     if not sizes:
-        return queries.select("query").join(names.select("name").where("false"), how="cross").where("false")
+        return queries.select("query", F.lit(None).cast("string").alias("name")).where("false")
     by_size = F.coalesce(*(F.when(F.col("n") == n, _grams(F.col("piece"), n)) for n in sizes))
     wanted = asked.select("query", F.explode(by_size).alias("gram"))
     lower = F.lower("name")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,10 +23,20 @@ def fiscal_windows(spark: SparkSession, first_year: int, last_year: int, horizon
     return spark.createDataFrame(rows, "horizon_y int, fy_start int, phase int, start_date date, end_date date")
 
 
-def latest_fiscal_year(nav: DataFrame) -> int:
-    """The last fiscal year's end that the data reaches."""
-    d = nav.agg(F.max("d")).first()[0]
-    return d.year if d.month >= 4 else d.year - 1
+def fiscal_year(date: str = "d") -> Column:
+    """The year in which a day's fiscal year began on April 1."""
+    return F.year(date) - F.when(F.month(date) < 4, 1).otherwise(0)
+
+
+def fiscal_years(nav: DataFrame) -> tuple[int, int]:
+    """The first fiscal year with prices, and the last end of one that the prices reach."""
+    r = nav.agg(F.min(fiscal_year()).alias("a"), F.max(fiscal_year()).alias("b")).first()
+    return r["a"], r["b"]
+
+
+def by_year(windows: DataFrame) -> DataFrame:
+    """``windows`` with __fy, a row for each fiscal year in them: years times horizons, some tens of rows."""
+    return windows.withColumn("__fy", F.explode(F.sequence("fy_start", F.col("fy_start") + F.col("horizon_y") - 1)))
 
 
 def returns_panel(nav: DataFrame, windows: DataFrame, key: str = "fund_id") -> DataFrame:
@@ -36,10 +46,8 @@ def returns_panel(nav: DataFrame, windows: DataFrame, key: str = "fund_id") -> D
     median of all funds' counts in the window, taken before funds without an anchor go.
     """
     cols = ["horizon_y", "fy_start"]
-    # A day lies in the windows of its fiscal year: an equi-join with some tens of rows, years times horizons.
-    years = windows.withColumn("__fy", F.explode(F.sequence("fy_start", F.col("fy_start") + F.col("horizon_y") - 1)))
-    fiscal = F.year("d") - F.when(F.month("d") < 4, 1).otherwise(0)
-    slice_ = nav.select(key, "d", "nav", fiscal.alias("__fy")).join(F.broadcast(years), "__fy").where("d > start_date and d <= end_date").drop("__fy")
+    # A day lies in the windows of its fiscal year: an equi-join.
+    slice_ = nav.select(key, "d", "nav", fiscal_year().alias("__fy")).join(F.broadcast(by_year(windows)), "__fy").where("d > start_date and d <= end_date").drop("__fy")
     w = W.partitionBy(key, *cols).orderBy("d")
     slice_ = slice_.withColumns({"lr": F.ln(F.col("nav") / F.lag("nav").over(w)), "top": F.max("nav").over(w.rowsBetween(W.unboundedPreceding, 0))})
     stats = slice_.groupBy(key, *cols, "phase", "start_date", "end_date").agg(

@@ -232,7 +232,7 @@ def spliced_nav(spark, sf):
 
 # The same expression in both dialects.
 NAME = "concat('Fund ', c_custkey, case c_custkey % 9 when 0 then ' FMP Series 3' when 1 then ' (370Days)' when 2 then ' Closeend' when 3 then ' ( 90 day )' when 4 then ' Mid Cap' when 5 then ' Midcap' when 6 then ' Close-Ended' else '' end, case c_custkey % 5 when 0 then ' Direct Growth' when 1 then ' Regular IDCW' when 2 then ' Bonus Growth' when 3 then ' Income Distribution cum Capital Withdrawal' else '' end)"
-CLOSED_SQL = r"regexp_matches(lower({0}), '\bfmp\b|\bftp\b|\bfixed maturity\b|\bfixed term\b|\bfixed horizon\b|\bfixed tenure\b|\binterval\b|\bcapital protection\b|\bdual advantage\b|\bcapital builder\b|\binfrastructure debt\b|close[d]?[\s-]?end|\(\s*\d{{2,5}}\s*days?\s*\)')"
+CLOSED_SQL = "regexp_matches({0}, '" + classify.CLOSED_END.replace("{", "{{").replace("}", "}}") + "')"  # the one pattern, in SQL
 
 
 @query(f"with n as (select {NAME} as name from customer) select name, case when lower(name) like '%direct%' then 'DIRECT' when lower(name) like '%regular%' then 'REGULAR' else 'UNKNOWN' end as plan, case when regexp_matches(lower(name), 'idcw|dividend|payout|reinvest|bonus|income distribution|capital withdrawal') then 'IDCW' when lower(name) like '%growth%' then 'GROWTH' else 'UNKNOWN' end as option, {CLOSED_SQL.format('name')} as closed_end, regexp_matches(lower(name), '\\bcap\\b') as whole_word from n")

@@ -108,6 +108,18 @@ def rolling_horizons(spark, sf):
     return trailing.summary(trailing.rolling_all(nav_of(spark, sf)), "cagr", "horizon_y")
 
 
+@query(f"""with {NAV_SQL}, y as (select min(year(d) - case when month(d) < 4 then 1 else 0 end) as a, max(year(d) - case when month(d) < 4 then 1 else 0 end) as b from nav),
+w as (select h, fy, make_date(fy, 4, 1) as s, make_date(fy + h, 3, 31) as e from (values (1), (3), (5)) h(h), y, (select unnest(range(1980, 2040)) as fy) where fy >= a and fy + h <= b)
+select cast(h as bigint) as horizon_y, cast(fy as bigint) as fy_start, s as start_date, e as end_date, count(distinct fund_id) as funds, count(*) as n_obs from w join nav on d > s and d <= e group by all""")
+def fiscal_windows_found(spark, sf):
+    """All windows that end by the last fiscal year that the prices reach, with what they hold."""
+    nav = nav_of(spark, sf)
+    first, last = panel.fiscal_years(nav)
+    w = panel.fiscal_windows(spark, first, last, (1, 3, 5)).drop("phase")
+    held = nav.join(F.broadcast(panel.by_year(w)), panel.fiscal_year() == F.col("__fy")).where("d > start_date and d <= end_date")
+    return held.groupBy("horizon_y", "fy_start", "start_date", "end_date").agg(F.count_distinct("fund_id").alias("funds"), F.count(F.lit(1)).alias("n_obs"))
+
+
 # ------------------------------------------------------------- snapshots, one-pager
 
 TRAILS_SQL = f"""with {NAV_SQL}, hz(h, days) as (values (1, 365), (3, 1096), (5, 1826), (10, 3652)), l as (select fund_id, max(d) as last_d, arg_max(nav, d) as last_nav from nav where d <= date '{ASOF}' group by fund_id),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import classify
 from ..operators import jumps, selection, trailing
 from .queries import ASOF, NAV_SQL, PAIRS_SQL, TRAIL_SQL, _pairs, nav_of, query, read
 from .store_queries import BOUND_SQL, SCHEME, SCHEME_SQL
@@ -19,7 +20,7 @@ MAP = {
 }
 MAP_SQL = "fund_map as (select " + ", ".join(f"{e} as {n}" for n, e in MAP.items()) + " from customer)"
 NAMES_SQL = f"{MAP_SQL}, names as (select fund_id, scheme_name, category from fund_map qualify row_number() over (partition by fund_id order by scheme_code desc) = 1)"
-CLOSED_SQL = r"regexp_matches(lower(scheme_name), '\bfmp\b|\bftp\b|\bfixed maturity\b|\bfixed term\b|\bfixed horizon\b|\bfixed tenure\b|\binterval\b|\bcapital protection\b|\bdual advantage\b|\bcapital builder\b|\binfrastructure debt\b|close[d]?[\s-]?end|\(\s*\d{2,5}\s*days?\s*\)')"
+CLOSED_SQL = f"regexp_matches(scheme_name, '{classify.CLOSED_END}')"
 
 
 def fund_map(spark, sf):
