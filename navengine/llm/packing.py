@@ -105,6 +105,7 @@ def pieces(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
             salts = pa.array(range(salt, salt + len(at)), pa.int64())
             salt += len(at)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *ints, salts], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        encoder.clear()  # workers outlive their tasks
 
     return docs.mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint")
 
