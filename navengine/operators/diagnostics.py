@@ -45,14 +45,23 @@ def jump_bands(jumps: DataFrame) -> DataFrame:
     return jumps.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fund_id").alias("funds"))
 
 
-def handoff_buckets(jumps: DataFrame, nav: DataFrame, mapping: DataFrame, near: int = 7) -> DataFrame:
-    """Jumps of spliced series by their distance from the nearest day on which one of the fund's codes, but for the last, ended."""
+def handoff_gaps(jumps: DataFrame, nav: DataFrame, mapping: DataFrame, near: int = 7) -> DataFrame:
+    """(fund_id, d, lr, gap, bucket): jumps of spliced series with their days from the nearest day on which one of the fund's codes, but for the last, ended."""
     ends = nav.join(mapping.select("scheme_code", "fund_id"), "scheme_code").groupBy("fund_id", "scheme_code").agg(F.max("d").alias("end"))
     w = W.partitionBy("fund_id")
     ends = ends.withColumns({"rn": F.row_number().over(w.orderBy("end", "scheme_code")), "k": F.count(F.lit(1)).over(w)}).where("rn < k").select("fund_id", "end")
     gap = jumps.join(ends, "fund_id", "left").groupBy("fund_id", "d", "lr").agg(F.min(F.abs(F.datediff("d", "end"))).alias("gap"))
-    bucket = F.when(F.col("gap").isNull(), "single code").when(F.col("gap") <= near, "near handoff").otherwise("mid series")
-    return gap.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("lr").alias("avg_lr"))
+    return gap.withColumn("bucket", F.when(F.col("gap").isNull(), "single code").when(F.col("gap") <= near, "near handoff").otherwise("mid series"))
+
+
+def handoff_buckets(jumps: DataFrame, nav: DataFrame, mapping: DataFrame, near: int = 7) -> DataFrame:
+    """Those jumps counted by bucket."""
+    return handoff_gaps(jumps, nav, mapping, near).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("lr").alias("avg_lr"))
+
+
+def worst_handoffs(gaps: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` largest of them by size; ties by fund and day."""
+    return gaps.orderBy(F.desc(F.abs("lr")), "fund_id", "d").limit(k)
 
 
 def missing_category(scheme: DataFrame, asof: str) -> DataFrame:

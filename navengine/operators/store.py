@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import blank_to_null
 from . import names
 
 
-def upsert_schemes(current: DataFrame, batch: DataFrame, position: str = "pos") -> DataFrame:
+def upsert_schemes(current: DataFrame, batch: DataFrame, position: str = "pos", now: Column | None = None) -> DataFrame:
     """By amfi_code: names are replaced; other fields only by values; a plan or option never by UNKNOWN.
 
-    Rows of a code in one batch count as if they came one after the other, by ``position`` if the batch has it.
+    Rows of a code in one batch count as if they came one after the other, by ``position`` if the batch has it. Columns go by name; those that
+    only the batch has are added. With ``now``, updated_at is set for the codes of the batch.
     """
     at = F.col(position) if position in batch.columns else F.lit(0)
     fields = [x for x in batch.columns if x not in ("amfi_code", position)]
@@ -22,8 +23,16 @@ def upsert_schemes(current: DataFrame, batch: DataFrame, position: str = "pos")
     both = c.join(b, F.col("c.amfi_code") == F.col("b.amfi_code"), "full")
     known = lambda x: F.when(F.col(f"b.{x}").isNull() | ((F.col(f"b.{x}") == "UNKNOWN") & (F.col(f"c.{x}") != "UNKNOWN")), F.coalesce(f"c.{x}", f"b.{x}")).otherwise(F.col(f"b.{x}"))
     out = [F.coalesce("b.amfi_code", "c.amfi_code").alias("amfi_code"), F.coalesce("b.scheme_name", "c.scheme_name").alias("scheme_name")]
-    for x in [c for c in current.columns if c not in ("amfi_code", "scheme_name")]:
-        out.append((known(x) if x in ("plan", "option") else F.coalesce(f"b.{x}", f"c.{x}") if x in batch.columns else F.col(f"c.{x}")).alias(x))
+    for x in [n for n in (*current.columns, *(f for f in fields if f not in current.columns)) if n not in ("amfi_code", "scheme_name")]:
+        if x == "updated_at" and now is not None:
+            value = F.when(F.col("b.amfi_code").isNotNull(), now).otherwise(F.col("c.updated_at"))
+        elif x not in fields:
+            value = F.col(f"c.{x}")
+        elif x not in current.columns:
+            value = F.col(f"b.{x}")
+        else:
+            value = known(x) if x in ("plan", "option") else F.coalesce(f"b.{x}", f"c.{x}")
+        out.append(value.alias(x))
     return both.select(*out)
 
 

@@ -372,6 +372,15 @@ def worst_jump_days(spark, sf):
     return diagnostics.worst_days(splice_jumps(nav_of(spark, sf), 0.0), 15)
 
 
+@query(SQL["jump_handoff_bucket"].rpartition("select case")[0] + " select fund_id, d, round(lr, 6) + 0.0 as lr, cast(gap as bigint) as gap, case when gap is null then 'single code' when gap <= 7 then 'near handoff' else 'mid series' end as bucket from g order by abs(lr) desc, fund_id, d limit 10")
+def worst_handoffs(spark, sf):
+    from ..functions.series import splice_jumps
+
+    n = read(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("scheme_code"), F.col("l_shipdate").cast("date").alias("d"), F.col("l_extendedprice").alias("nav"))
+    m = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("scheme_code"), F.col("s_nationkey").cast("string").alias("fund_id"))
+    return diagnostics.worst_handoffs(diagnostics.handoff_gaps(splice_jumps(identity.spliced_nav(n, m), 2.0), n, m))
+
+
 @query(f"with {SCHEME_SQL}, {ORDERS_SQL} select (select count(*) filter (nav <= 0) from o) as n_not_positive, (select count(*) filter (nav_date > date '{SINCE}') from o) as n_future, (select count(*) from (select distinct l_suppkey as amfi_code, l_shipdate from lineitem) where amfi_code not in (select amfi_code from scheme where amfi_code % 3 <> 0)) as n_orphans, (select count(*) from (select isin_growth from scheme where amfi_code % 3 <> 0 and isin_growth <> '-' group by 1 having count(distinct case when plan <> 'UNKNOWN' then plan end) > 1)) as n_conflicting_isins, (select count(*) from (select isin_growth from scheme where amfi_code % 3 <> 0 and isin_growth <> '-' group by 1 having count(distinct amfi_code) > 1)) as n_shared_isins")
 def store_integrity(spark, sf):
     snapshot = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("amfi_code"), "l_shipdate").distinct()

@@ -15,7 +15,7 @@ def folder(spark: SparkSession, name: str = "nav") -> str:
     """A new folder's name under ``spark.checkpoint.dir``; only with a local master and none set, under a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if spark.sparkContext.applicationId not in _OWN:
             _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="navengine-")

@@ -198,3 +198,11 @@ def test_panel_reads_prices_twice(spark, tmp_path):
     final = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("FileScan parquet") == 3 and final.count("/nav]") == 1  # statistics twice, prices once more for the anchors
     assert panel.attrition(rows).count() == 3
+
+
+def test_schemes_go_by_name(spark):
+    old = spark.createDataFrame([("2020-01-01", "x", 1, "One"), ("2020-01-01", None, 2, "Two")], "updated_at string, category string, amfi_code int, scheme_name string")
+    new = spark.createDataFrame([("Two B", 2, "IN1"), ("Three", 3, None)], "scheme_name string, amfi_code int, isin_div string")
+    got = store.upsert_schemes(old, new, now=F.lit("2021-01-01"))
+    assert got.columns == ["amfi_code", "scheme_name", "updated_at", "category", "isin_div"]
+    assert sorted(map(tuple, got.collect())) == [(1, "One", "2020-01-01", "x", None), (2, "Two B", "2021-01-01", None, "IN1"), (3, "Three", "2021-01-01", None, None)]
