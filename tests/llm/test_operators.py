@@ -286,7 +286,7 @@ def test_language_scores_by_brute_force(spark):
     log = lambda n, g, lang: np.log((tables[n][lang].count(g) + 0.2) / (len(tables[n][lang]) + 0.2 * size))
 
     def score(text, lang):
-        total = np.log((len(tables[0][lang]) + 1) / sum(len(x) + 1 for x in tables[0].values()))
+        total = np.log(len(items[lang]) / sum(map(len, items.values())))  # the share of labelled rows
         for w in language_id.words(text):
             if any(w in x for x in tables[0].values()):
                 total += log(0, w, lang)
