@@ -101,15 +101,25 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = 3000, least_rows: int = 3, alpha: float = 1.0, cost: float = 1.0) -> QualityModel:
-    """Fit on about ``rows_per_class`` rows of each class.
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = 3000, least_rows: int = 3, alpha: float = 1.0, cost: float = 1.0, docs: DataFrame | None = None) -> QualityModel:
+    """Fit on about ``rows_per_class`` rows of each class: rows of ``labelled``, or of ``docs`` with each label that ``labelled`` has for their id.
 
-    N-grams of fewer than ``least_rows`` sampled rows are left out. The sample bounds what is collected and broadcast. Null labels are
+    With ``docs``, only ids are joined with all labels; texts meet the sampled labels, which are broadcast. N-grams of fewer than ``least_rows`` sampled rows are left out. The sample bounds what is collected and broadcast. Null labels are
     left out; with rows of one class only (or none), every text gets that class's share (or 0.5).
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    known = F.col(label_col).cast("int").alias("y")
+    if docs is None:
+        rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), known).where("y in (0, 1)")
+    else:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        labels = labelled.select(F.col(id_col).alias("id"), known).where("y in (0, 1)")
+        rows = texts.select("id").join(labels, "id")
     whole = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = sample_per_class(rows, "y", "id", rows_per_class).select("id", "text", "y").cache()
+    sample = sample_per_class(rows, "y", "id", rows_per_class)
+    if docs is not None:
+        drawn = labels.join(F.broadcast(sample.distinct()), ["id", "y"], "left_semi")
+        sample = texts.join(F.broadcast(drawn), "id")
+    sample = sample.select("id", "text", "y").cache()
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return QualityModel({}, {}, 0.0, 1.0, math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
@@ -176,5 +186,5 @@ def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", thres
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = train(docs.where(~held_out()).join(labels, "doc_id"))
+    model = train(labels, docs=docs.where(~held_out()))
     return classify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")

@@ -270,3 +270,35 @@ def test_quality_model_by_hand(spark):
         step = {f: x + draw.gauss(0, 0.02) for f, x in w.items()}
         assert loss(step, model.bias + draw.gauss(0, 0.02)) > least - 2e-3 * least
     assert quality.train(df.where("false")).score("x") == 0.5
+
+
+def test_quality_shuffles_no_text_that_is_not_sampled(spark, tmp_path, monkeypatch):
+    """Texts meet the sampled labels alone; repeated documents and labels count as in a join of all."""
+    import random
+
+    draw = random.Random(4)
+    rows = [(i, " ".join(f"{draw.getrandbits(64):x}" for _ in range(300)) + (" good" if i % 2 else " bad")) for i in range(2000)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[3], (5, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2500)] + [(3, 1), (3, 0), (4, None), (None, 1), (6, 7)], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    pick = quality.sample_per_class
+    monkeypatch.setattr(quality, "sample_per_class", lambda rows, kind, id_col, most: pick(rows, kind, id_col, 20))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        executors = store.executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        assert quality.op10_quality_classifier(spark, str(tmp_path)).count() == len(rows) + 4
+        assert written() - before < 2_000_000  # the texts have 10 MB
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for most in (20, 10_000):
+        monkeypatch.setattr(quality, "sample_per_class", lambda rows, kind, id_col, _, most=most: pick(rows, kind, id_col, most))
+        few = docs.where("doc_id < 60")
+        a, b = quality.train(labels, docs=few, least_rows=1), quality.train(few.join(labels, "doc_id"), least_rows=1)
+        assert a.ratio == b.ratio and len(a.ratio) > 2 and abs(a.bias - b.bias) < 0.05 and abs(a.shift - b.shift) < 0.5
