@@ -3,9 +3,10 @@
 The merges of a public model are applied by an agenda: the adjacent pair
 whose joined piece has the best score is merged first, the leftmost on ties. With
 dropout, each candidate that comes off the agenda is skipped at the rate, by a hash of (seed, text
-of the document, place of the unit, part of the unit, candidates so far); it comes up again only
-if a neighbour changes. So each occurrence of a word draws its own segmentation; what is remembered is
-the outcome of each series of draws. Texts are not normalised: a space becomes U+2581, what the
+of the document, place of the part, skips so far); it comes up again only if a neighbour changes. So
+each occurrence of a word draws its own segmentation. Parts of many texts are merged at once, a
+candidate of each in a step of array operations; what is remembered of a unit is its plain outcome.
+Texts are not normalised: a space becomes U+2581, what the
 vocabulary lacks becomes bytes, so that decoding gives back the text exactly.
 """
 
@@ -17,8 +18,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat
-from operator import add
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,10 @@ from .common import table
 SPACE = "▁"
 _UNIT = re.compile(r" *[^ ]+| +")
 _BITS = (1 << 64) - 1
-LONG = 48  # longer parts of a unit are merged with a heap and not remembered
-NONE = 1 << 31
+LONG = 48  # longer parts of a unit are merged one by one, with a heap
+NONE = np.int32((1 << 31) - 1)
+GONE, EDGE = -1, -2  # no symbols: merged into the left neighbour, before the first or after the last
+AT_ONCE, BLOCK = 1 << 15, 1 << 18  # parts merged and units met at once
 
 
 def _drawn(x: np.ndarray) -> np.ndarray:
@@ -44,10 +46,49 @@ def _drawn(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Numbers(dict):
+    """Numbers what it is asked for; ``fresh`` are the new keys."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.n = np.zeros(1 << 12, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate((self.held[: self.n], np.zeros(max(n, len(self.held)), self.held.dtype)))
+        self.held[self.n : n] = values
+        self.n = n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one after the other."""
+    return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def _codepoints(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
 class Pieces:
-    """A model's pieces, and a bounded memory of encoded units."""
+    """A model's pieces, and a bounded memory of units."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,74 +105,174 @@ class Pieces:
                 if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                     scored.append((-sp.get_score(i), i, piece))
         scored.sort()
-        self.piece = [p for _, _, p in scored]  # the best score first
-        self.rank = {p: k for k, p in enumerate(self.piece)}
+        self.rank = {p: k for k, (_, _, p) in enumerate(scored)}  # the best score first
         self.id = {p: i for _, i, p in scored}
+        # A symbol is a piece's rank; characters that are no pieces get later numbers, and the ids of their bytes.
+        self.symbol = np.full(0x110000, -1, np.int64)  # of each character
+        self.ids, self.first, self.count = _Pool(np.int32), _Pool(np.int64), _Pool(np.int64)  # of each symbol
+        self.ids.add(np.array([i for _, i, _ in scored], np.int32))
+        self.first.add(np.arange(len(scored)))
+        self.count.add(np.ones(len(scored), np.int64))
+        inner = sorted({c for p in self.rank if len(p) > 1 for c in p})
+        for c, k in self.rank.items():
+            if len(c) == 1 and c != SPACE:  # one in the text itself must not turn into a space
+                self.symbol[ord(c)] = k
+        if (k := self.rank.get(SPACE)) is not None:
+            self.symbol[ord(" ")] = k
+        self._know(np.array([ord(" " if c == SPACE else c) for c in inner], np.int64))
+        single = {c: int(self.symbol[ord(" " if c == SPACE else c)]) for c in inner}
+        self.char = {k: c for c, k in single.items()}  # of each symbol that long parts consist of
+        symbol = {p: k for p, k in self.rank.items() if len(p) > 1} | single
+        pairs = {symbol[p[:i]] << 22 | symbol[p[i:]]: k for p, k in self.rank.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol}
+        self.pairs = np.array([*sorted(pairs), (1 << 62)], np.int64)
+        self.joined = np.array([*(k << 6 for _, k in sorted(pairs.items())), NONE], np.int32)
         # Neighbours in no piece are never merged: a unit falls apart between them.
-        self.inside = {x for p in self.rank for i in range(len(p) - 1) if SPACE not in (x := p[i : i + 2])} | {x.replace(SPACE, " ") for p in self.rank for i in range(len(p) - 1) if SPACE in (x := p[i : i + 2])}
-        # Words of characters of the vocabulary, in one part: the library merges them at once if nothing is skipped.
-        self.word = re.compile(f" [{re.escape(''.join(sorted(p for p in self.piece if len(p) == 1 and p != SPACE)))}]{{1,{LONG - 1}}}")
-        self.library = sp.encode
+        self.inside = np.array(sorted({ord(x[0]) << 22 | ord(x[1]) for p in self.rank for i in range(len(p) - 1) if (x := p[i : i + 2].replace(SPACE, " "))} | {1 << 62}), np.int64)
         self.most = most
         self.rate, self.least = 0, np.empty(0, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        """Empty the memory: outcomes are numbered; a part's plain outcome leads to others by the gaps before its skips."""
-        self.units: dict[str, tuple[int, ...]] = {}  # of each unit, its parts' plain outcomes
-        self.plain: dict[str, int] = {}  # of each part
-        self.next: dict[int, int] = {}  # (outcome << 6 | gap) -> outcome
-        self.left = np.zeros(1 << 12, np.int64)  # candidates after the last skip; -1: a long part
-        self.ids: list[bytes] = []
-        self.path: list[tuple[str, tuple[int, ...]]] = []  # part and gaps
-        self.passing: list[tuple[dict, str | int]] = []  # what the memory holds for one text only
-        self.passed = 0
-
-    def _make_room(self) -> None:
-        """A full memory holds new outcomes for one text only; after too many of them it starts anew."""
-        if len(self.ids) > self.most:
-            self.passed += len(self.ids) - self.most
-            for held, key in self.passing:
-                held.pop(key, None)
-            self.passing.clear()
-            del self.ids[self.most :], self.path[self.most :]
-            if self.passed > 8 * self.most:
-                self._forget()
-
-    def _keep(self, held: dict, key: str | int, value) -> None:
-        held[key] = value
-        if len(self.ids) > self.most:
-            self.passing.append((held, key))
-
-    def _outcome(self, part: str, gaps: tuple[int, ...], n: int, ids: list[int]) -> int:
-        k = len(self.ids)
-        if k == len(self.left):
-            self.left = np.concatenate((self.left, np.zeros_like(self.left)))
-        self.left[k] = n
-        self.ids.append(array("I", ids).tobytes())
-        self.path.append((part, gaps))
-        return k
-
-    def merge(self, unit: str, gaps: tuple[int, ...] = ()) -> tuple[int, list[int]]:
-        """(candidates after the last skip, ids) of a unit (spaces already U+2581); ``gaps`` are the candidates merged before each that is skipped."""
-        get, piece, parts = self.rank.get, self.piece, list(unit)
-        agenda = list(map(get, map(add, unit, unit[1:]), repeat(NONE)))  # of each place
-        skips, n = iter(gaps), 0
-        gap = next(skips, -1)
-        while agenda and (best := min(agenda)) != NONE:
-            i = agenda.index(best)
-            if n == gap:
-                agenda[i] = NONE
-                gap, n = next(skips, -1), 0
-                continue
-            n += 1
-            parts[i] = joined = piece[best]
-            del parts[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = get(joined + parts[i + 1], NONE)
-            if i:
-                agenda[i - 1] = get(parts[i - 1] + joined, NONE)
-        return n, self._ids(parts)
+        self.units = _Numbers()
+        self.part_first, self.part_count = _Pool(np.int64), _Pool(np.int64)  # of each unit
+        self.start, self.length = _Pool(np.int64), _Pool(np.int64)  # of each part, in symbols and agenda
+        self.symbols, self.agenda = _Pool(np.int32), _Pool(np.int32)
+        self.plain, self.plain_first, self.plain_count = _Pool(np.int32), _Pool(np.int64), _Pool(np.int64)  # ids of each part if nothing is skipped
+        self.left = _Pool(np.int64)  # candidates of each part if nothing is skipped; -1: a long part
+
+    def _know(self, points: np.ndarray) -> None:
+        """Give symbols to characters that have none."""
+        for c in np.unique(points[self.symbol[points] < 0]).tolist():
+            ids = [self.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")]
+            self.symbol[c] = self.count.n
+            self.first.add(np.array([self.ids.n]))
+            self.count.add(np.array([len(ids)]))
+            self.ids.add(np.array(ids, np.int32))
+
+    def _join(self, left: np.ndarray, right: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+        """Rank and place of what two symbols are joined to, in one number; NONE if that is no piece."""
+        key = left.astype(np.int64) * (1 << 22) + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.joined[at] | place, NONE).astype(np.int32)
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember the parts of new units and their plain outcomes."""
+        points, size = _codepoints("".join(units)), np.fromiter(map(len, units), np.int64, len(units))
+        self._know(points)
+        key = points[:-1] << 22 | points[1:]
+        cut = np.ones(len(points), bool)
+        cut[1:] = self.inside[np.searchsorted(self.inside, key)] != key
+        cut[np.cumsum(size)[:-1]] = True
+        start = np.flatnonzero(cut)
+        length = np.diff(start, append=len(points))
+        ends = np.searchsorted(start, np.cumsum(size))
+        self.part_count.add(many := np.diff(ends, prepend=0))
+        self.part_first.add(self.start.n + ends - many)
+        symbols, base = self.symbol[points].astype(np.int32), self.symbols.n
+        agenda = np.append(self._join(symbols[:-1], symbols[1:], 0), NONE)
+        agenda[np.append(start[1:] - 1, len(points) - 1)] = NONE
+        self.symbols.add(symbols)
+        self.agenda.add(agenda)
+        known = self.start.n
+        self.start.add(base + start)
+        self.length.add(length)
+        ids, count, merged = self._merge(np.arange(known, self.start.n))
+        merged[length > LONG] = -1
+        self.plain_first.add(self.plain.n + np.cumsum(count) - count)
+        self.plain_count.add(count)
+        self.plain.add(ids)
+        self.left.add(merged)
+
+    def _part(self, k: int) -> str:
+        """A long part; all its characters stand in pieces."""
+        at = self.start.held[k]
+        return "".join(map(self.char.__getitem__, self.symbols.held[at : at + self.length.held[k]].tolist()))
+
+    def _merge(self, parts: np.ndarray, draws: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, their count, merges) of each of these parts; with draws, as many candidates are merged before each skip as its draw says."""
+        counts, merged = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        order = np.argsort(self.length.held[parts], kind="stable")
+        length = self.length.held[parts[order]]
+        done: list[np.ndarray] = []
+        i, short = 0, int(np.searchsorted(length, LONG, side="right"))
+        while i < short:
+            widest = int(length[i] * 1.25) + 1  # of much the same length, so that little is padded
+            j = min(i + AT_ONCE, int(np.searchsorted(length, widest, side="right")), short)
+            symbols, alive = self._merge_few(parts[order[i:j]], None if draws is None else draws[order[i:j]])
+            merged[order[i:j]] = length[i:j] - alive
+            count = self.count.held[symbols]
+            counts[order[i:j]] = np.add.reduceat(count, np.cumsum(alive) - alive)
+            done.append(self.ids.held[_spans(self.first.held[symbols], count)])
+            i = j
+        for k in order[i:].tolist():
+            text = self._part(parts[k])
+            ids = self._merge_long(text, 0 if draws is None else self.rate, 0 if draws is None else int(draws[k]))
+            counts[k] = len(ids)
+            done.append(np.array(ids, np.int32))
+        ids, sizes = np.concatenate([np.empty(0, np.int32), *done]), counts[order]
+        first = np.empty(len(parts), np.int64)
+        first[order] = np.cumsum(sizes) - sizes
+        return ids[_spans(first, counts)], counts, merged
+
+    def _merge_few(self, parts: np.ndarray, draws: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that are left of parts of much the same length, and how many of each."""
+        length, m = self.length.held[parts], len(parts)
+        w = int(length.max())
+        held = np.full((w + 2, m), EDGE, np.int32)  # a column for each part
+        agenda = np.full((w + 2, m), NONE, np.int32)
+        at = np.arange(w)[:, None]
+        row, col = np.nonzero(at < length)
+        source = self.start.held[parts][col] + row
+        held[row + 1, col] = self.symbols.held[source]
+        due = self.agenda.held[source]
+        agenda[row + 1, col] = np.where(due == NONE, NONE, due | (row + 1).astype(np.int32))
+        after = np.repeat(np.arange(1, w + 3, dtype=np.int16)[:, None], m, axis=1)
+        before = np.repeat(np.arange(-1, w + 1, dtype=np.int16)[:, None], m, axis=1)
+        result, who = np.full((w + 2, m), EDGE, np.int32), np.arange(m)
+        gap = np.full(m, -1) if draws is None else LONG - np.searchsorted(self.least, draws, side="right")
+        while len(who):
+            best = agenda.min(axis=0)
+            c = np.flatnonzero(best != NONE)
+            if len(c) < 0.75 * len(who):
+                over = np.flatnonzero(best == NONE)
+                result[:, who[over]] = held[:, over]
+                held, agenda, after, before, who, gap, best = held[:, c], agenda[:, c], after[:, c], before[:, c], who[c], gap[c], best[c]
+                draws = None if draws is None else draws[c]
+                c = np.arange(len(c))
+            best = best[c]
+            i = best & 63
+            if draws is not None:
+                skip = gap[c] == 0
+                s = c[skip]
+                agenda[i[skip], s] = NONE
+                draws[s] = _drawn(draws[s])
+                gap[s] = LONG - np.searchsorted(self.least, draws[s], side="right")
+                c, i, best = c[~skip], i[~skip], best[~skip]
+                gap[c] -= 1
+            j = after[i, c]
+            k, h, new = after[j, c], before[i, c], best >> 6
+            held[i, c], held[j, c] = new, GONE
+            agenda[j, c] = NONE
+            after[i, c], before[k, c] = k, i
+            agenda[i, c] = self._join(new, held[k, c], i)
+            agenda[h, c] = self._join(held[h, c], new, h)
+        left = (result[1:-1] >= 0).T
+        return result[1:-1].T[left], left.sum(axis=1)
+
+    def merge(self, part: str) -> tuple[int, list[int]]:
+        """(candidates, ids) of a part (spaces already U+2581), without skips."""
+        self._place([part.replace(SPACE, " ")])
+        k = self.part_first.held[self.units[part.replace(SPACE, " ")]]
+        at = self.plain_first.held[k]
+        return int(self.left.held[k]), self.plain.held[at : at + self.plain_count.held[k]].tolist()
+
+    def _place(self, units: list[str]) -> np.ndarray:
+        """The units' numbers."""
+        got = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        if self.units.fresh:
+            self._learn(self.units.fresh)
+            self.units.fresh.clear()
+        return got
 
     def _ids(self, parts: list[str]) -> list[int]:
         ids = list(map(self.id.get, parts))
@@ -165,78 +306,54 @@ class Pieces:
                 heappush(heap, (r, h, p))
         return self._ids([p for p in parts if p is not None])
 
-    def _parts(self, unit: str) -> tuple[int, ...]:
-        """The plain outcomes of a unit's parts."""
-        inside = self.inside
-        cuts = [i for i, x in enumerate(map(add, unit, unit[1:]), 1) if x not in inside]
-        out = []
-        for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True):
-            if (k := self.plain.get(unit[i:j])) is None:
-                part = unit[i:j].replace(" ", SPACE)
-                if SPACE in unit[i:j]:  # of the text itself, must not turn into a space
-                    k = self._outcome(part, (), 0, [self.byte[b] for b in unit[i:j].encode("utf-8", "surrogatepass")])
-                elif len(part) > LONG:
-                    k = self._outcome(part, (), -1, self._merge_long(part, 0, 0))
-                else:
-                    k = self._outcome(part, (), *self.merge(part))
-                self._keep(self.plain, unit[i:j], k)
-            out.append(k)
-        if len(unit) <= 64:
-            self._keep(self.units, unit, tuple(out))
-        return tuple(out)
-
-    def _learn(self, units: list[str]) -> None:
-        """Remember the plain outcomes of simple units: every merge leaves a part less."""
-        word, inside = self.word.fullmatch, self.inside
-        simple = [u for u in units if word(u) and inside.issuperset(map(add, u, u[1:])) and u not in self.plain]
-        for u, ids in zip(simple, self.library([u[1:] for u in simple]), strict=True):
-            k = self._outcome(SPACE + u[1:], (), len(u) - len(ids), ids)
-            self._keep(self.plain, u, k)
-            self._keep(self.units, u, (k,))
-
-    def _skipped(self, step: int) -> int:
-        """The outcome after another skip; step: outcome << 6 | gap."""
-        part, gaps = self.path[step >> 6]
-        gaps += (step & 63,)
-        k = self._outcome(part, gaps, *self.merge(part, gaps))
-        self._keep(self.next, step, k)
-        return k
-
     def encode(self, text: str | None, rate: int = 0, seed: int = 0, key: int = 0) -> bytes:
-        """Ids of a whole text; ``rate`` of 65536 candidates are skipped, drawn by (seed, key, place).
-
-        The draws of all parts of a text are taken at once: first the gaps before each part's first
-        skip, then, of parts in which it is met, before the second one, and so on.
-        """
-        if not text:
-            return b""
-        self._make_room()
-        units = _UNIT.findall(" " + text)
-        found = list(map(self.units.get, units))
-        if None in found:
-            self._learn(list({u: None for u, f in zip(units, found, strict=True) if f is None}))
-            found = [self.units.get(u) or self._parts(u) if f is None else f for f, u in zip(found, units, strict=True)]
-        at = np.fromiter(chain.from_iterable(found), np.int64)
-        if not rate:
-            return b"".join(map(self.ids.__getitem__, at.tolist()))
-        if rate != self.rate:
+        """Ids of a whole text; ``rate`` of 65536 candidates are skipped, drawn by (seed, key, place)."""
+        return self.encode_all([text], rate, seed, [key])[0]
+
+    def encode_all(self, texts: list[str | None], rate: int = 0, seed: int = 0, keys: list[int] | None = None) -> list[bytes]:
+        """The same of several texts, each with its key."""
+        if rate and rate != self.rate:
             # A gap is the count of odds above the draw: more than k candidates are merged first with (1 - rate) ** (k + 1).
             self.rate, self.least = rate, np.array(sorted(((65536 - rate) ** k << 64) >> 16 * k for k in range(1, LONG + 1)), dtype=np.uint64)
-        draw = _drawn(np.arange(len(at), dtype=np.uint64) + np.uint64((seed * 0x9E3779B9 + key) & _BITS))
-        long, first = np.flatnonzero(self.left[at] < 0), draw
-        open_, gap = np.arange(len(at)), LONG - np.searchsorted(self.least, draw, side="right")
-        while len(open_ := open_[more := gap < self.left[at[open_]]]):
-            steps = (at[open_] << 6 | gap[more]).tolist()
-            to = list(map(self.next.get, steps))
-            if None in to:
-                to = [self.next.get(x) or self._skipped(x) if k is None else k for k, x in zip(to, steps, strict=True)]
-            at[open_] = to
-            draw = _drawn(draw[more])
-            gap = LONG - np.searchsorted(self.least, draw, side="right")
-        ids = list(map(self.ids.__getitem__, at.tolist()))
-        for i in long.tolist():
-            ids[i] = array("I", self._merge_long(self.path[at[i]][0], rate, int(first[i]))).tobytes()
-        return b"".join(ids)
+        base = [(seed * 0x9E3779B9 + k) & _BITS for k in keys or [0] * len(texts)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        units: list[str] = []
+        block: list[tuple[int, int]] = []  # text and how many of its units; a long text is cut between units
+        for k, t in enumerate(texts):
+            found = map(re.Match.group, _UNIT.finditer(" " + t)) if t else iter(())
+            while some := list(islice(found, BLOCK - len(units))):
+                units += some
+                block.append((k, len(some)))
+                if len(units) == BLOCK:
+                    self._encode(units, block, rate, base, out)
+                    units, block = [], []
+        self._encode(units, block, rate, base, out)
+        return list(map(b"".join, out))
+
+    def _encode(self, units: list[str], block: list[tuple[int, int]], rate: int, base: list[int], out: list[list[bytes]]) -> None:
+        """Add the ids of a block's units to their texts' and move the texts' ``base`` by the parts that were met."""
+        if not units:
+            return
+        if len(self.units) > self.most or self.symbols.n > 32 * self.most:
+            self._forget()
+        number = self._place(units)
+        count = self.part_count.held[number]
+        at = _spans(self.part_first.held[number], count)
+        size = np.diff(np.concatenate(([0], np.cumsum(count)))[np.cumsum([0, *(n for _, n in block)])])  # parts of each text
+        first, length, ids = self.plain_first.held[at], self.plain_count.held[at], self.plain.all
+        if rate:
+            draw = _drawn(_spans(np.zeros(len(size), np.int64), size).astype(np.uint64) + np.repeat(np.array([base[k] for k, _ in block], np.uint64), size))
+            left = self.left.held[at]
+            open_ = np.flatnonzero((LONG - np.searchsorted(self.least, draw, side="right") < left) | (left < 0))
+            drawn, n, _ = self._merge(at[open_], draw[open_])
+            first[open_] = len(ids) + np.cumsum(n) - n
+            length[open_] = n
+            ids = np.concatenate((ids, drawn))
+        flat = ids[_spans(first, length)].tobytes()
+        ends = (4 * np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(size)))]).tolist()
+        for (k, _), n, i, j in zip(block, size.tolist(), ends, ends[1:], strict=False):
+            out[k].append(flat[i:j])
+            base[k] = (base[k] + n) & _BITS
 
     def decode(self, ids: bytes) -> str:
         """The text of ids that ``encode`` gave."""
@@ -270,6 +387,19 @@ def decode_pieces(rows: DataFrame, ids_col: str = "ids", model_path: str | None
     return rows.withColumn("text", text(ids_col))
 
 
+def _groups(texts: Iterator[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in groups of about so many characters, a longer one alone."""
+    group, n = [], 0
+    for t in texts:
+        if group and n + len(t) > chars:
+            yield group
+            group, n = [], 0
+        group.append(t)
+        n += len(t)
+    if group:
+        yield group
+
+
 def _encoded(docs, id_col, text_col, dropout, seed, model_path, digest) -> DataFrame:
     if not 0 <= dropout < 1:
         raise ValueError("dropout must be from 0 to less than 1")
@@ -281,10 +411,10 @@ def _encoded(docs, id_col, text_col, dropout, seed, model_path, digest) -> DataF
         pieces = _pieces(model_path)
         for b in batches:
             out = []
-            for t in b.column(1):
-                t = t.as_py() or ""
-                ids = pieces.encode(t, rate, seed, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")))
-                out.append((len(ids) // 4, zlib.crc32(ids), pieces.decode(ids) == t if t else True) if digest else np.frombuffer(ids, "<i4"))
+            for texts in _groups(t.as_py() or "" for t in b.column(1)):
+                keys = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
+                for t, ids in zip(texts, pieces.encode_all(texts, rate, seed, keys), strict=True):
+                    out.append((len(ids) // 4, zlib.crc32(ids), pieces.decode(ids) == t if t else True) if digest else np.frombuffer(ids, "<i4"))
             if digest:
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "n_ids", "ids_crc32", "lossless"])

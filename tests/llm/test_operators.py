@@ -338,6 +338,33 @@ def test_pieces_with_dropout_by_brute_force():
     assert np.frombuffer(got, "<u4").tolist() == want
 
 
+def test_pieces_of_many_texts_at_once(monkeypatch):
+    """Texts together, in blocks and after forgetting equal each text alone; new words cost no call each."""
+    import sys
+
+    import public_tokenizers
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdeinorst  é▁我\n\ud800", k=rng.randrange(200))) for _ in range(300)] + [None, "", " ", "▁", "ab" * 200, "in" * 24 + " " + "in" * 25]
+    keys = [rng.getrandbits(64) for _ in texts]
+    p, few = (sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), most) for most in (500_000, 50))
+    for rate in (0, 6554, 40000):
+        want = [p.encode(t, rate, 3, k) for t, k in zip(texts, keys, strict=True)]
+        assert p.encode_all(texts, rate, 3, keys) == want and [p.decode(x) if x else t for x, t in zip(want, texts, strict=True)] == texts
+        with monkeypatch.context() as m:
+            m.setattr(sentence_pieces, "BLOCK", 7)
+            m.setattr(sentence_pieces, "AT_ONCE", 5)
+            assert few.encode_all(texts, rate, 3, keys) == want
+    words = " ".join("".join(rng.choices("abcdeinorst", k=9)) for _ in range(20_000))
+    calls = [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        p.encode(words, 6554, 1, 1)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 30_000  # one numbers each new word; the merges make none
+
+
 def test_components_by_brute_force(spark):
     from navengine.llm.components import connected_components
 
